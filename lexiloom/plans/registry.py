@@ -1,0 +1,6 @@
+"""Queries of the library and their SQL twins, by name."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
