@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, exact_dedup
+from lexiloom.llm import decontaminate, exact_dedup, language_id, mixing
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_language_id": language_id.op7_language_id,
+    "op8_mix_sources": mixing.op8_mix_sources,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
