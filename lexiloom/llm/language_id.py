@@ -197,11 +197,12 @@ def _temperature(rows: DataFrame, model: LanguageModel) -> float:
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Column:
     """A struct column (lang, score) for `docs`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    parts = (model.languages, model.idf, model.weights, model.temperature)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     @F.pandas_udf("struct<lang: string, score: double>")
     def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = LanguageModel(*shared.value)
         for batch in texts:
             yield pd.DataFrame([m.predict(t) for t in batch], columns=["lang", "score"])
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, exact_dedup, language_id, mixing
+from lexiloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing
 
 QUERIES = {
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_language_id": language_id.op7_language_id,
     "op8_mix_sources": mixing.op8_mix_sources,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_jaccard_join": jaccard_join.OP2_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
