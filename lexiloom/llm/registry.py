@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing
+from lexiloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, secret_scan
 
 QUERIES = {
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_language_id": language_id.op7_language_id,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
