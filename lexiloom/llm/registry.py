@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, secret_scan
+from lexiloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, page_text, secret_scan
 
 QUERIES = {
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
+    "op4_html_text": page_text.op4_html_text,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_language_id": language_id.op7_language_id,
     "op8_mix_sources": mixing.op8_mix_sources,
