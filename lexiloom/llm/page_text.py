@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import stage, table
+from lexiloom.llm.common import table
 from lexiloom.llm.dom_tree import Page, block_texts, read_page
 
 SAMPLE = 160
@@ -270,14 +270,14 @@ def train(pages: DataFrame, html_col: str = "html") -> TreeModel:
     total = source.count()
     h = F.xxhash64("html")
     share = min(1.0, SAMPLE / max(1, total))
-    sample = stage(source.filter(F.pmod(h, F.lit(1 << 30)) < share * (1 << 30)), "page-sample")
+    sample = source.filter(F.pmod(h, F.lit(1 << 30)) < share * (1 << 30)).withColumn("one", F.lit(0))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         model = fit(sorted(set(pdf["html"])))
         rows = [("node", k, [v]) for k, v in model.nodes.items()] + [("edge", k, list(v)) for k, v in model.edges.items()]
         return pd.DataFrame(rows, columns=["what", "name", "weights"])
 
-    got = sample.groupBy(F.lit(0)).applyInPandas(one, "what string, name string, weights array<double>").collect()
+    got = sample.groupBy("one").applyInPandas(one, "what string, name string, weights array<double>").collect()
     if not got:
         return fit([])
     return TreeModel(
