@@ -1,13 +1,14 @@
 r"""Benchmark decontamination by a prefix-filtered set join, in DataFrame functions alone.
 
 Every benchmark item is cut into windows of `WINDOW` consecutive words (an item of fewer words
-is one window). A window's set is its word shingles; since containment has to be whole, the
-necessary prefix of a window is its one rarest shingle. Rarity is the shingle's count over the
-whole corpus, found in one scan that keeps nothing but benchmark shingles and aggregates before
-its shuffle. A second scan joins document shingles with those prefix shingles only, applies the
-positional bound (the shingle's offset in the window fixes where the window would start) and the
-length bound (it has to end inside the document), and verifies the words exactly in place, so
-nothing but true occurrences leaves the scan.
+is one window). A window's tokens are ordered by rarity, the token's count over the whole corpus,
+found in one scan that keeps nothing but benchmark words and aggregates before its shuffle. Since
+containment has to be whole, the necessary prefix of a window is its one rarest token. A second
+scan joins document words with those prefix tokens only, applies the positional bound (the token's
+offset in the window fixes where the window would start) and the length bound (it has to end inside
+the document), and verifies the words exactly in place, so nothing but true occurrences leaves the
+scan. In that scan each word list ends in a mark with a build-side row of its own, which returns
+every document's number of words without a third scan.
 
 The benchmark side is broadcast in blocks of at most `BLOCK` windows, counted first; more blocks
 mean more scans, never a larger broadcast.
@@ -24,26 +25,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import ascii_lower, documents, stage, table
+from lexiloom.llm.common import ASCII_UPPER, documents, stage, table
 
 WINDOW = 10
-SHINGLE = 3
 BLOCK = 200_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Characters of words are digits, letters a-z and all beyond ASCII; a blank takes the place of others.
+BREAKS = "".join(chr(c) for c in range(128) if not (chr(c).isalnum() or c == 32))
+END = " "
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-
-
-def _shingle_at(words: str, at: Column, size: int) -> Column:
-    """Hash of `size` words from position `at` on; null past the end."""
-    parts = [F.get(F.col(words), at + j) for j in range(size)]
-    return F.when(parts[-1].isNotNull(), F.xxhash64(F.lit(size), *parts))
+    """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text after A-Z to a-z, in order."""
+    plain = F.translate(
+        F.coalesce(text, F.lit("")), ASCII_UPPER + BREAKS, ASCII_UPPER.lower() + " " * len(BREAKS)
+    )
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """item, words (the window's), n, size (words of its shingles)."""
+    """item, words (the window's), n."""
     w = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).filter(
         F.size("w") > 0
     )
@@ -53,71 +53,61 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int)
         .select("item", F.slice("w", F.col("s") + 1, window).alias("words"))
         .distinct()
         .withColumn("n", F.size("words"))
-        .withColumn("size", F.least("n", F.lit(SHINGLE)))
     )
 
 
-def _document_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """Every word position of every document with its shingle: (id, h, w, total, pos, size, key)."""
-    base = docs.withColumn("total", F.size("w"))
-    at = base.select("id", "h", "w", "total", F.posexplode("w").alias("pos", "word"))
-    parts = [
-        at.select("id", "h", "w", "total", "pos", F.lit(k).alias("size"), _shingle_at("w", F.col("pos"), k).alias("key"))
-        for k in sizes
+def _prefixes(texts: DataFrame, windows: DataFrame, blocks: int) -> DataFrame:
+    """item, words, n, token, off: each window that can occur, with its rarest token."""
+    tokens = stage(windows.select("item", "words", "n", F.posexplode("words").alias("off", "token")), "bench-tokens")
+    vocabulary = tokens.select("token").distinct()
+    rarity = [
+        texts.select(F.explode("w").alias("token"))
+        .join(F.broadcast(_block(vocabulary, b, blocks)), "token", "left_semi")
+        .groupBy("token")
+        .agg(F.count("*").alias("df"))
+        for b in range(blocks)
     ]
-    return reduce(DataFrame.unionByName, parts)
+    counted = stage(reduce(DataFrame.unionByName, rarity), "bench-rarity")
+    return stage(
+        tokens.join(counted, "token", "left")
+        .groupBy("item", "words", "n")
+        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "off")).alias("r"))
+        .filter("r.df > 0")  # else a word that no document has
+        .select("item", "words", "n", "r.token", "r.off"),
+        "bench-prefix",
+    )
+
 
+def _block(df: DataFrame, b: int, blocks: int) -> DataFrame:
+    return df if blocks == 1 else df.filter(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b)
 
-def occurrences(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int) -> DataFrame:
-    """True occurrences of windows: (id, h, start, n, item)."""
+
+def occurrences(
+    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int
+) -> DataFrame:
+    """True occurrences of windows (id, h, start, n, item); a null item tells a row's words in `start`."""
     windows = stage(benchmark_windows(items, item_col, item_text, window), "bench-windows")
-    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most SHINGLE values
-    words = docs.select(
+    blocks = max(1, -(-windows.count() // BLOCK))
+    texts = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), words_of(F.col(text_col)).alias("w")
     )
-    if not sizes:
-        return words.select("id", "h", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("item")).limit(0)
-    shingles = windows.withColumn("off", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
-    one = [F.when(F.col("size") == k, _shingle_at("words", F.col("off"), k)) for k in sizes]
-    shingles = stage(shingles.withColumn("key", F.coalesce(*one)), "bench-shingles")
-    keys = shingles.select("key").distinct()
-    total = windows.count()
-    blocks = -(-total // BLOCK)
-
-    def block(df: DataFrame, b: int) -> DataFrame:
-        return df if blocks == 1 else df.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)
-
-    rarity = reduce(
-        DataFrame.unionByName,
-        [
-            _document_shingles(words, sizes)
-            .filter(F.col("key").isNotNull())
-            .join(F.broadcast(block(keys, b)), "key", "left_semi")
-            .groupBy("key")
-            .agg(F.count("*").alias("df"))
-            for b in range(blocks)
-        ],
-    )
-    ranked = shingles.join(stage(rarity, "bench-rarity"), "key")  # a shingle no document has rules its window out
-    whole = shingles.groupBy("item", "words").agg(F.count("*").alias("all"))
-    prefix = stage(
-        ranked.groupBy("item", "words", "n")
-        .agg(F.count("*").alias("seen"), F.min(F.struct("df", "key", "off")).alias("r"))
-        .join(whole, ["item", "words"])
-        .filter("seen = all")
-        .select("item", "words", "n", F.col("r.key").alias("key"), F.col("r.off").alias("off")),
-        "bench-prefix",
+    prefix = _prefixes(texts, windows, blocks)
+    mark = prefix.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("item"), F.array().cast("array<string>").alias("words"), F.lit(0).alias("n"),
+        F.lit(END).alias("token"), F.lit(0).alias("off"),
     )
-    found = [
-        _document_shingles(words, sizes)
-        .filter(F.col("key").isNotNull())
-        .join(F.broadcast(block(prefix, b)), "key")
-        .withColumn("start", F.col("pos") - F.col("off"))
-        .filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("total")))
-        .filter(F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("n")) == F.col("words"))
-        .select("id", "h", "start", "n", "item")
-        for b in range(blocks)
-    ]
+    found = []
+    for b in range(blocks):
+        side = _block(prefix, b, blocks)
+        words = F.array_append("w", F.lit(END)) if b == 0 else F.col("w")
+        found.append(
+            texts.select("id", "h", "w", F.posexplode(words).alias("pos", "token"))
+            .join(F.broadcast(side.unionByName(mark) if b == 0 else side), "token")
+            .withColumn("start", F.col("pos") - F.col("off"))
+            .filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("w")))
+            .filter(F.col("item").isNull() | (F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("n")) == F.col("words")))
+            .select("id", "h", "start", "n", "item")
+        )
     return reduce(DataFrame.unionByName, found)
 
 
@@ -132,6 +122,8 @@ def decontaminate(
 ) -> DataFrame:
     """One row per document: id, h (hash of its text), n_words, n_hit, items (sorted array of ids)."""
     found = stage(occurrences(docs, items, id_col, text_col, item_col, item_text, window), "bench-found")
+    counted = found.filter("item IS NULL").select("id", "h", F.col("start").cast("long").alias("n_words"))
+    found = found.filter("item IS NOT NULL")
     spans = found.select("id", "h", "start", "n").distinct()
     hit = (
         spans.select("id", "h", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("p"))
@@ -144,9 +136,6 @@ def decontaminate(
         items_of, F.col("i1").eqNullSafe(F.col("id")) & F.col("h1").eqNullSafe(F.col("h"))
     ).select("i1", "h1", "n_hit", "items")
     per_doc = stage(per_doc, "bench-hits")
-    counted = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words")
-    )
     return counted.join(
         per_doc, F.col("id").eqNullSafe(F.col("i1")) & F.col("h").eqNullSafe(F.col("h1")), "left"
     ).select(
