@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,36 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+#: A key filter takes 16 bits a key, up to this bound; beyond it the filter only lets more keys pass.
+BLOOM_BITS = 1 << 27
+_PAGE = 4096
+
+
+def key_filter(keys: DataFrame, col: str):
+    """A function for tasks: which of an int64 array may be among the keys (a written table of longs).
+
+    One-hash Bloom filter, built by bitmap aggregates and broadcast; at most BLOOM_BITS / 8 bytes.
+    """
+    bits = 1 << 16
+    while bits < min(BLOOM_BITS, 16 * keys.count()):
+        bits <<= 1
+    at = F.pmod(col, F.lit(bits)) + 1
+    pages = keys.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")
+    )
+    table_ = np.zeros((bits // (8 * _PAGE), _PAGE), dtype=np.uint8)
+    for r in pages.collect():
+        table_[r["page"] - 1] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(table_)
+
+    def may_hold(values: np.ndarray) -> np.ndarray:
+        p = values.astype(np.int64) % bits
+        bit = p % (8 * _PAGE)
+        return ((shared.value[p // (8 * _PAGE), bit >> 3] >> (bit & 7).astype(np.uint8)) & 1) == 1
+
+    return may_hold
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

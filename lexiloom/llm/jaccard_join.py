@@ -14,13 +14,14 @@ The Jaccard distance d = 1 - J is a metric; documents link when d <= EPS = 1/4.
 3. Large regions get `PIVOTS` pivots of their own. A member within EPS of a pivot links to it; each
    member goes to the cell of its nearest pivot and is replicated to every cell within the window
    d_j <= d_min + 2 EPS; cells whose members all hang together need no pairs; the others join
-   recursively, and what stays large after `DEPTH` rounds is joined exactly in blocks, where only
+   recursively, and what is too dense for that
+   (members copied more than `SPREAD` times, or large after `DEPTH` rounds) is joined exactly in blocks, where only
    members outside the main body are compared with all others.
 4. Links between distinct sets, together with membership of equal sets, give the components.
 
 Sets are 64-bit shingle hashes; equal sets (copies) are one node, identified by a 128-bit digest.
 Cells of hot shingles are pre-aggregated instead of gathered. Which documents read their whole set
-is decided by a Bloom filter of bounded size (`BLOOM_BITS`).
+is decided by a Bloom filter of bounded size (`common.BLOOM_BITS`).
 
 Defined results: null, empty or blank texts have no shingles, link with nothing and form their own
 class; texts of fewer than five words are one shingle; rows that repeat an id share the least id of
@@ -37,24 +38,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiloom.llm.common import documents, stage
+from lexiloom.llm.common import BROADCAST_ROWS, documents, key_filter, stage
 from lexiloom.llm.components import connected_components
 from lexiloom.llm.shingles import overlap, set_digest, shingle_set
 
 EPS = 0.25
 NUM, DEN = 3, 4  # J >= NUM / DEN
 SHOWN = 35  # per cent of a set's shingles, in hash order
-CAP_MEMBERS = 256
+CAP_MEMBERS = 1024
+ROWS = 256
+SLICE = 4096
+SPREAD = 2.5
 CAP_SHINGLES = 4_000_000
 CALL_SHINGLES = 1_000_000
 PIVOTS = 8
 DEPTH = 4
 HOT_SHARE = 0.005
-BLOOM_BITS = 1 << 27
+SALTS = 64
 _SEEN = 200_000
 
 
-def linked(common: int, a: int, b: int) -> bool:
+def linked(common, a, b):
+    """Whether sets of a and b shingles with so many in common link; numbers or arrays."""
     return DEN * common >= NUM * (a + b - common)
 
 
@@ -112,20 +117,24 @@ def _cells(prints: DataFrame) -> DataFrame:
         .filter(F.col("c") >= max(32, int(HOT_SHARE * docs))).select("token")
     )  # at most (shown shingles of a document) / HOT_SHARE rows
     hot = stage(hot, "jaccard-hot")
-    one = Window.partitionBy("token")
-    cold = (
-        tokens.join(F.broadcast(hot), "token", "left_anti")
-        .select("node", F.min("node").over(one).alias("pivot"), F.max("node").over(one).alias("last"))
-        .filter("pivot <> last").select("node", "pivot")
+    # Hot cells are told in SALTS parts, so that no task takes one whole; their least member follows
+    # from the parts. Left joins let every token pass once, whether hot or not.
+    marked = tokens.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "token", "left")
+    part = Window.partitionBy("token", F.when(F.col("is_hot"), F.pmod("node", F.lit(SALTS))).otherwise(0))
+    told = marked.select(
+        "node", F.when(F.col("is_hot"), F.col("token")).alias("hot"), F.min("node").over(part).alias("lo"),
+        F.max("node").over(part).alias("hi"),
+    ).filter("lo <> hi OR hot IS NOT NULL")
+    told = stage(told, "jaccard-told-cells")
+    ends = told.filter("hot IS NOT NULL").groupBy("hot").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
+    rows = told.join(F.broadcast(stage(ends, "jaccard-hot-cells")), "hot", "left").select(
+        "node", F.coalesce("least", "lo").alias("pivot"), F.coalesce("most", "hi").alias("last")
     )
-    warm = tokens.join(F.broadcast(hot), "token")
-    ends = warm.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last")
-    warm = warm.join(F.broadcast(ends), "token").select("node", "pivot")
-    return cold.union(warm).groupBy("node", "pivot").agg(F.count("*").alias("c"))
+    return rows.filter("pivot <> last").groupBy("node", "pivot").agg(F.count("*").alias("c"))
 
 
 def _regions(prints: DataFrame) -> DataFrame:
-    """(node, pivot): the regions a node enters, those with two members at least."""
+    """(node, pivot, n): the regions a node enters, those with two members at least."""
     per = prints.filter("shown IS NOT NULL").groupBy("node").agg(F.count("*").alias("m"), F.max("n").alias("n"))
     cells = _cells(prints).join(per, "node").select("node", "pivot", "n", (F.col("c") / F.col("m")).alias("c"))
     cells = stage(cells, "jaccard-cells")
@@ -140,36 +149,21 @@ def _regions(prints: DataFrame) -> DataFrame:
     kept = held.join(mine, held["node"] == mine["k"]).filter(
         F.col("before") < F.col("inside") - _need(F.col("n")) + 1 - 1e-9
     )
-    kept = stage(kept.select("node", "pivot"), "jaccard-kept")
+    kept = stage(kept.select("node", "pivot", "n"), "jaccard-kept")
     live = kept.groupBy("pivot").agg(F.count("*").alias("members")).filter("members > 1").select("pivot")
     return stage(kept.join(live, "pivot"), "jaccard-regions")
 
 
 def _whole_sets(docs: DataFrame, text_col: str, prints: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, digest, n, shingles) of the member nodes, read again from the texts."""
+    """(node, digest, n, shingles) of the member nodes and a few more; a set once a task at least."""
     wanted = prints.join(members, "node", "left_semi").groupBy("digest").agg(F.min("th").alias("th")).select("th")
-    wanted = stage(wanted, "jaccard-wanted")
-    bits = 1 << 16
-    while bits < min(BLOOM_BITS, 16 * wanted.count()):
-        bits <<= 1
-    at = F.pmod("th", F.lit(bits)) + 1
-    pages = wanted.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")
-    )
-    size = 4096
-    bloom = np.zeros((bits // (8 * size) + 2, size), dtype=np.uint8)
-    for r in pages.collect():  # at most BLOOM_BITS / 8 bytes
-        bloom[r["page"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+    bloom = key_filter(stage(wanted, "jaccard-wanted"), "th")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[str] = set()
         for pdf in batches:
-            p = pdf["th"].to_numpy().astype(np.int64) % bits
-            page, bit = p // (8 * size) + 1, p % (8 * size)
-            hit = (shared.value[page, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
             out = []
-            for t in pdf["text"][hit == 1]:
+            for t in pdf["text"][bloom(pdf["th"].to_numpy())]:
                 s = shingle_set(t)
                 d = set_digest(s)
                 if len(s) and d not in seen:
@@ -181,10 +175,7 @@ def _whole_sets(docs: DataFrame, text_col: str, prints: DataFrame, members: Data
     sets = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInPandas(
         read, "node long, digest string, n long, shingles binary"
     )
-    one = sets.join(members, "node", "left_semi").groupBy("node", "digest").agg(
-        F.first("n").alias("n"), F.first("shingles").alias("shingles")
-    )
-    return stage(one, "jaccard-sets")
+    return stage(sets, "jaccard-sets")
 
 
 class _Union:
@@ -201,35 +192,74 @@ class _Union:
         self.up[self.find(i)] = self.find(j)
 
 
+def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of incidence matrices over slices of shared shingles."""
+    left, right = np.concatenate(rows), np.concatenate(cols)
+    shared = np.intersect1d(left, right)
+    out = np.zeros((len(rows), len(cols)), dtype=np.float32)
+    if not len(shared):
+        return out.astype(np.int64)
+
+    def places(values: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(shared, values)
+        at[at == len(shared)] = 0
+        held = shared[at] == values
+        order = np.argsort(at[held], kind="stable")
+        return at[held][order], owner[held][order]
+
+    (la, lo), (ra, ro) = places(left, rows), places(right, cols)
+    for lo_at in range(0, len(shared), SLICE):
+        a = np.zeros((len(rows), SLICE), dtype=np.float32)
+        b = np.zeros((len(cols), SLICE), dtype=np.float32)
+        i, j = np.searchsorted(la, [lo_at, lo_at + SLICE])
+        a[lo[i:j], la[i:j] - lo_at] = 1
+        i, j = np.searchsorted(ra, [lo_at, lo_at + SLICE])
+        b[ro[i:j], ra[i:j] - lo_at] = 1
+        out += a @ b.T  # exact: sums of less than 2 ** 24 ones
+    return np.rint(out).astype(np.int64)
+
+
 def join_members(sets: list[np.ndarray], labels: list[int], main: int | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that connect exactly what the links among all members connect.
 
     Members of one label >= 0 are known to be connected. `main` names a label whose members are
     compared with the others only.
     """
-    if not sets:
+    n = len(sets)
+    if n < 2:
         return []
-    known, first = _Union(len(sets)), {}
-    for i, label in enumerate(labels):
-        if label >= 0:
-            known.join(i, first.setdefault(label, i))
-    pivot = sets[0]
-    size = [len(s) for s in sets]
-    far = []
-    for s, n in zip(sets, size):
-        c = overlap(s, pivot)
-        far.append(1.0 - c / max(1, n + size[0] - c))
-    order = sorted(range(len(sets)), key=lambda i: far[i])
+    size = np.array([len(s) for s in sets])
+    c = np.array([overlap(s, sets[0]) for s in sets])
+    far = 1.0 - c / np.maximum(1, size + size[0] - c)  # distances to the pivot
+    order = np.argsort(far, kind="stable")
+    label = np.array(labels)
+    body = np.arange(n)
+    for k in set(labels) - {-1}:
+        body[label == k] = np.flatnonzero(label == k)[0]
     links = []
-    for x, i in enumerate(order):
-        for j in order[x + 1 :]:
-            if far[j] - far[i] > EPS + 1e-9:  # the triangle window
-                break
-            if (main is not None and labels[i] == main and labels[j] == main) or known.find(i) == known.find(j):
-                continue
-            if NUM * max(size[i], size[j]) <= DEN * min(size[i], size[j]) and linked(overlap(sets[i], sets[j]), size[i], size[j]):
-                links.append((i, j))
-                known.join(i, j)
+    far_in_order = far[order]
+    for lo in range(0, n, ROWS):
+        rows = order[lo : lo + ROWS]
+        # The triangle window: nothing beyond it can link with a row of this strip.
+        hi = int(np.searchsorted(far_in_order, far_in_order[min(n, lo + ROWS) - 1] + EPS + 1e-9, side="right"))
+        cols = order[lo:hi]
+        if main is not None and (label[rows] == main).all():
+            cols = cols[label[cols] != main]
+        if not len(cols):
+            continue
+        if len(rows) * len(cols) <= 64:
+            common = np.array([[overlap(sets[i], sets[j]) for j in cols] for i in rows])
+        else:
+            common = overlaps([sets[i] for i in rows], [sets[j] for j in cols])
+        near = linked(common, size[rows][:, None], size[cols][None, :])
+        for i, hit in zip(rows, near):
+            js = cols[hit]
+            for b in np.unique(body[js]):
+                if b != body[i]:
+                    j = js[body[js] == b][0]
+                    links.append((int(i), int(j)))
+                    body[body == b] = body[i]
     return links
 
 
@@ -237,20 +267,24 @@ def _decode(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(b, dtype=np.uint64) for b in column]
 
 
-def _join_groups(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Links of each group of (digest, n, shingles, label, main).
+def _calls(regions: DataFrame) -> DataFrame:
+    """(keys of a region, weight) and the call that joins it.
 
-    Light groups share a call, heavy ones have their own; no call takes more than a large group.
+    Light regions share a call, heavy ones have their own; no call takes more than a large region.
     """
-    group = F.concat_ws("/", *keys)
-    weights = members.groupBy(*keys).agg(F.sum("n").alias("weight"))
-    weights = stage(weights.withColumn("group", group), "jaccard-weights")
-    total = weights.agg(F.sum("weight")).first()[0] or 0
+    total = regions.agg(F.sum("weight")).first()[0] or 0
     calls = max(1, total // CALL_SHINGLES)
-    call = F.when(F.col("weight") > CALL_SHINGLES // 4, F.col("group")).otherwise(
-        F.pmod(F.xxhash64("group"), F.lit(calls)).cast("string")
+    return regions.withColumn(
+        "call",
+        F.when(F.col("weight") > CALL_SHINGLES // 4, F.col("group")).otherwise(
+            F.pmod(F.xxhash64("group"), F.lit(calls)).cast("string")
+        ),
     )
 
+
+def _join_calls(members: DataFrame) -> DataFrame:
+    """Links of each group of (call, group, digest, shingles, label, main)."""
+
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in pdf.groupby("group", sort=False):
@@ -260,16 +294,20 @@ def _join_groups(members: DataFrame, keys: list[str]) -> DataFrame:
             out += [(d[i], d[j]) for i, j in links]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return (
-        members.join(weights, keys)
-        .select(call.alias("call"), "group", "digest", "shingles", "label", "main")
-        .groupBy("call")
-        .applyInPandas(join, "a string, b string")
-    )
+    columns = ["call", "group", "digest", "shingles", "label", "main"]
+    return members.select(*columns).groupBy("call").applyInPandas(join, "a string, b string")
+
+
+def _join_groups(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Links of each group, by `keys`, of (digest, n, shingles, label, main)."""
+    weights = members.groupBy(*keys).agg(F.sum("n").alias("weight"))
+    weights = stage(weights.withColumn("group", F.concat_ws("/", *keys)), "jaccard-weights")
+    return _join_calls(members.join(_calls(weights), keys))
 
 
-def _split(members: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """One round over large regions (region, digest, n, shingles): links to pivots, cells left."""
+def _split(members: DataFrame, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round over large regions (region, digest, n, shingles): links to pivots, cells left,
+    and regions so dense that their windows would copy a member `SPREAD` times."""
     picks = members.groupBy("region").agg(
         F.array_distinct(
             F.array(*[F.min(F.struct(F.xxhash64("digest", F.lit(depth * PIVOTS + j)).alias("h"), "digest"))["digest"] for j in range(PIVOTS)])
@@ -319,14 +357,21 @@ def _split(members: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
         return pd.DataFrame({"region": pdf["region"], "mask": masks, "label": label})
 
     kinds = seen.select("region", "mask").distinct().groupBy("region").applyInPandas(bodies, "region string, mask long, label int")
-    placed = seen.join(stage(kinds, "jaccard-bodies"), ["region", "mask"]).select(
-        F.explode("cells").alias("cell"), "region", "digest", "n", "shingles", "label"
-    ).withColumn("region", F.concat_ws(".", "region", "cell")).drop("cell")
-    placed = stage(placed, "jaccard-placed")
+    told = stage(seen.join(stage(kinds, "jaccard-bodies"), ["region", "mask"]).drop("mask", "links"), "jaccard-told")
+    states = told.groupBy("region").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.avg(F.size("cells")).alias("spread")
+    ).filter("lo < 0 OR lo <> hi")
+    states = stage(states.select("region", (F.col("spread") > SPREAD).alias("stuck")), "jaccard-states")
+    told = told.join(states, "region")
+    stuck = told.filter("stuck").drop("stuck", "cells")
+    placed = told.filter("NOT stuck").withColumn("cell", F.explode("cells"))
+    placed = stage(
+        placed.select(F.concat_ws(".", "region", "cell").alias("region"), "digest", "n", "shingles", "label"), "jaccard-placed"
+    )
     open_ = placed.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).filter(
         "c > 1 AND (lo < 0 OR lo <> hi)"
     )
-    return links, stage(placed.join(stage(open_.select("region"), "jaccard-open"), "region"), "jaccard-left")
+    return links, stage(placed.join(stage(open_.select("region"), "jaccard-open"), "region"), "jaccard-left"), stage(stuck, "jaccard-stuck")
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -338,47 +383,56 @@ def _sized(members: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Cells that stay large, in blocks: members outside the main body against all others."""
-    sizes = members.groupBy("region", "label").agg(F.count("*").alias("c"))
+    """Dense regions in blocks: members outside the main body against all others."""
+    sizes = members.groupBy("region", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     body = sizes.filter("label >= 0").groupBy("region").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
-    counts = sizes.groupBy("region").agg(F.sum("c").alias("all"))
+    counts = sizes.groupBy("region").agg(F.sum("c").alias("all"), F.sum("w").alias("all_w"))
     plan = counts.join(body, "region", "left").withColumn("main", F.coalesce("main", F.lit(-2)))
-    minor = sizes.join(plan, "region").filter("label <> main").groupBy("region").agg(F.sum("c").alias("minor"))
-    plan = stage(plan.join(minor, "region"), "jaccard-plan")
+    minor = sizes.join(plan.select("region", "main"), "region").filter("label <> main").groupBy("region").agg(
+        F.sum("c").alias("minor"), F.sum("w").alias("minor_w")
+    )
     half = CAP_MEMBERS // 2
-    m = members.join(plan, "region").withColumn("h", F.xxhash64("digest"))
-    nb, na = F.ceil(F.col("minor") / half), F.ceil(F.col("all") / half)
-    left = m.filter("label <> main").withColumn("x", F.pmod("h", nb)).withColumn("y", F.explode(F.sequence(F.lit(0), na - 1)))
-    right = m.withColumn("y", F.pmod("h", na)).withColumn("x", F.explode(F.sequence(F.lit(0), nb - 1)))
+    blocks = lambda c, w: F.greatest(F.ceil(F.col(c) / half), F.ceil(F.col(w) / (CAP_SHINGLES // 2)))
+    plan = plan.join(minor, "region").select("region", "main", blocks("minor", "minor_w").alias("nb"), blocks("all", "all_w").alias("na"))
+    m = members.join(stage(plan, "jaccard-plan"), "region").withColumn("h", F.xxhash64("digest"))
+    left = m.filter("label <> main").withColumn("x", F.pmod("h", "nb")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
+    right = m.withColumn("y", F.pmod("h", "na")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     cols = ["region", "x", "y", "digest", "n", "shingles", "label", "main"]
     return left.select(*cols).union(right.select(*cols))
 
 
-def links_of(docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame:
-    """Links (a, b) between digests that connect exactly the documents that link."""
-    regions = _regions(prints)
-    sets = _whole_sets(docs, text_col, prints, regions.select("node").distinct())
-    # Nodes are 60 bits of the digest; the digests tell sets apart from here on.
-    members = regions.join(sets, "node").select(F.col("pivot").cast("string").alias("region"), "digest", "n", "shingles")
-    sizes = _sized(members)
-    flagged = members.withColumn("label", F.lit(-1)).join(sizes, "region")
-    small = flagged.filter("NOT large").withColumn("main", F.lit(-1))
-    found = [stage(_join_groups(small, ["region"]), "jaccard-links")]
+def join_regions(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between digests that connect what links inside the regions connect.
+
+    `regions` (region string, node, n: size of its set) and `sets` (node, digest, n, shingles) are
+    written tables. Where regions go is settled on the narrow one; sets move to their regions once.
+    """
+    sizes = regions.groupBy("region").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
+    sizes = sizes.withColumn("large", (F.col("members") > CAP_MEMBERS) | (F.col("weight") > CAP_SHINGLES))
+    sizes = stage(sizes.select("region", F.col("region").alias("group"), "weight", "large"), "jaccard-sizes")
+    placed = regions.select("region", "node").join(_calls(sizes), "region")
+    placed = stage(placed.select("region", "node", "group", "call", "large"), "jaccard-calls")
+    few = placed.count() <= BROADCAST_ROWS  # then the sets need no shuffle to meet their regions
+    small, large = ((lambda df: F.broadcast(df) if few else df)(placed.filter(c)) for c in ("NOT large", "large"))
+    small = sets.join(small, "node").withColumn("label", F.lit(-1)).withColumn("main", F.lit(-1))
+    found = [stage(_join_calls(small), "jaccard-links")]
     if sizes.filter("large").isEmpty():
         return found[0]
-    large = stage(flagged.filter("large").drop("large"), "jaccard-large")
+    large = sets.join(large, "node").groupBy("region", "digest").agg(
+        F.first("n").alias("n"), F.first("shingles").alias("shingles")
+    )
+    large = stage(large.withColumn("label", F.lit(-1)), "jaccard-large")
     for depth in range(DEPTH):
-        links, left = _split(large, depth)
-        found.append(links)
+        links, left, stuck = _split(large, depth)
         flagged = left.join(_sized(left), "region")
-        found.append(stage(_join_groups(flagged.filter("NOT large").withColumn("main", F.lit(-1)), ["region"]), "jaccard-links"))
+        new = [links, _join_groups(flagged.filter("NOT large").withColumn("main", F.lit(-1)), ["region"])]
         large = stage(flagged.filter("large").drop("large"), "jaccard-large")
-        rest = large.groupBy("region").agg(F.count("*").alias("c"), F.sum((F.col("label") < 0).cast("int")).alias("loose"))
-        rest = rest.agg(F.count("*").alias("regions"), F.max("loose").alias("loose")).first()
-        if not rest["regions"]:
-            break
-        if rest["loose"] <= CAP_MEMBERS or depth == DEPTH - 1:
-            found.append(stage(_join_groups(_blocks(large), ["region", "x", "y"]), "jaccard-links"))
+        last = large.isEmpty() or depth == DEPTH - 1
+        dense = stuck.union(large.select(stuck.columns)) if last else stuck
+        if not dense.isEmpty():
+            new.append(_join_groups(_blocks(dense), ["region", "x", "y"]))
+        found += [stage(df, "jaccard-links") for df in new]
+        if last:
             break
     out = found[0]
     for df in found[1:]:
@@ -386,6 +440,14 @@ def links_of(docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame:
     return out
 
 
+def links_of(docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame:
+    """Links (a, b) between digests that connect exactly the documents that link."""
+    regions = _regions(prints)
+    sets = _whole_sets(docs, text_col, prints, regions.select("node").distinct())
+    # Nodes are 60 bits of the digest; the digests tell sets apart from here on.
+    return join_regions(regions.select(F.col("pivot").cast("string").alias("region"), "node", "n"), sets)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (least id reachable), digest."""
     prints = stage(fingerprints(docs, id_col, text_col), "jaccard-prints")

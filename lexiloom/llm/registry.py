@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, page_text, secret_scan
+from lexiloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, page_text, paragraph_dedup, quote_links, secret_scan
 
 QUERIES = {
+    "op1_quote_links": quote_links.op1_quote_links,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op4_html_text": page_text.op4_html_text,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_paragraph_dedup": paragraph_dedup.op6_paragraph_dedup,
     "op7_language_id": language_id.op7_language_id,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_secret_scan": secret_scan.op9_secret_scan,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_quote_links": quote_links.OP1_SQL,
     "op2_jaccard_join": jaccard_join.OP2_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,

@@ -46,6 +46,12 @@ class _Powers:
         return cls.up, cls.down
 
 
+def word_places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and byte past the end of every word."""
+    edge = np.diff(np.concatenate(([0], (~_WHITE[raw]).view(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A hash for each word ([^\\x20\\x09-\\x0D]+ after A-Z to a-z), in order."""
     if not text:
@@ -57,8 +63,7 @@ def word_hashes(text: str | None) -> np.ndarray:
         while hi < len(raw) and not _WHITE[raw[hi]]:  # a chunk ends between words
             hi += 1
         a = _LOWER[raw[lo:hi]]
-        edge = np.diff(np.concatenate(([0], (~_WHITE[a]).view(np.int8), [0])))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        start, end = word_places(a)
         up, down = _Powers.of(len(a) + 1)
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[a] * up[: len(a)], dtype=np.uint64)))
         out.append(mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
