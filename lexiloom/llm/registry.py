@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, page_text, paragraph_dedup, quote_links, secret_scan
+from lexiloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, page_text, paragraph_dedup, quote_links, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_quote_links": quote_links.op1_quote_links,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_html_text": page_text.op4_html_text,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_paragraph_dedup": paragraph_dedup.op6_paragraph_dedup,

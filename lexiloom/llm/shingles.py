@@ -32,7 +32,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-class _Powers:
+class Powers:
     """Powers of the base and of its inverse, grown as needed."""
 
     up = _powers(_BASE, 1 << 12)
@@ -64,7 +64,7 @@ def word_hashes(text: str | None) -> np.ndarray:
             hi += 1
         a = _LOWER[raw[lo:hi]]
         start, end = word_places(a)
-        up, down = _Powers.of(len(a) + 1)
+        up, down = Powers.of(len(a) + 1)
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[a] * up[: len(a)], dtype=np.uint64)))
         out.append(mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
         lo = hi
