@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiloom.llm.common import BROADCAST_ROWS, documents, key_filter, stage
+from lexiloom.llm.common import BROADCAST_ROWS, documents, key_filter, small_batches, stage
 from lexiloom.llm.components import connected_components
 from lexiloom.llm.shingles import overlap, set_digest, shingle_set
 
@@ -55,7 +55,7 @@ PIVOTS = 8
 DEPTH = 4
 HOT_SHARE = 0.005
 SALTS = 64
-_SEEN = 200_000
+_SEEN = 50_000
 
 
 def linked(common, a, b):
@@ -89,16 +89,16 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     @F.pandas_udf("struct<n: long, digest: string, node: long, shown: array<long>>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        seen: set[str] = set()
+        seen: set[int] = set()
         for texts in batches:
             out = []
             for t in texts:
                 s = shingle_set(t)
                 n, d = len(s), set_digest(s)
-                k = min(n, (n * SHOWN + 99) // 100 + 2)
-                out.append((n, d, _node(d), None if not n or d in seen else s[:k].view(np.int64)))
+                k, node = min(n, (n * SHOWN + 99) // 100 + 2), _node(d)
+                out.append((n, d, node, None if not n or node in seen else s[:k].view(np.int64)))
                 if len(seen) < _SEEN:
-                    seen.add(d)
+                    seen.add(node)
             yield pd.DataFrame(out, columns=["n", "digest", "node", "shown"])
 
     return docs.select(
@@ -229,6 +229,9 @@ def join_members(sets: list[np.ndarray], labels: list[int], main: int | None = N
     n = len(sets)
     if n < 2:
         return []
+    if n == 2:
+        near = linked(overlap(sets[0], sets[1]), len(sets[0]), len(sets[1]))
+        return [(0, 1)] if near and (labels[0] < 0 or labels[0] != labels[1]) else []
     size = np.array([len(s) for s in sets])
     c = np.array([overlap(s, sets[0]) for s in sets])
     far = 1.0 - c / np.maximum(1, size + size[0] - c)  # distances to the pivot
@@ -263,7 +266,7 @@ def join_members(sets: list[np.ndarray], labels: list[int], main: int | None = N
     return links
 
 
-def _decode(column: pd.Series) -> list[np.ndarray]:
+def _decode(column) -> list[np.ndarray]:
     return [np.frombuffer(b, dtype=np.uint64) for b in column]
 
 
@@ -286,12 +289,18 @@ def _join_calls(members: DataFrame) -> DataFrame:
     """Links of each group of (call, group, digest, shingles, label, main)."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["group", "digest"], ignore_index=True)
+        group, digest = pdf["group"].to_numpy(), pdf["digest"].to_numpy()
+        new = np.append(True, (group[1:] != group[:-1]) | (digest[1:] != digest[:-1]))  # a set may come more than once
+        at = np.flatnonzero(new)
+        cut = np.append(np.flatnonzero(np.append(True, group[at][1:] != group[at][:-1])), len(at))
+        sets, label, main = pdf["shingles"].to_numpy(), pdf["label"].to_numpy(), pdf["main"].to_numpy()
         out = []
-        for _, part in pdf.groupby("group", sort=False):
-            part = part.drop_duplicates("digest").sort_values("digest")
-            d, main = part["digest"].tolist(), int(part["main"].iloc[0])
-            links = join_members(_decode(part["shingles"]), part["label"].tolist(), main if main >= 0 else None)
-            out += [(d[i], d[j]) for i, j in links]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            if hi - lo > 1:
+                rows = at[lo:hi]
+                links = join_members(_decode(sets[rows]), label[rows].tolist(), main[rows[0]] if main[rows[0]] >= 0 else None)
+                out += [(digest[rows[i]], digest[rows[j]]) for i, j in links]
         return pd.DataFrame(out, columns=["a", "b"])
 
     columns = ["call", "group", "digest", "shingles", "label", "main"]
@@ -450,6 +459,7 @@ def links_of(docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (least id reachable), digest."""
+    small_batches(docs.sparkSession)
     prints = stage(fingerprints(docs, id_col, text_col), "jaccard-prints")
     comps = connected_components(links_of(docs, prints, text_col))
     rows = prints.select("id", "n", "digest")

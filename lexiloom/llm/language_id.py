@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import documents, stage
+from lexiloom.llm.common import documents, small_batches, stage
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 1500
@@ -132,6 +132,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on the documents that are not held out and have text and language."""
+    small_batches(docs.sparkSession)
     usable = docs.select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"),
         held_out(id_col).alias("held"),

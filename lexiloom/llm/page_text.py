@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import table
+from lexiloom.llm.common import small_batches, table
 from lexiloom.llm.dom_tree import Page, block_texts, read_page
 
 SAMPLE = 160
@@ -266,6 +266,7 @@ def fit(sources: list[str]) -> TreeModel:
 
 def train(pages: DataFrame, html_col: str = "html") -> TreeModel:
     """Fit on at most about SAMPLE pages, picked by a hash of the page."""
+    small_batches(pages.sparkSession)
     source = pages.select(F.col(html_col).alias("html")).filter("html IS NOT NULL")
     total = source.count()
     h = F.xxhash64("html")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiloom.llm.common import documents, key_filter, stage
+from lexiloom.llm.common import documents, key_filter, small_batches, stage
 from lexiloom.llm.components import connected_components
 from lexiloom.llm.jaccard_join import join_regions
 from lexiloom.llm.shingles import SHINGLE, mix64, word_hashes, word_places
@@ -36,6 +36,7 @@ from lexiloom.llm.shingles import SHINGLE, mix64, word_hashes, word_places
 LONG = 12
 LEAST = 10
 RECALL = 0.995
+_SEEN = 200_000
 SIMILARITY = 0.75
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = np.zeros(256, dtype=bool)
@@ -141,26 +142,29 @@ def _collisions(shown: DataFrame) -> DataFrame:
     )
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """Occurrences of wanted paragraphs, and one row a document with `no` -1 and its paragraphs as `n`.
+def _occurrences(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, n, found): each document's number of paragraphs and the occurrences of wanted ones.
 
-    `shingles` is set at the first occurrence of a paragraph in its batch.
+    `shingles` is set for `near` ones, at the first occurrence in a task. The filters let a few more pass.
     """
-    may_hold = key_filter(wanted, "key")
+    may_hold, may_join = key_filter(wanted, "key"), key_filter(near, "key")
     places = "array<struct<no: long, start: long, `end`: long, words: long, key: long, shingles: binary>>"
 
     @F.pandas_udf(f"struct<n: long, found: {places}>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for texts in batches:
-            out, seen = [], set()
+            out = []
             for t in texts:
                 p = Paragraphs(t)
                 found = []
+                join = may_join(p.key) if p.count else None
                 if p.count:
                     for i in np.flatnonzero(p.long & may_hold(p.key)):
                         k = int(p.key[i])
-                        s = None if k in seen else p.shingles(i).tobytes()
-                        seen.add(k)
+                        s = p.shingles(i).tobytes() if join[i] and k not in seen else None
+                        if s is not None and len(seen) < _SEEN:
+                            seen.add(k)
                         found.append(
                             {"no": int(i), "start": int(p.start[i]), "end": int(p.end[i]), "words": int(p.words[i]), "key": k, "shingles": s}
                         )
@@ -176,16 +180,17 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     `n_repeated` counts paragraphs that occur again, equal or near; `removed` lists those that go
     as structs (no, start, end, component): code points, end exclusive.
     """
+    small_batches(docs.sparkSession)
     shown = stage(band_rows(docs, text_col), "para-bands")
     repeated = shown.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
     collisions = stage(_collisions(shown), "para-collisions")
     near = collisions.select("key").distinct()
+    near = stage(near, "para-near")
     wanted = stage(repeated.union(near).distinct(), "para-wanted")
-    read = stage(_occurrences(docs, id_col, text_col, wanted), "para-read")
-    found = read.select("id", F.explode("found").alias("f")).select("id", "f.*").join(wanted, "key", "left_semi")
-    found = stage(found, "para-found")
+    read = stage(_occurrences(docs, id_col, text_col, wanted, near), "para-read")
+    found = read.select("id", F.explode("found").alias("f")).select("id", "f.*")
     sets = stage(
-        found.filter("shingles IS NOT NULL").join(near, "key", "left_semi").select(
+        found.filter("shingles IS NOT NULL").select(
             F.col("key").alias("node"), F.format_string("%016x", "key").alias("digest"),
             F.expr("octet_length(shingles) div 8").cast("long").alias("n"), "shingles",
         ),

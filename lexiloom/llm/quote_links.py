@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiloom.llm.common import stage, table
+from lexiloom.llm.common import small_batches, stage, table
 
 _MARK = regex.compile(r"\s{0,3}((?:>[ \t]?)+)")
 _INTRO = regex.compile(r"^\s*(?:On|Am|Le|El)\b.*(?:wrote|schrieb|écrit|escribió)\s*:\s*$", regex.IGNORECASE)
@@ -81,6 +81,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """One row per message: conv_id, turn, role, text (own), n_passages, n_linked, reply_conv,
     reply_turn, root_conv, root_turn, depth. Sorted by root_conv, root_turn, depth, turn, the rows
     are the conversations in reply order."""
+    small_batches(messages.sparkSession)
     rows = messages.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")
     )
@@ -135,21 +136,23 @@ def _roots(links: DataFrame) -> DataFrame:
         F.coalesce("reply_turn", "turn").alias("root_turn"), F.col("reply_turn").isNotNull().cast("long").alias("depth"),
     )
     at = stage(at, "quote-roots")
+    done, moving = at.filter("depth = 0"), at.filter("depth > 0")
     while True:
-        up = at.select(
+        # Only ways that have not ended go on, so a few long threads cost no more than their own messages.
+        up = done.union(moving).select(
             F.col("c").alias("root_conv"), F.col("t").alias("root_turn"), F.col("root_conv").alias("c2"),
             F.col("root_turn").alias("t2"), F.col("depth").alias("d2"),
         )
         far = stage(
-            at.join(up, ["root_conv", "root_turn"], "left").select(
+            moving.join(up, ["root_conv", "root_turn"], "left").select(
                 "c", "t", F.coalesce("c2", "root_conv").alias("root_conv"), F.coalesce("t2", "root_turn").alias("root_turn"),
                 (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.coalesce("d2", F.lit(0)) > 0).alias("moved"),
             ),
             "quote-roots",
         )
-        at = far.drop("moved")
-        if far.filter("moved").isEmpty():
-            return at
+        done, moving = done.union(far.filter("NOT moved").drop("moved")), far.filter("moved").drop("moved")
+        if moving.isEmpty():
+            return done
 
 
 def quoting_messages(conversations: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import documents
+from lexiloom.llm.common import documents, small_batches
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 1 << 24
@@ -224,6 +224,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def secret_spans(docs: DataFrame, text_col: str = "text") -> Column:
     """A struct column for `docs`: base and spans, as strings kind:start:end joined by commas."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<n_assign: long, n_access: long, n_hex: long, base: string, spans: string>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

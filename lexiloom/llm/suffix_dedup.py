@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import BROADCAST_ROWS, documents, key_filter, stage
+from lexiloom.llm.common import BROADCAST_ROWS, documents, key_filter, small_batches, stage
 from lexiloom.llm.shingles import Powers, mix64
 
 LENGTH = 400
@@ -326,6 +326,7 @@ def _removal(cand: DataFrame) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256."""
+    small_batches(docs.sparkSession)
     rows = _read(docs, id_col, text_col)
     copies = rows.select("id", "sha").groupBy("sha").agg(F.count("*").alias("c"), F.min("id").alias("one")).filter("c > 1")
     copies = stage(copies.select("sha", "one"), "suffix-copies")
