@@ -1,0 +1,63 @@
+import itertools
+import random
+from collections import defaultdict
+
+from lexiloom.llm import paragraph_dedup as D
+from lexiloom.llm.paragraph_dedup import Paragraphs, tuned_bands
+
+
+def sentences(rng, n, words=14):
+    return [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 + str(rng.randrange(99)) for _ in range(words)) + "." for _ in range(n)]
+
+
+def test_bands_reach_the_recall():
+    bands, rows = tuned_bands()
+    assert 1 - (1 - 0.75**rows) ** bands >= D.RECALL
+    assert tuned_bands(0.5, 0.9)[0] >= 1
+
+
+def test_passages_inside_other_lines_are_found(make):
+    rng = random.Random(1)
+    passage = " ".join(sentences(rng, 6))
+    rows = [(k, f"{sentences(rng, 1)[0][:-1]} {passage} " + " ".join(sentences(rng, 4))) for k in range(4)]
+    rows += [(10, " ".join(sentences(rng, 8))), (11, None), (12, "")]
+    got = {r["id"]: r for r in D.paragraph_dedup(make(rows)).collect()}
+    assert all(got[k]["n_repeated"] >= 5 for k in range(4))
+    assert got[0]["n_removed"] == 0 and all(got[k]["n_removed"] == got[k]["n_repeated"] for k in (1, 2, 3))
+    for k in (1, 2, 3):
+        for r in got[k]["removed"]:
+            assert rows[k][1][r["start"] : r["end"]] in passage
+    assert all(got[k]["n_repeated"] == got[k]["n_removed"] == 0 for k in (10, 11, 12)) and got[11]["n_paragraphs"] == 0
+
+
+def test_near_paragraphs_by_brute_force(make):
+    rng = random.Random(2)
+    rows = []
+    for k in range(60):
+        base = sentences(rng, 1, 30)[0].split()
+        rows.append((3 * k, " ".join(base)))
+        for j in (1, 2):
+            near = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                near[rng.randrange(2, 28)] = "changed"
+            rows.append((3 * k + j, " ".join(near)))
+    sets = {i: set(Paragraphs(t).shingles(0).tolist()) for i, t in rows}
+    links = {(a, b) for a, b in itertools.combinations(sets, 2) if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    linked = {x for pair in links for x in pair}
+    got = {r["id"]: r for r in D.paragraph_dedup(make(rows)).collect()}
+    found = {i for i, r in got.items() if r["n_repeated"]}
+    assert found <= linked and len(found) >= 0.97 * len(linked)
+    parts = defaultdict(set)
+    for i, r in got.items():
+        for x in r["removed"]:
+            parts[x["component"]].add(i)
+    for members in parts.values():
+        assert len({i // 3 for i in members}) == 1
+
+
+def test_repeats_in_one_text_and_repeated_rows(make):
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen."
+    got = D.paragraph_dedup(make([(2, f"{line}\n{line}\nshort line\n{line}"), (2, "x"), (None, line)])).collect()
+    by = sorted((str(r["id"]), r["n_paragraphs"], r["n_repeated"], r["n_removed"]) for r in got)
+    assert by[-1] == ("None", 1, 1, 0) and by[0][3] == 3
+    assert D.paragraph_dedup(make([])).count() == 0
