@@ -111,9 +111,11 @@ def _cells(prints: DataFrame) -> DataFrame:
     shown = prints.filter("shown IS NOT NULL")
     sample = shown.filter(F.pmod(F.xxhash64("digest", "id"), F.lit(64)) == 0)
     docs = sample.count()
-    tokens = shown.select("node", F.explode("shown").alias("token"))
+    # 48 bits tell cells apart (two shingles in one cell only let a candidate more pass); zeros pack well.
+    cell = lambda c: F.col(c).bitwiseAND(F.lit(-65536)).alias("token")
+    tokens = shown.select("node", F.explode("shown").alias("t")).select("node", cell("t"))
     hot = (
-        sample.select(F.explode("shown").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+        sample.select(F.explode("shown").alias("t")).select(cell("t")).groupBy("token").agg(F.count("*").alias("c"))
         .filter(F.col("c") >= max(32, int(HOT_SHARE * docs))).select("token")
     )  # at most (shown shingles of a document) / HOT_SHARE rows
     hot = stage(hot, "jaccard-hot")
@@ -124,31 +126,32 @@ def _cells(prints: DataFrame) -> DataFrame:
     told = marked.select(
         "node", F.when(F.col("is_hot"), F.col("token")).alias("hot"), F.min("node").over(part).alias("lo"),
         F.max("node").over(part).alias("hi"),
-    ).filter("lo <> hi OR hot IS NOT NULL")
+    ).filter("lo <> hi OR hot IS NOT NULL").withColumn("hi", F.when(F.col("hot").isNotNull(), F.col("hi")))
     told = stage(told, "jaccard-told-cells")
     ends = told.filter("hot IS NOT NULL").groupBy("hot").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
     rows = told.join(F.broadcast(stage(ends, "jaccard-hot-cells")), "hot", "left").select(
-        "node", F.coalesce("least", "lo").alias("pivot"), F.coalesce("most", "hi").alias("last")
+        "node", F.coalesce("least", "lo").alias("pivot"), (F.col("hot").isNull() | (F.col("least") < F.col("most"))).alias("two")
     )
-    return rows.filter("pivot <> last").groupBy("node", "pivot").agg(F.count("*").alias("c"))
+    return rows.filter("two").groupBy("node", "pivot").agg(F.count("*").alias("c"))
 
 
 def _regions(prints: DataFrame) -> DataFrame:
     """(node, pivot, n): the regions a node enters, those with two members at least."""
     per = prints.filter("shown IS NOT NULL").groupBy("node").agg(F.count("*").alias("m"), F.max("n").alias("n"))
-    cells = _cells(prints).join(per, "node").select("node", "pivot", "n", (F.col("c") / F.col("m")).alias("c"))
-    cells = stage(cells, "jaccard-cells")
-    total = cells.groupBy("node").agg(F.sum("c").alias("all"))
-    near = cells.join(total, "node").filter(F.col("all") >= _need(F.col("n")) - 1e-9)
+    mine = Window.partitionBy("node")
+    near = (
+        _cells(prints).join(per, "node").select("node", "pivot", "n", (F.col("c") / F.col("m")).alias("c"))
+        .withColumn("all", F.sum("c").over(mine)).filter(F.col("all") >= _need(F.col("n")) - 1e-9).drop("all")
+    )
+    near = stage(near, "jaccard-cells")
     order = near.groupBy("pivot").agg(F.avg(F.col("c") / _shown(F.col("n"))).alias("score"), F.count("*").alias("members"))
     order = stage(order.filter("members > 1"), "jaccard-pivots")
-    w = Window.partitionBy("node").orderBy(F.desc("score"), "pivot").rowsBetween(Window.unboundedPreceding, -1)
-    held = near.join(order, "pivot").withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0.0)))
     # Weight of pivots without a second member, and of shingles without one, counts as kept.
-    mine = held.groupBy("node").agg(F.sum("c").alias("inside")).withColumnRenamed("node", "k")
-    kept = held.join(mine, held["node"] == mine["k"]).filter(
-        F.col("before") < F.col("inside") - _need(F.col("n")) + 1 - 1e-9
+    first = mine.orderBy(F.desc("score"), "pivot").rowsBetween(Window.unboundedPreceding, -1)
+    held = near.join(order, "pivot").withColumns(
+        {"before": F.coalesce(F.sum("c").over(first), F.lit(0.0)), "inside": F.sum("c").over(mine)}
     )
+    kept = held.filter(F.col("before") < F.col("inside") - _need(F.col("n")) + 1 - 1e-9)
     kept = stage(kept.select("node", "pivot", "n"), "jaccard-kept")
     live = kept.groupBy("pivot").agg(F.count("*").alias("members")).filter("members > 1").select("pivot")
     return stage(kept.join(live, "pivot"), "jaccard-regions")

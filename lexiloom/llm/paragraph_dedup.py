@@ -175,10 +175,11 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame,
 
 
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_paragraphs, n_repeated, n_removed, removed.
+    """One row per input row: id, n_paragraphs, n_repeated, n_removed, removed, kept_in.
 
     `n_repeated` counts paragraphs that occur again, equal or near; `removed` lists those that go
-    as structs (no, start, end, component): code points, end exclusive.
+    as structs (no, start, end, component): code points, end exclusive; `kept_in` lists the
+    documents in which the removed ones stay.
     """
     small_batches(docs.sparkSession)
     shown = stage(band_rows(docs, text_col), "para-bands")
@@ -212,6 +213,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per = marked.groupBy("id").agg(
         F.count("*").alias("n_repeated"),
         F.array_sort(F.collect_list(F.when(F.col("gone"), F.struct("no", "start", "end", "component")))).alias("removed"),
+        F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("first.id")))).alias("kept_in"),
     ).withColumnRenamed("id", "rid")  # lists bounded by a document's own paragraphs
     none = F.array().cast("array<struct<no: long, start: long, `end`: long, component: string>>")
     return read.select("id", F.col("n").alias("n_paragraphs")).join(
@@ -220,13 +222,14 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "id", "n_paragraphs", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", none).alias("removed"),
+        F.coalesce("kept_in", F.array().cast(per.schema["kept_in"].dataType)).alias("kept_in"),
     )
 
 
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = paragraph_dedup(documents(spark, sf_dir))
     return out.select(
-        F.col("id").alias("doc_id"), "n_paragraphs", "n_repeated", "n_removed",
+        F.col("id").alias("doc_id"), "n_paragraphs", "n_repeated", "n_removed", "kept_in",
         F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",").alias("removed_spans"),
         F.array_join(F.transform("removed", lambda r: r["component"]), ",").alias("components"),
     )
