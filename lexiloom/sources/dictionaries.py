@@ -75,10 +75,10 @@ def logprob(freq: Column, total: Column) -> Column:
 
 def layered_lexicon(entries: DataFrame, total: float | None = None) -> DataFrame:
     """(word, freq, logp, n); `total` may be given, else it is that of `dictionary_stats`."""
-    stats = dictionary_stats(entries).select(F.lit(total).cast("double").alias("total") if total is not None else F.col("total"))
-    words = effective(entries)
-    joined = words.join(F.broadcast(stats))  # one row
-    return joined.select("word", "freq", logprob(F.col("freq"), F.col("total")).alias("logp"), F.char_length("word").alias("n"))
+    if total is None:
+        total = dictionary_stats(entries).first()["total"]
+    logp = logprob(F.col("freq"), F.lit(float(total)))
+    return effective(entries).select("word", "freq", logp.alias("logp"), F.char_length("word").alias("n"))
 
 
 def word_lookup(words: DataFrame, lexicon: DataFrame) -> DataFrame:
