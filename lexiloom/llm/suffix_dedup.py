@@ -14,7 +14,7 @@ lost between anchors; a phrase is what lies from one anchor to the next, K bytes
 3. Two overlapping power-of-two ranks name every run that covers all strings starting between an anchor
    and the next. Strings under a shared run are repeats. Of the rest, those whose inner run is shared are
    open, at the ends of matches; they and the strings of the same inner runs elsewhere are settled byte by
-   byte, by 128-bit hashes of the strings themselves.
+   byte, by 96-bit hashes of the strings themselves.
 
 Ranks are 64-bit names of runs of phrase hashes.
 Groups are partial aggregates and skewed joins; texts that share no phrase are not read again.
@@ -40,8 +40,8 @@ from lexiloom.llm.shingles import Powers, mix64
 LENGTH = 400
 K = 16
 SPAN = 128
-#: Inner runs with more groups than this are settled string by string, others in calls of about so many strings.
-HEAVY = 4000
+#: Open strings are hashed in packings of about so many and settled in calls of about so many.
+PACKING = 1_000_000
 CALL_STRINGS = 2_000_000
 _BYTES = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(s)) | np.uint64(1) for s in (3, 5)]
 
@@ -180,150 +180,191 @@ def _covered(ranks: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def _groups(cand: DataFrame) -> DataFrame:
-    """(doc, core, lo, hi, off, sure): strings that start at lo..hi of texts with (text, ranks, ts).
+    """(doc, core, lo, hi, off, sure): strings that start at lo..hi of texts with (text, rt, rm, rank, ts).
 
-    `core` names their inner run, `off` is how far the first one starts before it.
+    `core` names their inner run, `off` is how far the first one starts before it; `rt`, `rm` and `rank`
+    are the shared runs of the text, `ts` the positions under a run past the threshold.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc, text, ranks, ts in zip(pdf["doc"], pdf["text"], pdf["ranks"], pdf["ts"]):
+            out: list[tuple[np.ndarray, ...]] = []
+            for doc, text, rt, rm, rank, ts in zip(pdf["doc"], pdf["text"], pdf["rt"], pdf["rm"], pdf["rank"], pdf["ts"]):
                 data = Bytes(text.encode("utf-8", "surrogatepass"))
                 a = Anchors(data)
                 lo, hi, t, f, d = a.groups()
-                known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-                rows = np.array([(r["t"], r["m"], r["rank"]) for r in ranks], dtype=np.int64).reshape(-1, 3)
-                for m in np.unique(rows[:, 1]):
-                    at = rows[rows[:, 1] == m]
-                    held, rank = np.zeros(len(a.pos) + 1, dtype=bool), np.zeros(len(a.pos) + 1, dtype=np.int64)
-                    held[at[:, 0]], rank[at[:, 0]] = True, at[:, 2]
-                    known[int(m)] = (held, rank)
                 ok, core = np.zeros(len(lo), dtype=bool), np.zeros(len(lo), dtype=np.uint64)
                 two = _two(d)
-                for m, (held, rank) in known.items():
+                for m in np.unique(two):
+                    mine = np.flatnonzero(rm == m)
+                    if not len(mine):
+                        continue
+                    held, name = np.zeros(len(a.pos) + 1, dtype=bool), np.zeros(len(a.pos) + 1, dtype=np.uint64)
+                    held[rt[mine]], name[rt[mine]] = True, rank[mine].view(np.uint64)
                     g = np.flatnonzero(two == m)
                     g = g[held[f[g]] & held[f[g] + d[g] - m]]
                     ok[g] = True
-                    x = mix64(rank[f[g]].view(np.uint64)) + rank[f[g] + d[g] - m].view(np.uint64)
-                    core[g] = mix64(mix64(x) + d[g].astype(np.uint64))
+                    core[g] = mix64(mix64(mix64(name[f[g]]) + name[f[g] + d[g] - m]) + d[g].astype(np.uint64))
                 full = np.zeros(len(a.pos) + 1, dtype=bool)
-                full[np.asarray(ts, dtype=np.int64)] = True
+                full[ts] = True
                 sure = full[t] & (t >= 0)
-                yield pd.DataFrame(
-                    {"doc": doc, "core": core[ok].view(np.int64), "lo": lo[ok], "hi": hi[ok], "off": (a.pos[f] - lo)[ok], "sure": sure[ok]}
-                )
+                out.append((np.full(int(ok.sum()), doc), core[ok].view(np.int64), lo[ok], hi[ok], (a.pos[f] - lo)[ok], sure[ok]))
+            if out:
+                yield pd.DataFrame(dict(zip(("doc", "core", "lo", "hi", "off", "sure"), map(np.concatenate, zip(*out)))))
 
     return cand.mapInPandas(scan, "doc long, core long, lo long, hi long, off long, sure boolean")
 
 
 def _open(groups: DataFrame) -> DataFrame:
-    """(doc, core, lo, hi, off, heavy): groups cut to the offsets at which their inner run is open anywhere."""
+    """(doc, lo, hi): starts cut to the offsets at which their inner run is open anywhere."""
     open_ = F.when(~F.col("sure"), F.col("off"))
     cores = groups.groupBy("core").agg(
         F.count("*").alias("c"),
         F.max(open_).alias("most"),
         F.min(F.when(~F.col("sure"), F.col("off") - (F.col("hi") - F.col("lo")) + 1)).alias("least"),
-    ).filter("c > 1 AND most IS NOT NULL").select("core", "most", "least", (F.col("c") > HEAVY).alias("heavy"))
+    ).filter("c > 1 AND most IS NOT NULL").select("core", "most", "least")
     # String s of a group has offset off - (s - lo).
     return (
         groups.join(stage(cores, "suffix-cores"), "core")
         .select(
-            "doc", "core", "heavy",
-            F.greatest("lo", F.expr("lo + off - most")).alias("lo2"),
-            F.least("hi", F.expr("lo + off - least + 1")).alias("hi"),
-            F.expr("off + lo").alias("at"),
+            "doc", F.greatest("lo", F.expr("lo + off - most")).cast("int").alias("lo"),
+            F.least("hi", F.expr("lo + off - least + 1")).cast("int").alias("hi"),
         )
-        .filter("lo2 < hi")
-        .select("doc", "core", "heavy", F.col("lo2").alias("lo"), "hi", (F.col("at") - F.col("lo2")).alias("off"))
+        .filter("lo < hi")
     )
 
 
-def _prints(cand: DataFrame) -> DataFrame:
-    """(doc, core, heavy, lo, off, prints): hashes of the strings of each open group of (text, parts)."""
+def _twins(key: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes occur more than once, and of each of those the first place."""
+    order = np.lexsort((extra, key))
+    same = (key[order][1:] == key[order][:-1]) & (extra[order][1:] == extra[order][:-1])
+    again, first = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+    again[order] = np.append(False, same) | np.append(same, False)
+    first[order] = np.append(same, False) & ~np.append(False, same)
+    return again, first
+
+
+def _stretches(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, lo, hi) of the runs of consecutive starts."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(start) != 1)) + 1
+    lo = np.concatenate(([0], cut)) if len(doc) else cut
+    hi = np.concatenate((cut, [len(doc)])) if len(doc) else cut
+    return doc[lo], start[lo], start[hi - 1] + 1
+
+
+_BLOBS = "call long, docs binary, key binary, extra binary, which binary, start binary"
+_NOWHERE = 0xFFFFFFFF
+
+
+def _hashed(cand: DataFrame, calls: int) -> DataFrame:
+    """Hashes of the open strings of (doc, text, lo, hi), packed by the call that settles them.
+
+    Strings that meet in a packing are settled there and then (call, with no key, tells where they
+    start); one hash goes on for all of them, so a string that a third of all texts hold costs one
+    entry a packing.
+    """
+
+    def pack(found: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        doc, key, extra, start = map(np.concatenate, zip(*found))
+        again, first = _twins(key, extra)
+        rows = []
+        if again.any():
+            d, lo, hi = _stretches(doc[again], start[again])
+            rows.append((int(d[0] % calls), d.tobytes(), b"", b"", b"", np.stack((lo, hi)).astype(np.int64).tobytes()))
+        docs, which = np.unique(doc, return_inverse=True)
+        which = which.astype(np.uint32)
+        which[first] = _NOWHERE
+        send = np.flatnonzero(~again | first)
+        to = (key[send] >> np.uint64(20)) % np.uint64(calls)
+        order = np.argsort(to, kind="stable")
+        send, to = send[order], to[order]
+        cut = np.flatnonzero(np.diff(to)) + 1
+        for part in np.split(send, cut) if len(send) else []:
+            call = int((key[part[0]] >> np.uint64(20)) % np.uint64(calls))
+            rows.append((call, docs.tobytes(), key[part].tobytes(), extra[part].tobytes(), which[part].tobytes(), start[part].astype(np.int32).tobytes()))
+        return pd.DataFrame(rows, columns=["call", "docs", "key", "extra", "which", "start"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, n = [], 0
         for pdf in batches:
-            for doc, text, parts in zip(pdf["doc"], pdf["text"], pdf["parts"]):
+            for doc, text, lo, hi in zip(pdf["doc"], pdf["text"], pdf["lo"], pdf["hi"]):
                 data = Bytes(text.encode("utf-8", "surrogatepass"))
-                lo = np.array([p["lo"] for p in parts])
-                hi = np.array([p["hi"] for p in parts])
-                out = []
-                for x, y in zip(lo, hi):
-                    at = np.arange(x, y)
-                    h = data.hashes(at, at + LENGTH) + mix64(data.hashes(at, at + LENGTH, 1))
-                    out.append(mix64(h).view(np.int64))
-                yield pd.DataFrame(
-                    {"doc": doc, "core": [p["core"] for p in parts], "heavy": [p["heavy"] for p in parts], "lo": lo,
-                     "off": [p["off"] for p in parts], "prints": out}
-                )
-
-    return cand.mapInPandas(scan, "doc long, core long, heavy boolean, lo long, off long, prints array<long>")
+                lens = hi - lo
+                start = np.repeat(lo - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+                start = np.unique(start).astype(np.int64)
+                other = data.hashes(start, start + LENGTH, 1)
+                key = mix64(data.hashes(start, start + LENGTH) + mix64(other))
+                found.append((np.full(len(start), doc, dtype=np.int64), key, (other >> np.uint64(32)).astype(np.uint32), start))
+                n += len(start)
+                if n >= PACKING:
+                    yield pack(found)
+                    found, n = [], 0
+        if found:
+            yield pack(found)
 
+    return cand.mapInPandas(scan, _BLOBS)
 
-def _settled(prints: DataFrame) -> DataFrame:
-    """(doc, lo, hi): starts of open strings that occur elsewhere.
 
-    Inner runs with few groups are settled in shared calls; those with many, string by string.
-    """
-    light, heavy = prints.filter("NOT heavy"), prints.filter("heavy")
-    total = light.agg(F.sum(F.size("prints"))).first()[0] or 0
-    calls = max(1, total // CALL_STRINGS)
+def _settled(blobs: DataFrame) -> DataFrame:
+    """(doc, lo, hi): starts of open strings that occur elsewhere."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        lens = np.array([len(p) for p in pdf["prints"]])
-        row = np.repeat(np.arange(len(pdf)), lens)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
-        core, off = pdf["core"].to_numpy()[row].view(np.uint64), (pdf["off"].to_numpy()[row] - step).astype(np.uint64)
-        key = mix64(np.concatenate(pdf["prints"].to_list()).view(np.uint64) ^ mix64(core + mix64(off)))
-        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-        again = counts[inverse] > 1
-        start = pdf["lo"].to_numpy()[row] + step
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], again.view(np.int8), [0]))) != 0)
-        begin, end = [], []
-        for x, y in zip(edge[::2], edge[1::2]):
-            cuts = np.concatenate(([x], x + 1 + np.flatnonzero(np.diff(row[x:y]) != 0), [y]))
-            begin += cuts[:-1].tolist()
-            end += cuts[1:].tolist()
-        begin, end = np.array(begin, dtype=np.int64), np.array(end, dtype=np.int64)
-        return pd.DataFrame({"doc": pdf["doc"].to_numpy()[row[begin]], "lo": start[begin], "hi": start[end - 1] + 1})
-
-    few = (
-        light.withColumn("call", F.pmod("core", F.lit(calls))).groupBy("call").applyInPandas(settle, "doc long, lo long, hi long")
-    )
-    strings = heavy.select("doc", "core", "lo", "off", F.posexplode("prints").alias("i", "print")).select(
-        "doc", "core", (F.col("off") - F.col("i")).alias("off"), "print", (F.col("lo") + F.col("i")).alias("lo")
-    )
-    again = strings.groupBy("core", "off", "print").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    many = strings.join(stage(again, "suffix-heavy"), ["core", "off", "print"], "left_semi").select(
-        "doc", "lo", (F.col("lo") + 1).alias("hi")
-    )
-    return few.union(many)
+        load = lambda b, kind: np.frombuffer(b, dtype=kind)
+        there = pdf["key"].map(len) > 0
+        out = []
+        for docs, where in zip(pdf["docs"][~there], pdf["start"][~there]):
+            lo, hi = load(where, np.int64).reshape(2, -1)
+            out.append((load(docs, np.int64), lo, hi))
+        sent = pdf[there]
+        if len(sent):
+            key, extra, which, start = (
+                np.concatenate([load(b, kind) for b in sent[c]])
+                for c, kind in (("key", np.uint64), ("extra", np.uint32), ("which", np.uint32), ("start", np.int32))
+            )
+            again, _ = _twins(key, extra)
+            row = np.repeat(np.arange(len(sent)), [len(k) // 8 for k in sent["key"]])
+            docs = [load(b, np.int64) for b in sent["docs"]]
+            base = np.cumsum([0, *map(len, docs)])
+            hit = np.flatnonzero(again & (which != _NOWHERE))
+            doc = np.concatenate(docs)[base[row[hit]] + which[hit]]
+            out.append(_stretches(doc, start[hit].astype(np.int64)))
+        doc, lo, hi = map(np.concatenate, zip(*out))
+        return pd.DataFrame({"doc": doc, "lo": lo, "hi": hi})
+
+    return blobs.groupBy("call").applyInPandas(settle, "doc long, lo long, hi long")
 
 
 def _removal(cand: DataFrame) -> DataFrame:
-    """(sha, n_removed, n_spans, kept) of texts with the starts of repeated strings (ts, spans)."""
+    """(sha, n_removed, n_spans, kept) of texts with the starts of repeated strings (ts; lo, hi)."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for sha, text, ts, spans in zip(pdf["sha"], pdf["text"], pdf["ts"], pdf["spans"]):
+            for sha, text, ts, lo, hi in zip(pdf["sha"], pdf["text"], pdf["ts"], pdf["lo"], pdf["hi"]):
                 data = Bytes(text.encode("utf-8", "surrogatepass"))
                 n = len(data.raw)
-                ts = np.asarray(ts, dtype=np.int64)
                 pos = Anchors(data).pos
-                lo = np.concatenate((pos[ts], np.array([p["lo"] for p in spans], dtype=np.int64)))
-                hi = np.concatenate((pos[np.minimum(ts + 1, len(pos) - 1)], np.array([p["hi"] for p in spans], dtype=np.int64)))
+                lo = np.concatenate((pos[ts], lo))
+                hi = np.concatenate((pos[np.minimum(ts + 1, len(pos) - 1)], hi))
                 depth = np.zeros(n + 1, dtype=np.int64)
                 np.add.at(depth, lo, 1)
                 np.add.at(depth, np.minimum(hi - 1 + LENGTH, n), -1)
                 gone = np.cumsum(depth)[:n] > 0
-                spans_ = int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=0) == 1))
-                out.append((sha, int(gone.sum()), spans_, hashlib.sha256(data.raw[~gone].tobytes()).hexdigest()))
+                spans = int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=0) == 1))
+                out.append((sha, int(gone.sum()), spans, hashlib.sha256(data.raw[~gone].tobytes()).hexdigest()))
             yield pd.DataFrame(out, columns=["sha", "n_removed", "n_spans", "kept"])
 
     return cand.mapInPandas(scan, "sha string, n_removed long, n_spans long, kept string")
 
 
+def _lists(df: DataFrame, *cols: str) -> DataFrame:
+    """The columns as parallel lists by text; lists are bounded by the text itself."""
+    all_ = df.groupBy("doc").agg(F.collect_list(F.struct(*cols)).alias("x"))
+    return all_.select("doc", *[F.col(f"x.{c}").alias(c) for c in cols])
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256."""
     small_batches(docs.sparkSession)
@@ -338,9 +379,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     covered = _covered(ranks, phrases)
 
     # Texts with a shared phrase, and what is known of them.
-    profile = ranks.groupBy("doc").agg(F.collect_list(F.struct("t", "m", "rank")).alias("ranks")).join(
-        covered.groupBy("doc").agg(F.collect_list("t").alias("ts")), "doc", "left"
-    )  # lists bounded by a text's own phrases
+    ts = stage(_lists(covered.withColumnRenamed("t", "ts"), "ts"), "suffix-covered")
+    profile = _lists(ranks.select("doc", F.col("t").alias("rt"), F.col("m").alias("rm"), "rank"), "rt", "rm", "rank").join(ts, "doc", "left")
     names = phrases.select("doc", "sha").join(ranks.filter("m = 1").select("doc").distinct(), "doc")
     names = stage(names.withColumn("key", F.xxhash64("sha")), "suffix-candidates")
     may_hold = key_filter(names, "key")
@@ -354,13 +394,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty = lambda kind: F.array().cast(kind)
     known = cand.join(profile, "doc").withColumn("ts", F.coalesce("ts", empty("array<int>")))
     groups = stage(_groups(known), "suffix-groups")
-    parts = _open(groups).groupBy("doc").agg(F.collect_list(F.struct("core", "heavy", "lo", "hi", "off")).alias("parts"))
-    prints = stage(_prints(cand.join(parts, "doc")), "suffix-prints")
-    spans = stage(_settled(prints), "suffix-spans").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    ts = covered.groupBy("doc").agg(F.collect_list("t").alias("ts"))
-    both = ts.join(spans, "doc", "full").select(
-        "doc", F.coalesce("ts", empty("array<int>")).alias("ts"),
-        F.coalesce("spans", empty("array<struct<lo: long, hi: long>>")).alias("spans"),
+    parts = stage(_lists(_open(groups), "lo", "hi"), "suffix-open")
+    strings = parts.agg(F.sum(F.aggregate(F.zip_with("hi", "lo", lambda h, l: h - l), F.lit(0).cast("long"), lambda a, x: a + x))).first()[0]
+    calls = max(1, (strings or 0) // CALL_STRINGS)
+    spans = stage(_settled(_hashed(cand.join(parts, "doc"), calls)), "suffix-spans")
+    none = F.array().cast("array<long>")
+    both = ts.join(_lists(spans, "lo", "hi"), "doc", "full").select(
+        "doc", F.coalesce("ts", empty("array<int>")).alias("ts"), F.coalesce("lo", none).alias("lo"), F.coalesce("hi", none).alias("hi")
     )
     removal = stage(_removal(cand.join(both, "doc")), "suffix-removal").dropDuplicates(["sha"])
     long_copy = F.col("copied") & (F.col("n") >= LENGTH)

@@ -49,10 +49,11 @@ def texts(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("heavy", [4000, 1])
-def test_against_brute_force(make, small, monkeypatch, heavy):
-    monkeypatch.setattr(S, "HEAVY", heavy)
-    rows = texts(heavy)
+@pytest.mark.parametrize("packing,call", [(1_000_000, 2_000_000), (200, 300)])
+def test_against_brute_force(make, small, monkeypatch, packing, call):
+    monkeypatch.setattr(S, "PACKING", packing)
+    monkeypatch.setattr(S, "CALL_STRINGS", call)
+    rows = texts(call)
     assert result(make(rows)) == brute(rows, 40)
 
 
