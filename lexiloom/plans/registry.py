@@ -165,6 +165,24 @@ _REPORT_SOURCE = _BLOCK_SOURCE.replace(
     "FROM documents", "FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)"
 )
 
+#: Words of each path as they are, runs of single characters as one piece.
+_PIECES = """
+pieces AS (
+  SELECT block, min(i) AS i, string_agg(tok, '' ORDER BY i) AS piece, single FROM (
+    SELECT block, i, tok, single,
+           CASE WHEN single THEN i - row_number() OVER (PARTITION BY block, single ORDER BY i) ELSE -i END AS run
+    FROM (
+      SELECT block, i, t[i] AS tok, length(t[i]) = 1 AS single FROM (
+        SELECT block, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT block, string_split(rtrim(seg, chr(1)), chr(1)) AS t FROM paths)
+      )
+    )
+  ) GROUP BY block, single, run
+),
+gaps AS (SELECT DISTINCT piece AS block FROM pieces WHERE single)"""
+_SENT = f"""
+sent AS (SELECT block, {_CHARS.format(x='block')} AS c,
+                list_transform(range(1, length(tags) + 1), lambda i: CAST(substr(tags, i, 1) AS INT)) AS t FROM tagged)"""
+
 
 def _flag(**columns: str) -> str:
     return f"WITH {_WORDS} SELECT word, " + ", ".join(f"{sql} AS {name}" for name, sql in columns.items()) + " FROM words"
@@ -247,13 +265,20 @@ SELECT CASE WHEN w IS NULL THEN {trim('line')} ELSE w || ' 10000' END AS line FR
 )""",
     "cut_dag": f"{_DAG} {_DIGEST} FROM tokens",
     "best_path": f"{_DAG} SELECT block, rtrim(seg, chr(1)) AS path FROM paths",
-    "cut_tagger": f"""{_TAGGED},
-sent AS (SELECT block, {_CHARS.format(x='block')} AS c,
-                list_transform(range(1, length(tags) + 1), lambda i: CAST(substr(tags, i, 1) AS INT)) AS t FROM tagged),
+    "cut_tagger": f"""{_TAGGED},{_SENT},
 {_FOLD.format(id='block', source='sent')},
 cut AS (SELECT doc_id, pos, CASE WHEN pure THEN block || chr(1) ELSE words END AS seg FROM blocks LEFT JOIN folded USING (block)),
 tokens AS (SELECT doc_id, string_agg(seg, '' ORDER BY pos) AS seg FROM cut GROUP BY doc_id)
 {_DIGEST} FROM tokens""",
+    "cut_hybrid": f"""{_DAG},{_PIECES},{MODEL},{EMISSIONS.replace('FROM todo', 'FROM gaps')},{VITERBI},{_SENT},
+{_FOLD.format(id='block', source='sent')},
+joined AS (
+  SELECT p.block, string_agg(CASE WHEN single THEN words ELSE piece || chr(1) END, '' ORDER BY i) AS seg
+  FROM pieces p LEFT JOIN folded f ON p.single AND f.block = p.piece GROUP BY p.block
+),
+cut2 AS (SELECT doc_id, pos, CASE WHEN pure THEN block || chr(1) ELSE seg END AS seg FROM blocks LEFT JOIN joined USING (block)),
+tokens2 AS (SELECT doc_id, string_agg(seg, '' ORDER BY pos) AS seg FROM cut2 GROUP BY doc_id)
+{_DIGEST} FROM tokens2""",
     "cut_search": f"""{_DAG},
 toks AS (
   SELECT doc_id, i, t[i] AS tok FROM (
@@ -273,9 +298,7 @@ subs_of AS (
 out_ AS (SELECT doc_id, string_agg(coalesce(sub, '') || toks.tok || chr(1), '' ORDER BY i) AS seg FROM toks LEFT JOIN subs_of ON subs_of.tok = toks.tok GROUP BY doc_id)
 {_DIGEST} FROM out_""",
     "viterbi_decode": f"{_TAGGED} SELECT block, tags FROM tagged",
-    "tagger_words": f"""{_TAGGED},
-sent AS (SELECT block, {_CHARS.format(x='block')} AS c,
-                list_transform(range(1, length(tags) + 1), lambda i: CAST(substr(tags, i, 1) AS INT)) AS t FROM tagged),
+    "tagger_words": f"""{_TAGGED},{_SENT},
 {_FOLD.format(id='block', source='sent')}
 SELECT block, rtrim(words, chr(1)) AS words FROM folded""",
     "segment_corpus": f"""{_DAG},{_FILTERED}
