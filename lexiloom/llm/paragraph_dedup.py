@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiloom.llm.common import documents, key_filter, small_batches, stage
+from lexiloom.llm.common import BROADCAST_ROWS, documents, key_filter, small_batches, stage
 from lexiloom.llm.components import connected_components
 from lexiloom.llm.jaccard_join import join_regions
 from lexiloom.llm.shingles import SHINGLE, mix64, word_hashes, word_places
@@ -133,12 +133,15 @@ def band_rows(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _collisions(shown: DataFrame) -> DataFrame:
-    """(band, key) of the nodes in a band with another node."""
+    """(pivot, key) of the nodes in a band with another node; the pivot is the least of them.
+
+    Nodes that collide in several bands under one pivot meet in one region.
+    """
     rows = shown.select("key", F.explode("bands").alias("band"))
     one = Window.partitionBy("band")
     return (
-        rows.select("band", "key", F.min("key").over(one).alias("lo"), F.max("key").over(one).alias("hi"))
-        .filter("lo <> hi").select("band", "key").distinct()
+        rows.select("key", F.min("key").over(one).alias("pivot"), F.max("key").over(one).alias("last"))
+        .filter("pivot <> last").select("pivot", "key").distinct()
     )
 
 
@@ -174,6 +177,11 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame,
     return docs.select(F.col(id_col).alias("id"), scan(F.col(text_col)).alias("s")).select("id", "s.n", "s.found")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """To be broadcast if it has few rows; a written table."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_paragraphs, n_repeated, n_removed, removed, kept_in.
 
@@ -198,15 +206,16 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "para-sets",
     )
     sizes = sets.groupBy("node").agg(F.max("n").alias("n"))
-    regions = collisions.select(F.col("band").cast("string").alias("region"), F.col("key").alias("node"))
-    comps = connected_components(join_regions(stage(regions.join(sizes, "node"), "para-regions"), sets))
-    nodes = found.select("id", "no", "start", "end", F.format_string("%016x", "key").alias("node"))
-    named = nodes.join(comps, "node", "left").select(
-        "id", "no", "start", "end", F.coalesce("component", "node").alias("component")
+    regions = collisions.select(F.col("pivot").cast("string").alias("region"), F.col("key").alias("node"))
+    linked = connected_components(join_regions(stage(regions.join(sizes, "node"), "para-regions"), sets))
+    signed = lambda c: F.conv(c, 16, -10).cast("long")
+    comps = linked.select(signed("node").alias("key"), signed("component").alias("component"))
+    named = found.select("id", "no", "start", "end", "key").join(_few(comps), "key", "left").select(
+        "id", "no", "start", "end", F.coalesce("component", "key").alias("component")
     )
     named = stage(named, "para-named")
     groups = named.groupBy("component").agg(F.count("*").alias("size"), F.min(F.struct("id", "no")).alias("first"))
-    groups = stage(groups.filter("size > 1"), "para-groups")
+    groups = _few(stage(groups.filter("size > 1"), "para-groups"))
     marked = named.join(groups, "component").withColumn(
         "gone", ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("no") == F.col("first.no")))
     )
@@ -215,7 +224,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.array_sort(F.collect_list(F.when(F.col("gone"), F.struct("no", "start", "end", "component")))).alias("removed"),
         F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("first.id")))).alias("kept_in"),
     ).withColumnRenamed("id", "rid")  # lists bounded by a document's own paragraphs
-    none = F.array().cast("array<struct<no: long, start: long, `end`: long, component: string>>")
+    none = F.array().cast("array<struct<no: long, start: long, `end`: long, component: long>>")
     return read.select("id", F.col("n").alias("n_paragraphs")).join(
         stage(per, "para-documents"), F.col("id").eqNullSafe(F.col("rid")), "left"
     ).select(
@@ -231,5 +240,5 @@ def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         F.col("id").alias("doc_id"), "n_paragraphs", "n_repeated", "n_removed", "kept_in",
         F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",").alias("removed_spans"),
-        F.array_join(F.transform("removed", lambda r: r["component"]), ",").alias("components"),
+        F.array_join(F.transform("removed", lambda r: r["component"].cast("string")), ",").alias("components"),
     )

@@ -33,6 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexiloom.llm.common import BROADCAST_ROWS, documents, key_filter, small_batches, stage
 from lexiloom.llm.shingles import Powers, mix64
@@ -43,6 +44,8 @@ SPAN = 128
 #: Open strings are hashed in packings of about so many and settled in calls of about so many.
 PACKING = 1_000_000
 CALL_STRINGS = 2_000_000
+#: Shared ranks (one long each) that may be broadcast after they were counted; more are joined by a shuffle.
+NAMES = 2_000_000
 _BYTES = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(s)) | np.uint64(1) for s in (3, 5)]
 
 
@@ -144,7 +147,9 @@ def _phrases(texts: DataFrame) -> DataFrame:
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows whose rank occurs more than once."""
     names = rows.groupBy("rank").agg(F.count("*").alias("c")).filter("c > 1").select("rank")
-    return stage(rows.join(stage(names, "suffix-names"), "rank", "left_semi"), "suffix-ranks")
+    names = stage(names, "suffix-names")
+    side = F.broadcast(names) if names.count() <= NAMES else names
+    return stage(rows.join(side, "rank", "left_semi"), "suffix-ranks")
 
 
 def doubled_ranks(phrases: DataFrame) -> DataFrame:
@@ -153,11 +158,10 @@ def doubled_ranks(phrases: DataFrame) -> DataFrame:
     alive = _shared(rows.select("doc", "t", F.get("most", F.col("t")).alias("most"), "rank"))
     out, m = alive.select("doc", "t", F.lit(1).alias("m"), "rank"), 1
     while not alive.isEmpty():
-        ahead = alive.select("doc", (F.col("t") - m).alias("t"), F.col("rank").alias("ahead"))
+        there = Window.partitionBy("doc").orderBy("t").rangeBetween(m, m)  # the position m phrases on, if alive
         m *= 2
-        pairs = alive.filter(F.col("most") >= m).join(ahead, ["doc", "t"]).select(
-            "doc", "t", "most", F.xxhash64(F.lit(m), "rank", "ahead").alias("rank")
-        )
+        pairs = alive.withColumn("ahead", F.max("rank").over(there)).filter((F.col("most") >= m) & F.col("ahead").isNotNull())
+        pairs = pairs.select("doc", "t", "most", F.xxhash64(F.lit(m), "rank", "ahead").alias("rank"))
         alive = _shared(stage(pairs, "suffix-pairs"))
         out = out.union(alive.select("doc", "t", F.lit(m).alias("m"), "rank"))
     return out
