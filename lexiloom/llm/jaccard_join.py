@@ -53,6 +53,7 @@ CAP_SHINGLES = 4_000_000
 CALL_SHINGLES = 1_000_000
 PIVOTS = 8
 DEPTH = 4
+PLACED_ROWS = 2 * BROADCAST_ROWS
 HOT_SHARE = 0.005
 SALTS = 64
 _SEEN = 50_000
@@ -424,8 +425,9 @@ def join_regions(regions: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = stage(sizes.select("region", F.col("region").alias("group"), "weight", "large"), "jaccard-sizes")
     placed = regions.select("region", "node").join(_calls(sizes), "region")
     placed = stage(placed.select("region", "node", "group", "call", "large"), "jaccard-calls")
-    few = placed.count() <= BROADCAST_ROWS  # then the sets need no shuffle to meet their regions
-    small, large = ((lambda df: F.broadcast(df) if few else df)(placed.filter(c)) for c in ("NOT large", "large"))
+    small, large = placed.filter("NOT large").select("node", "group", "call"), placed.filter("large").select("node", "region")
+    # Narrow rows in a counted number go to the sets, which then need no shuffle to meet their regions.
+    small, large = ((F.broadcast(df) if df.count() <= PLACED_ROWS else df) for df in (small, large))
     small = sets.join(small, "node").withColumn("label", F.lit(-1)).withColumn("main", F.lit(-1))
     found = [stage(_join_calls(small), "jaccard-links")]
     if sizes.filter("large").isEmpty():

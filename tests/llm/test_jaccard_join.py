@@ -47,7 +47,7 @@ def test_against_brute_force(make, prose):
 
 @pytest.mark.parametrize("spread", [0.5, 9.0])
 def test_large_regions_split_recursively_or_in_blocks(make, prose, monkeypatch, spread):
-    for name, value in {"CAP_MEMBERS": 4, "PIVOTS": 3, "HOT_SHARE": 0.0, "DEPTH": 2, "SPREAD": spread, "BROADCAST_ROWS": 0}.items():
+    for name, value in {"CAP_MEMBERS": 4, "PIVOTS": 3, "HOT_SHARE": 0.0, "DEPTH": 2, "SPREAD": spread, "PLACED_ROWS": 0}.items():
         monkeypatch.setattr(J, name, value)
     assert result(make(prose)) == brute(prose)
 
