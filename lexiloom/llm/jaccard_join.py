@@ -2,7 +2,7 @@ r"""Exact Jaccard join on word shingles in metric space: pivots, Voronoi regions
 
 The Jaccard distance d = 1 - J is a metric; documents link when d <= EPS = 1/4.
 
-1. Regions. A document shows the first 35 % of its shingles in hash order. The least document
+1. Regions. A document shows the first 32 % of its shingles in hash order. The least document
    that shows a shingle is the shingle's pivot, and a document may be near a pivot only if it
    shows one of the pivot's shingles. Two linked documents share at least `_need` shown shingles,
    so documents that share fewer drop out, and a document enters the regions of its pivots in a
@@ -44,7 +44,7 @@ from lexiloom.llm.shingles import overlap, set_digest, shingle_set
 
 EPS = 0.25
 NUM, DEN = 3, 4  # J >= NUM / DEN
-SHOWN = 35  # per cent of a set's shingles, in hash order
+SHOWN = 32  # per cent of a set's shingles, in hash order
 CAP_MEMBERS = 1024
 ROWS = 256
 SLICE = 4096
@@ -75,7 +75,7 @@ def _need(n: Column) -> Column:
     ends first has its shown shingles in the other but for floor(n/4), and the other shows those.
     """
     m = F.floor((n * NUM + DEN - 1) / DEN)
-    return F.least(m, F.floor(m / 10) + 2)
+    return F.least(m, F.floor(m * (SHOWN - 25) / 100) + 2)
 
 
 def _node(digest: str) -> int:
