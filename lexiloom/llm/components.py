@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import stage
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (a, b); the component is its least node.
 
-    Each round takes the least label of the neighbours, then of the node the label names
-    (pointer jumping), so the rounds grow with the logarithm of a chain's length. Labels are
-    written to the shared folder each round; hubs are partial aggregates and skewed joins.
-    Null ends and loops link nothing. Raises if `rounds` do not suffice.
+    A label never grows and names a node of the same component. Each round looks up the label of
+    every node's label; the least of these among the neighbours goes to the node and to the node that
+    its label names, so whole trees move at once and the rounds grow with about the logarithm of a
+    chain's length, in whatever order its nodes are named. Rounds go on until no label changes.
+    Labels are written to the shared folder each round; hubs are partial aggregates and skewed joins.
+    Null ends and loops link nothing.
     """
     pairs = edges.select("a", "b").filter("a <> b").distinct()
     both = stage(pairs.union(pairs.select("b", "a")).distinct(), "cc-edges")
@@ -22,22 +24,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")),
         "cc-labels",
     )
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        hooked = stage(
-            labels.join(near, labels["node"] == near["a"], "left").select(
-                "node", F.least("label", F.coalesce("m", "label")).alias("l"), F.col("label").alias("was")
-            ),
-            "cc-hooked",
+    while True:
+        named = labels.select(F.col("node").alias("n2"), F.col("label").alias("up"))
+        far = stage(labels.join(named, labels["label"] == named["n2"]).select("node", "label", "up"), "cc-far")
+        near = both.join(far, both["b"] == far["node"]).groupBy("a").agg(F.min("up").alias("m"))
+        least = stage(
+            far.join(near, far["node"] == near["a"]).select("node", "label", F.least("up", "m").alias("l")), "cc-near"
         )
-        far = hooked.select(F.col("node").alias("n2"), F.col("l").alias("l2"))
-        new = stage(
-            hooked.join(far, hooked["l"] == far["n2"], "left").select(
-                "node", F.least("l", F.coalesce("l2", "l")).alias("label"), "was"
-            ),
-            "cc-labels",
-        )
-        labels = new.select("node", "label")
-        if new.filter("label <> was").isEmpty():
+        lower = least.filter("l < label")
+        if lower.isEmpty():
             return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        told = least.select("node", "l").union(lower.groupBy("label").agg(F.min("l")))
+        labels = stage(told.groupBy("node").agg(F.min("l").alias("label")), "cc-labels")

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import numpy as np
@@ -92,3 +93,11 @@ def test_components_of_chains_hubs_and_loops(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert {got[f"{i:03}"] for i in range(61)} == {"000"} and {got[str(i)] for i in range(600, 640)} == {"500"}
     assert "900" not in got
+
+
+def test_components_of_long_chains_in_random_order(spark):
+    names = [hashlib.sha256(str(i).encode()).hexdigest()[:32] for i in range(2500)]
+    edges = [(names[i], names[i + 1]) for i in range(2499) if i != 1499]  # 1500 and 1000 nodes
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    first, second = min(names[:1500]), min(names[1500:])
+    assert got == {**dict.fromkeys(names[:1500], first), **dict.fromkeys(names[1500:], second)}
