@@ -13,8 +13,11 @@ one by one, characters of a decoded run to the run as a whole. Each layer text i
 document place (cycle detection). Base spans always stay; a mapped span equal to one found before is
 listed once.
 
-A decompressed layer is read up to `MAX_LAYER` bytes, so that a compression bomb costs bounded
-memory; the document's own text is always read whole.
+Streams are read to the end, every member of them; what follows a member and is none is left. A
+layer of more than `MAX_LAYER` characters is scanned in pieces that share `OVERLAP` characters, so that
+a compression bomb costs bounded memory: only a secret or a run longer than that may be cut where two
+pieces meet. The document's own text is always read whole. A layer is text if it is UTF-8. Base64 that
+goes on over line breaks is read as one run, and each of its lines as well.
 
 Defined results: null counts as empty and has no spans; repeated rows get equal rows; other columns
 are not read.
@@ -25,10 +28,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,6 +44,8 @@ from lexiloom.llm.common import documents, small_batches
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 1 << 24
+OVERLAP = 1 << 20
+_STEP = 1 << 20
 LEAST_RUN = 16
 
 ASSIGN = re.compile(
@@ -51,6 +58,10 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_RUN)
+_WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}" % LEAST_RUN
+)
+_BLANK = str.maketrans("", "", " \t\r\n")
 _URLSAFE = str.maketrans("-_", "+/")
 
 
@@ -148,42 +159,104 @@ class Layer:
 
     def runs(self) -> Iterator[Layer]:
         """The texts inside base64 runs, compressed ones unpacked."""
-        for m in _RUN.finditer(self.text):
-            text = _opened(m.group())
-            if text:
-                lo, hi = self.place(m.start(), m.end())
+        places = [m.span() for m in _RUN.finditer(self.text)]
+        for m in _WRAPPED.finditer(self.text):
+            places += _wrapped(m)
+        for at, to in places:
+            lo, hi = self.place(at, to)
+            for text in _opened(self.text[at:to].translate(_BLANK)):
                 yield Layer(text, np.full(len(text), lo), np.full(len(text), hi))
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, MAX_LAYER)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MAX_LAYER)
-        if raw[:1] == b"\x78":
-            return zlib.decompressobj().decompress(raw, MAX_LAYER)
-    except (zlib.error, OSError, EOFError, ValueError):
-        pass
+def _wrapped(m: re.Match) -> list[tuple[int, int]]:
+    """Places of wrapped base64 in lines of its characters: equally long lines with the shorter one after them."""
+    lines = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[^\s]+", m.group())]
+    width = [to - at for at, to in lines]
+    out, first = [], 0
+    for k in range(1, len(lines) + 1):
+        if k == len(lines) or width[k] != width[first]:
+            last = k if k < len(lines) and width[k] < width[first] else k - 1
+            if last > first and width[first] >= LEAST_RUN:
+                out.append((lines[first][0], lines[last][1]))
+            first = k
+    return out
+
+
+def _opener(head: bytes) -> Callable | None:
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:1] == b"\x78":
+        return zlib.decompressobj
     return None
 
 
-def _opened(run: str) -> str | None:
-    """The printable text that a base64 run holds, if it holds one."""
+def _inflated(parts: Iterator[bytes], new: Callable) -> Iterator[bytes]:
+    """The bytes of all members of a stream; raises if it is none, ends at a later fault."""
+    d, told = new(), False
+    try:
+        for data in parts:
+            while True:
+                out = d.decompress(data, _STEP)
+                if out:
+                    told = True
+                    yield out
+                if d.eof:
+                    data = d.unused_data
+                    d = new()
+                    if not data:
+                        break
+                else:
+                    data = getattr(d, "unconsumed_tail", b"")
+                    if not data and not out:
+                        break
+    except (zlib.error, OSError, EOFError, ValueError):
+        if not told:
+            raise
+
+
+def _unpacked(raw: bytes) -> Iterator[bytes]:
+    """The bytes, decompressed as often as they are a stream."""
+    head, parts = raw, iter(())
+    while (new := _opener(head)) is not None:
+        more = _inflated(chain([head], parts), new)
+        try:
+            inner = next(more, None)
+        except (zlib.error, OSError, EOFError, ValueError):
+            break
+        if inner is None or inner == head:
+            break
+        head, parts = inner, more
+    return chain([head], parts)
+
+
+def _opened(run: str) -> Iterator[str]:
+    """The text that a base64 run holds, if it holds one; a long one in pieces that overlap."""
     body = run.rstrip("=").translate(_URLSAFE)
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    while (more := _inflated(raw)) is not None and more != raw:
-        raw = more
+        return
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    held, size, shared = [], 0, 0
     try:
-        text = raw.decode("utf-8")
+        for data in _unpacked(raw):
+            held.append(decoder.decode(data))
+            size += len(held[-1])
+            if size >= MAX_LAYER:
+                text = "".join(held)
+                yield text
+                held, size = [text[-OVERLAP:]], min(OVERLAP, size)
+                shared = size
+        held.append(decoder.decode(b"", True))
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        return
+    text = "".join(held)
+    if len(text) > shared:
+        yield text
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -74,3 +74,33 @@ def test_spans_count_code_points(make):
     got = [r["s"] for r in docs.select(S.secret_spans(docs).alias("s")).collect()]
     assert got[0]["base"] == got[0]["spans"] == "assign:3:18" == got[2]["base"]
     assert (got[1]["n_assign"], got[1]["base"], got[1]["spans"]) == (0, "", "")
+
+
+def lines_of(run, width=76):
+    return "\n".join(run[i : i + width] for i in range(0, len(run), width))
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        b64(gzip.compress(b"nothing here") + gzip.compress(PLAIN.encode())),
+        b64(bz2.compress(b"nothing here") + bz2.compress(PLAIN.encode())),
+        *(b64(f"Prix{c} {PLAIN}".encode()) for c in "\u00a0\u202f\ufeff\u00ad\u200b\f\0"),
+        lines_of(b64(b"-" * 53 + PLAIN.encode())),
+        lines_of(b64(b"-" * (57 * 3 - 4) + PLAIN.encode())).replace("\n", "\r\n"),
+        b64(gzip.compress(b"a " * (S.MAX_LAYER // 2 - 10) + "\u00e9".encode() * 20 + b" " + PLAIN.encode())),
+    ],
+)
+def test_layers_are_read_whole(hidden):
+    text = f"before {hidden} after"
+    base, every = found(text)
+    assert base == [] and every and all(e in hidden for e in every)
+    assert {k for _, k, _ in S.find_secrets(text)[1]} == {0}
+
+
+def test_pieces_of_a_long_layer_share_characters(monkeypatch):
+    monkeypatch.setattr(S, "MAX_LAYER", 1000)
+    monkeypatch.setattr(S, "OVERLAP", 100)
+    monkeypatch.setattr(S, "_STEP", 64)
+    for n in range(900, 1100, 7):
+        assert len(found(f"x {b64(gzip.compress(b'a ' * n + PLAIN.encode() + b' b' * 700))} y")[1]) == 1
