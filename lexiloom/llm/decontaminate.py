@@ -14,7 +14,8 @@ The benchmark side is broadcast in blocks of at most `BLOCK` windows, counted fi
 mean more scans, never a larger broadcast.
 
 Defined results: null or empty texts have no words; an item without words has no window; items
-that repeat an id pool their windows; rows that repeat a document's id and text get the same row
+that repeat an id pool their windows; an item with a null id counts in n_hit and
+n_items and has no place in the list of ids; rows that repeat a document's id and text get the same row
 each; other columns are not read.
 """
 
@@ -85,7 +86,7 @@ def _block(df: DataFrame, b: int, blocks: int) -> DataFrame:
 def occurrences(
     docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int
 ) -> DataFrame:
-    """True occurrences of windows (id, h, start, n, item); a null item tells a row's words in `start`."""
+    """True occurrences of windows (id, h, start, n, item, is_count); `is_count` tells a row's words in `start`."""
     windows = stage(benchmark_windows(items, item_col, item_text, window), "bench-windows")
     blocks = max(1, -(-windows.count() // BLOCK))
     texts = docs.select(
@@ -94,19 +95,19 @@ def occurrences(
     prefix = _prefixes(texts, windows, blocks)
     mark = prefix.sparkSession.range(1).select(
         F.lit(None).cast("string").alias("item"), F.array().cast("array<string>").alias("words"), F.lit(0).alias("n"),
-        F.lit(END).alias("token"), F.lit(0).alias("off"),
+        F.lit(END).alias("token"), F.lit(0).alias("off"), F.lit(True).alias("is_count"),
     )
     found = []
     for b in range(blocks):
-        side = _block(prefix, b, blocks)
+        side = _block(prefix, b, blocks).withColumn("is_count", F.lit(False))
         words = F.array_append("w", F.lit(END)) if b == 0 else F.col("w")
         found.append(
             texts.select("id", "h", "w", F.posexplode(words).alias("pos", "token"))
             .join(F.broadcast(side.unionByName(mark) if b == 0 else side), "token")
             .withColumn("start", F.col("pos") - F.col("off"))
             .filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("w")))
-            .filter(F.col("item").isNull() | (F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("n")) == F.col("words")))
-            .select("id", "h", "start", "n", "item")
+            .filter(F.col("is_count") | (F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("n")) == F.col("words")))
+            .select("id", "h", "start", "n", "item", "is_count")
         )
     return reduce(DataFrame.unionByName, found)
 
@@ -120,10 +121,10 @@ def decontaminate(
     item_text: str = "text",
     window: int = WINDOW,
 ) -> DataFrame:
-    """One row per document: id, h (hash of its text), n_words, n_hit, items (sorted array of ids)."""
+    """One row per document: id, h (hash of its text), n_words, n_hit, items (sorted array of ids), n_items."""
     found = stage(occurrences(docs, items, id_col, text_col, item_col, item_text, window), "bench-found")
-    counted = found.filter("item IS NULL").select("id", "h", F.col("start").cast("long").alias("n_words"))
-    found = found.filter("item IS NOT NULL")
+    counted = found.filter("is_count").select("id", "h", F.col("start").cast("long").alias("n_words"))
+    found = found.filter("NOT is_count")
     spans = found.select("id", "h", "start", "n").distinct()
     hit = (
         spans.select("id", "h", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("p"))
@@ -131,16 +132,19 @@ def decontaminate(
         .groupBy("id", "h")
         .agg(F.count("*").alias("n_hit"))
     )
-    items_of = found.groupBy("id", "h").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items_of = found.groupBy("id", "h").agg(
+        F.array_sort(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull().cast("long")).alias("nameless")
+    )
     per_doc = hit.withColumnsRenamed({"id": "i1", "h": "h1"}).join(
         items_of, F.col("i1").eqNullSafe(F.col("id")) & F.col("h1").eqNullSafe(F.col("h"))
-    ).select("i1", "h1", "n_hit", "items")
+    ).select("i1", "h1", "n_hit", "items", (F.size("items") + F.col("nameless")).alias("n_items"))
     per_doc = stage(per_doc, "bench-hits")
     return counted.join(
         per_doc, F.col("id").eqNullSafe(F.col("i1")) & F.col("h").eqNullSafe(F.col("h1")), "left"
     ).select(
         "id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
     )
 
 
@@ -150,7 +154,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"),
         "n_words",
         "n_hit",
-        F.size("items").cast("long").alias("n_items"),
+        "n_items",
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )

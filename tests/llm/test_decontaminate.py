@@ -58,3 +58,11 @@ def test_no_python_in_the_plan(spark, make):
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     plan = D.decontaminate(make([(1, "a b c d")]), items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_items_with_a_null_id_count_hits(spark, make):
+    docs = [(1, "x a b c y"), (2, "c a d"), (3, "b a b c"), (4, "d e f")]
+    items = [(None, "a b c"), (None, "d"), (7, "b c"), (None, None)]
+    assert result(spark, make(docs), items, 3) == [(1, 5, 3, ["7"]), (2, 3, 1, []), (3, 4, 3, ["7"]), (4, 3, 1, [])]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert {r["id"]: r["n_items"] for r in D.decontaminate(make(docs), table, window=3).collect()} == {1: 2, 2: 1, 3: 2, 4: 1}
