@@ -4,38 +4,114 @@ A text falls into blocks; blocks of ASCII letters and digits stay whole, every o
 path of greatest summed log-probability, found from right to left. Of equal sums the first candidate
 wins: dictionary words by length, then the run of letters and digits that starts there. A character on
 its own is a candidate only where nothing else starts.
+
+A worker looks at a batch of texts at once: its distinct blocks lie in one array, all words that start
+anywhere are found level by level (`Words`), and one sweep from the right settles every block. A lexicon
+that is too large to broadcast is joined instead (`cut_joined`); `segment` chooses by its count.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import accumulate, chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexiloom.functions import text as T
+from lexiloom.operators.tagger import GAP, Tagger, code_points
 from lexiloom.sources.dictionaries import UNKNOWN
 
-#: Words that may be broadcast to every Python worker; beyond it the lattice is joined (`cut_joined`).
+#: Words that may be broadcast to every Python worker (about 30 bytes each); beyond it the lattice is joined.
 LEXICON_WORDS = 5_000_000
-#: Distinct blocks whose cut a worker remembers.
-MEMORY = 100_000
-
-_BLOCK = regex.compile(r"[A-Za-z0-9一-鿿]+|[^A-Za-z0-9一-鿿]+")
-_ALNUM = regex.compile(r"[A-Za-z0-9]+")
+#: Characters of the blocks whose cut a worker remembers.
+MEMORY = 4_000_000
+#: Rows a worker takes at once.
+BATCH = 500
+
+_BLOCK = re.compile(r"[A-Za-z0-9\u4e00-\u9fff]+|[^A-Za-z0-9\u4e00-\u9fff]+")
+#: Some character that is no punctuation (as `functions.text.is_punctuation`).
+_WORDY = regex.compile(r"[^\p{P}\p{S}\u3000-\u303F\uFF00-\uFFEF]")
 _FLOOR = -1.7976931348623157e308
 
 
-def collect_lexicon(lexicon: DataFrame) -> dict[str, float]:
-    """word -> log-probability, NaN where it has none. Raises beyond LEXICON_WORDS."""
+class Words:
+    """A lexicon as levels of prefixes, in arrays.
+
+    A prefix of k characters has a number; a prefix and its next character, packed into one integer, are
+    looked up among the sorted ones of the next level. Prefixes that are words have a log-probability.
+    """
+
+    def __init__(self, words: list[str], logp: np.ndarray) -> None:
+        codes, lens = code_points(words)
+        at = np.cumsum(lens) - lens
+        self.first = np.full(0x110001, -1, dtype=np.int32)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        parent, alive = np.zeros(len(lens), dtype=np.int64), np.flatnonzero(lens > 0)
+        for k in range(int(lens.max(initial=0))):
+            key = parent[alive] << 21 | codes[at[alive] + k]
+            level, number = np.unique(key, return_inverse=True)
+            parent[alive] = number
+            ends = alive[lens[alive] == k + 1]
+            is_word, value = np.zeros(len(level), dtype=bool), np.zeros(len(level))
+            is_word[parent[ends]], value[parent[ends]] = True, logp[ends]
+            if k == 0:
+                self.first[level] = np.arange(len(level))
+            self.levels.append((level, is_word, value))
+            alive = alive[lens[alive] > k + 1]
+
+    @classmethod
+    def of(cls, logp: dict[str, float] | Words) -> Words:
+        if not isinstance(logp, dict):  # may be of another copy of this class, as classes travel by value
+            return logp
+        return cls(list(logp), np.array(list(logp.values()), dtype=np.float64))
+
+    @property
+    def longest(self) -> int:
+        return len(self.levels)
+
+    def found(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, log-probability) of every word in the codes, by start, then length."""
+        starts, sizes, values = [], [], []
+        at, node = np.arange(len(codes)), np.zeros(0, dtype=np.int64)
+        for k, (level, is_word, value) in enumerate(self.levels):
+            if k == 0:
+                node = self.first[codes]
+                hit = node >= 0
+            else:
+                inside = at + k < len(codes)
+                at, node = at[inside], node[inside]
+                key = node.astype(np.int64) << 21 | codes[at + k]
+                node = np.searchsorted(level, key)
+                node[node == len(level)] = 0
+                hit = level[node] == key
+            at, node = at[hit], node[hit]
+            if not len(at):
+                break
+            word = is_word[node]
+            starts.append(at[word])
+            sizes.append(np.full(len(starts[-1]), k + 1))
+            values.append(value[node[word]])
+        if not starts:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        start, size, value = map(np.concatenate, (starts, sizes, values))
+        order = np.argsort(start, kind="stable")  # levels come by length
+        return start[order], size[order], value[order]
+
+
+def collect_lexicon(lexicon: DataFrame) -> Words | None:
+    """The lexicon for broadcasting; None beyond LEXICON_WORDS. A word without logp has NaN and is never chosen."""
     rows = lexicon.select("word", "logp").limit(LEXICON_WORDS + 1).toPandas()
     if len(rows) > LEXICON_WORDS:
-        raise ValueError("the lexicon is too large to broadcast; use cut_joined")
-    return dict(zip(rows["word"], rows["logp"].astype(float)))
+        return None
+    return Words(rows["word"].tolist(), rows["logp"].to_numpy(dtype=np.float64, na_value=np.nan))
 
 
 def choose_path(n: int, candidates: Callable[[int], list[tuple[int, float]]]) -> list[int]:
@@ -58,100 +134,249 @@ def choose_path(n: int, candidates: Callable[[int], list[tuple[int, float]]]) ->
     return ends
 
 
-def best_path(block: str, logp: dict[str, float], longest: int) -> list[str]:
+def _runs(codes: np.ndarray) -> np.ndarray:
+    """For each place the end of the run of ASCII letters and digits that holds it; 0 outside of runs."""
+    low = codes | 32
+    inside = ((codes >= 48) & (codes <= 57)) | ((low >= 97) & (low <= 122) & (codes < 128))
+    out = np.where(inside, len(codes), np.arange(len(codes)))
+    ends = np.minimum.accumulate(out[::-1])[::-1]
+    return np.where(inside, ends, 0)
+
+
+def _apart(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of all texts with a gap after each, which no word spans; where each starts; its length."""
+    plain, lens = code_points(texts)
+    starts = np.cumsum(lens + 1) - lens - 1
+    codes = np.full(len(plain) + len(texts), GAP, dtype=np.int64)
+    codes[np.arange(len(plain)) + np.repeat(np.arange(len(texts)), lens)] = plain
+    return codes, starts, lens
+
+
+def best_paths(blocks: list[str], words: Words) -> list[list[str]]:
+    """The words of each block."""
+    codes, starts, lens = _apart(blocks)
+    start, size, value = words.found(codes)
+    run = _runs(codes)
+    if run.any():
+        # A run ends like a word of its own where no dictionary word does.
+        at = np.flatnonzero(run)
+        at = at[~np.isin(at * (len(codes) + 1) + run[at], start * (len(codes) + 1) + start + size)]
+        start, size = np.concatenate((start, at)), np.concatenate((size, run[at] - at))
+        value = np.concatenate((value, np.full(len(at), UNKNOWN)))
+        order = np.argsort(start, kind="stable")
+        start, size, value = start[order], size[order], value[order]
+    at = np.searchsorted(start, np.arange(len(codes) + 1)).tolist()
+    ends, value = (start + size).tolist(), value.tolist()
+    best = [0.0] * (len(codes) + 1)  # 0 at the gaps, so that each block begins anew
+    to = list(range(1, len(codes) + 1))
+    gap = set((starts + lens).tolist())
+    hi = len(ends)
+    for i in range(len(codes) - 1, -1, -1):
+        lo = at[i]
+        if lo == hi:
+            if i not in gap:
+                best[i] = UNKNOWN + best[i + 1]
+            continue
+        top, end = _FLOOR, -1
+        for c in range(lo, hi):
+            p = value[c] + best[ends[c]]
+            if p > top:
+                top, end = p, ends[c]
+        if end < 0:
+            top, end = UNKNOWN + best[i + 1], i + 1
+        best[i], to[i] = top, end
+        hi = lo
+    out = []
+    for block, lo, n in zip(blocks, starts.tolist(), lens.tolist()):
+        cut, i, hi = [], lo, lo + n
+        while i < hi:
+            j = to[i]
+            cut.append(block[i - lo : j - lo])
+            i = j
+        out.append(cut)
+    return out
+
+
+def best_path(block: str, logp: dict[str, float] | Words) -> list[str]:
     """The words of one block."""
-    n = len(block)
-    run = [0] * (n + 1)  # end of the run of letters and digits that holds each place
-    for m in _ALNUM.finditer(block):
-        run[m.start() : m.end()] = [m.end()] * (m.end() - m.start())
-
-    def candidates(i: int) -> list[tuple[int, float]]:
-        out = [(i + k, logp[w]) for k in range(1, min(longest, n - i) + 1) if (w := block[i : i + k]) in logp]
-        if run[i] and all(e != run[i] for e, _ in out):
-            out.append((run[i], logp.get(block[i : run[i]], UNKNOWN)))
-        return out or [(i + 1, UNKNOWN)]
-
-    words, at = [], 0
-    for end in choose_path(n, candidates):
-        words.append(block[at:end])
-        at = end
-    return words
+    return best_paths([block], Words.of(logp))[0]
 
 
 class Cutter:
     """Cuts texts by dictionary, by tagger or by both; made once in each Python worker."""
 
-    def __init__(self, logp: dict[str, float], longest: int | None = None, tagger=None, mode: str = "dag", compat_duplicate: bool = False) -> None:
-        self.logp = logp
-        self.longest = max((len(w) for w in logp), default=0) if longest is None else longest
+    def __init__(
+        self, logp: dict[str, float] | Words, tagger=None, mode: str = "dag", compat_duplicate: bool = False, punctuation: bool = True
+    ) -> None:
+        self.words = Words.of(logp)
         self.tagger = tagger
         self.mode = mode if tagger is not None else "dag"
         self.compat = compat_duplicate
-        self.cut_block = lru_cache(maxsize=MEMORY)(self._cut_block)
-        self.expand = lru_cache(maxsize=MEMORY)(self._expand)
-
-    def _cut_block(self, block: str) -> tuple[str, ...]:
+        self.punctuation = punctuation
+        self.memo: dict[str, tuple[str, ...]] = {}
+        self.memo_chars = 0
+        self.inner: dict[str, tuple[str, ...]] = {}
+        self.inner_chars = 0
+
+    def _blocks(self, blocks: list[str]) -> list[list[str]]:
+        """Words of blocks that are not letters and digits alone."""
         if self.mode == "crf":
-            return tuple(self.tagger.cut(block, self.compat))
-        words = best_path(block, self.logp, self.longest)
-        if self.mode != "hybrid":
-            return tuple(words)
-        out: list[str] = []
-        gap = ""
-        for w in words:
-            if len(w) > 1:
-                out += self.tagger.cut(gap, self.compat) if gap else []
-                out.append(w)
-                gap = ""
+            return self.tagger.cut_many(blocks, self.compat)
+        paths = best_paths(blocks, self.words)
+        return self.fill_gaps(paths) if self.mode == "hybrid" else paths
+
+    def fill_gaps(self, paths: list[list[str]]) -> list[list[str]]:
+        """Dictionary paths in which the tagger has cut the runs of single characters."""
+        pieces: list[list[tuple[bool, str]]] = []
+        for path in paths:
+            mine: list[tuple[bool, str]] = []
+            gap = ""
+            for w in path:
+                if len(w) > 1:
+                    if gap:
+                        mine.append((True, gap))
+                        gap = ""
+                    mine.append((False, w))
+                else:
+                    gap += w
+            if gap:
+                mine.append((True, gap))
+            pieces.append(mine)
+        gaps = list(dict.fromkeys(p for mine in pieces for is_gap, p in mine if is_gap))
+        cut = dict(zip(gaps, self.tagger.cut_many(gaps, self.compat)))
+        return [[w for is_gap, p in mine for w in (cut[p] if is_gap else (p,))] for mine in pieces]
+
+    def cut_many(self, texts: list[str | None]) -> tuple[list[str], list[int]]:
+        """The tokens of all texts in one list, and how many each text has."""
+        cut = [_BLOCK.findall(t) if t else [] for t in texts]
+        here: dict[str, tuple[str, ...]] = {}
+        new = []
+        for block in dict.fromkeys(chain.from_iterable(cut)):
+            known = self.memo.get(block)
+            if known is None and block.isascii() and block.isalnum():
+                known = (block,)
+            if known is None:
+                new.append(block)
             else:
-                gap += w
-        return tuple(out + (self.tagger.cut(gap, self.compat) if gap else []))
+                here[block] = known
+        if new:
+            for block, words in zip(new, self._blocks(new)):
+                if not self.punctuation:
+                    words = [w for w in words if _WORDY.search(w)]
+                here[block] = tuple(words)
+            self.memo_chars += sum(map(len, new))
+            if self.memo_chars > MEMORY:
+                self.memo, self.memo_chars = {}, sum(map(len, new))
+            if self.memo_chars <= MEMORY:
+                self.memo.update((block, here[block]) for block in new)
+        sizes = list(accumulate(map(len, map(here.__getitem__, chain.from_iterable(cut))), initial=0))
+        ends = list(accumulate(map(len, cut), initial=0))
+        tokens = list(chain.from_iterable(map(here.__getitem__, chain.from_iterable(cut))))
+        return tokens, [sizes[hi] - sizes[lo] for lo, hi in zip(ends, ends[1:])]
+
+    def search_many(self, texts: list[str | None]) -> tuple[list[str], list[int]]:
+        """Tokens with, before each of three characters or more, the dictionary words inside it."""
+        tokens, counts = self.cut_many(texts)
+        new = [t for t in dict.fromkeys(tokens) if t not in self.inner]
+        self.inner_chars += sum(map(len, new))
+        if self.inner_chars > MEMORY:
+            self.inner, new = {}, list(dict.fromkeys(tokens))
+            self.inner_chars = sum(map(len, new))
+        self.inner.update(zip(new, self._inner(new)))
+        ends = list(accumulate(counts, initial=0))
+        sizes = list(accumulate(map(len, map(self.inner.__getitem__, tokens)), initial=0))
+        return list(chain.from_iterable(map(self.inner.__getitem__, tokens))), [sizes[hi] - sizes[lo] for lo, hi in zip(ends, ends[1:])]
+
+    def _inner(self, words: list[str]) -> list[tuple[str, ...]]:
+        out = {w: (w,) for w in words}
+        long = [w for w in words if len(w) > 2 and not (w.isascii() and w.isalnum())]
+        codes, starts, _ = _apart(long)
+        start, size, _ = self.words.found(codes)
+        owner = np.searchsorted(starts, start, side="right") - 1
+        inside: dict[str, list[str]] = {}
+        lo = start - starts[owner] if len(start) else start
+        for k, i, n in zip(owner.tolist(), lo.tolist(), size.tolist()):
+            w = long[k]
+            if n < len(w):
+                inside.setdefault(w, []).append(w[i : i + n])
+        for w, subs in inside.items():
+            out[w] = (*subs, w)
+        return [out[w] for w in words]
 
     def cut(self, text: str | None) -> list[str]:
-        out: list[str] = []
-        for block in _BLOCK.findall(text or ""):
-            if _ALNUM.fullmatch(block):
-                out.append(block)
-            else:
-                out += self.cut_block(block)
-        return out
-
-    def _expand(self, word: str) -> tuple[str, ...]:
-        n = len(word)
-        if n <= 2 or _ALNUM.fullmatch(word):
-            return (word,)
-        # No dictionary word is longer than the longest, so longer substrings need no look.
-        most = max((len(w) for w in self.logp), default=0) if self.longest is None else self.longest
-        subs = [
-            s for i in range(n) for j in range(i + 1, min(n, i + most) + 1) if j - i < n and (s := word[i:j]) in self.logp
-        ]
-        return (*subs, word)
+        return self.cut_many([text])[0]
 
     def search(self, text: str | None) -> list[str]:
-        return [s for w in self.cut(text) for s in self.expand(w)]
+        return self.search_many([text])[0]
 
 
-def segment_udf(session, logp: dict[str, float], tagger=None, mode: str = "hybrid", search: bool = False, longest: int | None = None, compat_duplicate: bool = False) -> Callable[[Column | str], Column]:
-    """A column function text -> array<string>. Unknown modes cut as `hybrid`; without a tagger, all as `dag`."""
-    mode = mode if mode in ("dag", "crf", "hybrid") else "hybrid"
-    shared = session.sparkContext.broadcast((logp, tagger.weights() if tagger is not None else None))
+def _lists(tokens: list[str], counts: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(list(accumulate(counts, initial=0)), pa.int32()), pa.array(tokens, pa.string()))
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from lexiloom.operators.tagger import Tagger
 
+def _modes(mode: str) -> str:
+    return mode if mode in ("dag", "crf", "hybrid") else "hybrid"
+
+
+def segment_udf(
+    session, logp: dict[str, float] | Words, tagger=None, mode: str = "hybrid", search: bool = False,
+    compat_duplicate: bool = False, punctuation: bool = True,
+) -> Callable[[Column | str], Column]:
+    """A column function text -> array<string>. Unknown modes cut as `hybrid`; without a tagger, all as
+    `dag`; without `punctuation`, tokens of punctuation alone go."""
+    mode = _modes(mode)
+    shared = session.sparkContext.broadcast((Words.of(logp), tagger.weights() if tagger is not None else None))
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, weights = shared.value
-        cutter = Cutter(words, longest, Tagger(*weights) if weights else None, mode, compat_duplicate)
-        cut = cutter.search if search else cutter.cut
+        cutter = Cutter(words, Tagger(*weights) if weights else None, mode, compat_duplicate, punctuation)
+        cut = cutter.search_many if search else cutter.cut_many
         for texts in batches:
-            yield pd.Series([cut(t) for t in texts], dtype=object)
+            yield _lists(*cut(texts.to_pylist()))
 
-    return run
+    # Else a filter on the tokens would be pushed below the cut with a second copy of it.
+    return run.asNondeterministic()
 
 
-def segment(df: DataFrame, text_col: str, lexicon: DataFrame, model=None, mode: str = "hybrid", search: bool = False, out: str = "tokens") -> DataFrame:
-    """`df` with the tokens of `text_col`: one narrow pass, the lexicon and the model broadcast."""
-    run = segment_udf(df.sparkSession, collect_lexicon(lexicon), model, mode, search)
+def routed_udf(session, logp: dict[str, float] | Words, tagger=None) -> Callable[..., Column]:
+    """A column function (text, mode, search) -> array<string>: every row is cut once, in its own way."""
+    shared = session.sparkContext.broadcast((Words.of(logp), tagger.weights() if tagger is not None else None))
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        words, weights = shared.value
+        model = Tagger(*weights) if weights else None
+        cutters = {m: Cutter(words, model, m) for m in ("dag", "crf", "hybrid")}
+        for texts, modes, searches in batches:
+            rows: dict[tuple[str, bool], list[int]] = {}
+            for k, route in enumerate(zip(modes.to_pylist(), searches.to_pylist())):
+                rows.setdefault((_modes(route[0]), bool(route[1])), []).append(k)
+            plain = texts.to_pylist()
+            out: list[list[str]] = [[]] * len(plain)
+            for (mode, search), ks in rows.items():
+                cutter = cutters[mode]
+                tokens, counts = (cutter.search_many if search else cutter.cut_many)([plain[k] for k in ks])
+                at = list(accumulate(counts, initial=0))
+                for k, lo, hi in zip(ks, at, at[1:]):
+                    out[k] = tokens[lo:hi]
+            yield _lists(list(chain.from_iterable(out)), list(map(len, out)))
+
+    return run.asNondeterministic()
+
+
+def segment(
+    df: DataFrame, text_col: str, lexicon: DataFrame, model=None, mode: str = "hybrid", search: bool = False, out: str = "tokens",
+    compat_duplicate: bool = False, punctuation: bool = True,
+) -> DataFrame:
+    """`df` with the tokens of `text_col`: one narrow pass, the lexicon and the model broadcast. A lexicon
+    of more than LEXICON_WORDS is joined to the distinct blocks instead."""
+    words = collect_lexicon(lexicon)
+    if words is None:
+        return _segment_joined(df, text_col, lexicon, model, _modes(mode), search, out, compat_duplicate, punctuation)
+    run = segment_udf(df.sparkSession, words, model, mode, search, compat_duplicate, punctuation)
     return df.withColumn(out, run(F.col(text_col)))
 
 
@@ -166,8 +391,7 @@ def search_tokens(df: DataFrame, text_col: str, lexicon: DataFrame, model=None,
 
 def segment_corpus(docs: DataFrame, lexicon: DataFrame, text_col: str = "text", out: str = "tokens") -> DataFrame:
     """Dictionary cut without tokens of punctuation alone; rows without tokens go."""
-    cut = cut_dag(docs, text_col, lexicon, out)
-    return cut.withColumn(out, F.filter(out, lambda t: ~T.is_punctuation(t))).filter(F.size(out) > 0)
+    return segment(docs, text_col, lexicon, None, "dag", out=out, punctuation=False).filter(F.size(out) > 0)
 
 
 def segment_lines(docs: DataFrame, lexicon: DataFrame, model=None, mode: str = "hybrid", text_col: str = "text") -> DataFrame:
@@ -176,50 +400,123 @@ def segment_lines(docs: DataFrame, lexicon: DataFrame, model=None, mode: str = "
     return segment(rows, text_col, lexicon, model, mode).withColumn("line", F.array_join("tokens", " / ")).drop("tokens")
 
 
+def _numbered(blocks: DataFrame, block_col: str) -> DataFrame:
+    """(b, block): distinct blocks under a short name: themselves, or a digest of long ones."""
+    b = blocks.select(F.col(block_col).alias("block")).distinct()
+    return b.select(F.when(F.char_length("block") <= 32, F.col("block")).otherwise(F.sha2("block", 256)).alias("b"), "block")
+
+
+def _candidates(b: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
+    """(b, i, found): the candidates (source, k, logp) that start at place i of a block, in order."""
+    longest = max(1, longest)
+    piece = F.posexplode(T.pieces("block", longest - 1))
+    at = b.filter("block <> ''").select("b", F.char_length("block").alias("n"), piece.alias("piece_no", "piece"))
+    size = F.least(F.lit(T.PIECE), F.col("n") - F.col("piece_no") * T.PIECE)
+    places = at.select("b", "piece_no", "piece", F.explode(F.sequence(F.lit(0), size - 1)).alias("j"))
+    i = (F.col("piece_no") * T.PIECE + F.col("j")).alias("i")
+    left = F.char_length("piece") - F.col("j")
+    subs = places.select("b", i, "piece", "j", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), left))).alias("k"))
+    subs = subs.select("b", "i", "k", F.substring(F.col("piece"), F.col("j") + 1, F.col("k")).alias("word"))
+    words = subs.join(lexicon.select("word", "logp"), "word").select("b", "i", F.lit(0).alias("source"), "k", "logp")
+    # Every end of a run of letters and digits, from each of its places.
+    mixed = F.posexplode(F.regexp_extract_all("block", F.lit(f"([{T.ALNUM}]+|[^{T.ALNUM}]+)"), F.lit(1)))
+    parts = b.filter(T.has_alnum("block")).select("b", mixed.alias("p", "part")).withColumn("m", F.char_length("part"))
+    before = Window.partitionBy("b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    runs = parts.withColumn("lo", F.coalesce(F.sum("m").over(before), F.lit(0)).cast("int")).filter(T.is_alnum("part"))
+    runs = runs.select("b", "lo", "m", "part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j")).withColumn("k", F.col("m") - F.col("j"))
+    known = lexicon.select("word", F.col("logp").alias("lp"), F.lit(True).alias("known"))
+    runs = runs.select(
+        "b", (F.col("lo") + F.col("j")).alias("i"), "k",
+        F.when(F.col("k") <= longest, F.substring(F.col("part"), F.col("j") + 1, F.col("k"))).alias("word"),
+    ).join(known, "word", "left")
+    runs = runs.select("b", "i", F.lit(1).alias("source"), "k", F.when(F.col("known"), F.col("lp")).otherwise(F.lit(UNKNOWN)).alias("logp"))
+    alone = places.select("b", i, F.lit(2).alias("source"), F.lit(1).alias("k"), F.lit(UNKNOWN).alias("logp"))
+    found = words.unionByName(runs).unionByName(alone).groupBy("b", "i").agg(F.array_sort(F.collect_list(F.struct("source", "k", "logp"))).alias("x"))
+    # One run at most: it counts where no word ends with it; one character alone where nothing else starts.
+    inside = lambda c: F.exists(F.filter("x", lambda y: y["source"] == 0), lambda y: y["k"] == c["k"])
+    keep = F.filter("x", lambda c: (c["source"] == 0) | ((c["source"] == 1) & ~inside(c)) | ((c["source"] == 2) & (F.size("x") == 1)))
+    return found.select("b", "i", keep.alias("found"))
+
+
 def lattice_edges(blocks: DataFrame, lexicon: DataFrame, longest: int, block_col: str = "block") -> DataFrame:
     """(block, i, k, logp, source): candidates of k characters from place i (0 first) of each block.
 
     Dictionary words (source 0) by a join on the substring, the whole run of letters and digits
     (source 1) where it is no such word, the single character (source 2) where nothing else starts.
     """
-    b = blocks.select(F.col(block_col).alias("block")).distinct()
-    n = F.char_length("block")
-    places = b.filter(n > 0).select("block", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    subs = places.select(
-        "block", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(1, longest)), n - F.col("i")))).alias("k")
-    ).withColumn("word", F.substring(F.col("block"), F.col("i") + 1, F.col("k")))
-    words = subs.join(lexicon.select("word", "logp"), "word").select("block", "i", "k", "logp", F.lit(0).alias("source"))
-    tail = places.withColumn("run", F.regexp_extract(F.substring(F.col("block"), F.col("i") + 1, n), f"^[{T.ALNUM}]+", 0))
-    runs = (
-        tail.filter("run <> ''").select("block", "i", F.char_length("run").alias("k"), F.col("run").alias("word"))
-        .join(words.select("block", "i", "k"), ["block", "i", "k"], "left_anti")
-        .join(lexicon.select("word", F.col("logp").alias("lp"), F.lit(True).alias("known")), "word", "left")
-        .select("block", "i", "k", F.when(F.col("known"), F.col("lp")).otherwise(F.lit(UNKNOWN)).alias("logp"), F.lit(1).alias("source"))
-    )
-    found = words.unionByName(runs)
-    alone = places.join(found.select("block", "i"), ["block", "i"], "left_anti").select(
-        "block", "i", F.lit(1).alias("k"), F.lit(UNKNOWN).alias("logp"), F.lit(2).alias("source")
-    )
-    return found.unionByName(alone)
+    b = _numbered(blocks, block_col)
+    edges = _candidates(b, lexicon, longest).select("b", "i", F.explode("found").alias("c"))
+    edges = edges.select("b", "i", "c.k", "c.logp", "c.source")
+    short = edges.filter(F.char_length("b") <= 32).withColumnRenamed("b", "block")
+    long = edges.filter(F.char_length("b") > 32).join(b.filter(F.char_length("block") > 32), "b").select(*short.columns)
+    return short.unionByName(long)
 
 
 def cut_joined(blocks: DataFrame, lexicon: DataFrame, longest: int, block_col: str = "block") -> DataFrame:
     """(block, tokens) of distinct blocks with the lexicon joined, not broadcast: for lexicons of any size."""
-    edges = lattice_edges(blocks, lexicon, longest, block_col)
-    each = edges.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("i", "source", "k", "logp"))).alias("edges"))
+    b = _numbered(blocks, block_col)
+    each = _candidates(b, lexicon, longest).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("i", "found"))).alias("edges"))
 
     @F.pandas_udf("array<string>")
     def paths(block: pd.Series, edges: pd.Series) -> pd.Series:
         out = []
-        for b, es in zip(block, edges):
-            at: dict[int, list[tuple[int, float]]] = {}
-            for e in es:
-                at.setdefault(e["i"], []).append((e["i"] + e["k"], math.nan if e["logp"] is None else e["logp"]))
+        for text, places in zip(block, edges):
+            at = [
+                [(e["i"] + c["k"], math.nan if c["logp"] is None else c["logp"]) for c in e["found"]] for e in places
+            ]  # every place has an entry
             words, lo = [], 0
-            for end in choose_path(len(b), at.__getitem__):
-                words.append(b[lo:end])
+            for end in choose_path(len(text), at.__getitem__):
+                words.append(text[lo:end])
                 lo = end
             out.append(words)
         return pd.Series(out, dtype=object)
 
-    return each.select("block", paths("block", "edges").alias("tokens"))
+    return b.join(each, "b").select("block", paths("block", "edges").alias("tokens"))
+
+
+def _segment_joined(
+    df: DataFrame, text_col: str, lexicon: DataFrame, model, mode: str, search: bool, out: str, compat_duplicate: bool, punctuation: bool
+) -> DataFrame:
+    """`segment` by joins: distinct blocks are cut once and joined back to their places in the texts."""
+    longest = lexicon.agg(F.max(F.char_length("word"))).first()[0] or 1
+    mode = mode if model is not None else "dag"
+    rows = df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("no"), T.split_blocks(text_col).alias("blocks"))
+    rows = rows.select("no", "row", F.posexplode_outer("blocks").alias("pos", "block"))
+    rows = rows.select("no", F.coalesce("pos", F.lit(0)).alias("pos"), "block", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("row")).alias("row"))
+    todo = df.select(F.explode(T.split_blocks(text_col)).alias("block")).filter(~T.is_alnum("block")).distinct()
+    if mode == "crf":
+        cut = todo.withColumn("tokens", segment_udf(df.sparkSession, {}, model, "crf", compat_duplicate=compat_duplicate)("block"))
+    else:
+        cut = cut_joined(todo, lexicon, longest)
+    if mode == "hybrid":
+        shared = df.sparkSession.sparkContext.broadcast(model.weights())
+
+        @F.pandas_udf("array<string>")
+        def fill(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            cutter = Cutter({}, Tagger(*shared.value), "hybrid", compat_duplicate)
+            for paths in batches:
+                yield pd.Series(cutter.fill_gaps([list(p) for p in paths]), dtype=object)
+
+        cut = cut.withColumn("tokens", fill("tokens"))
+    if not punctuation:
+        cut = cut.withColumn("tokens", F.filter("tokens", lambda t: ~T.is_punctuation(t)))
+    if search:
+        cut = _searched(cut, lexicon, longest)
+    done = rows.join(cut, "block", "left").withColumn("tokens", F.coalesce("tokens", F.when(F.col("block").isNotNull(), F.array("block")).otherwise(F.array().cast("array<string>"))))
+    joined = done.groupBy("no").agg(F.first("row", ignorenulls=True).alias("row"), F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("x"))
+    return joined.select("row.*", F.flatten("x.tokens").alias(out))
+
+
+def _searched(cut: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
+    """(block, tokens) with the dictionary words inside each token before it."""
+    at = cut.select("block", F.posexplode("tokens").alias("p", "token"))
+    long = at.select("token").distinct().filter((F.char_length("token") > 2) & ~T.is_alnum("token"))
+    n = F.char_length("token")
+    starts = long.select("token", F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    subs = starts.select("token", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("i") + 1))).alias("k")).filter(F.col("k") < n)
+    subs = subs.withColumn("word", F.substring(F.col("token"), F.col("i"), F.col("k"))).join(lexicon.select("word"), "word", "left_semi")
+    inner = subs.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("i", "k", "word")))["word"].alias("inner"))
+    full = at.join(inner, "token", "left").withColumn("ts", F.concat(F.coalesce("inner", F.array().cast("array<string>")), F.array("token")))
+    back = full.groupBy("block").agg(F.flatten(F.array_sort(F.collect_list(F.struct("p", "ts")))["ts"]).alias("tokens"))
+    none = F.array().cast("array<string>")  # a block may have lost all its tokens
+    return cut.select("block").join(back, "block", "left").withColumn("tokens", F.coalesce("tokens", none))

@@ -1,16 +1,23 @@
-"""Training of the tagger: structured perceptron, in one sequence or by iterative parameter mixing."""
+"""Training of the tagger: structured perceptron, in one sequence or by iterative parameter mixing.
+
+`learn` is one online update in plain form; `Learner` makes the same updates on arrays, for a whole
+sequence at once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.operators.tagger import Tagger, feature_names, tagger_features
+from lexiloom.operators.tagger import GAP, OUTSIDE, TEMPLATES, Tagger, best_tags, feature_names, tagger_features
 
 EPOCHS = 10
+#: Characters a shard of the training data has, where the number of shards is not given.
+SHARD_CHARS = 250_000
 
 
 def perceptron_deltas(sentences: DataFrame, id_col: str = "sent_id") -> tuple[DataFrame, DataFrame]:
@@ -70,16 +77,79 @@ def learn(model: Tagger, chars: list[str], tags: list[int]) -> None:
             model.trans[pred[i - 1]][pred[i]] -= 1.0
 
 
-def train_tagger(sentences: DataFrame, epochs: int = EPOCHS, shards: int = 1, order: str = "ord") -> Tagger:
+class Learner:
+    """A model on arrays: weights by template, character and tag; characters get rows as they are met."""
+
+    def __init__(self, model: Tagger) -> None:
+        self.row = np.full(GAP + 1, -1, dtype=np.int32)
+        self.weights = np.zeros((len(TEMPLATES), 64, 4))
+        self.names: list[int] = []
+        self.trans = [list(r) for r in model.trans]
+        self.template = {name: k for k, name in enumerate(TEMPLATES.values())}
+        for feature, w in model.feats.items():
+            k, rest = self.template.get(feature[:4]), feature[4:]
+            if k is not None and (rest == OUTSIDE or len(rest) == 1):
+                self.weights[k, self._rows(np.array([GAP if rest == OUTSIDE else ord(rest)]))[0]] = w
+
+    def _rows(self, codes: np.ndarray) -> np.ndarray:
+        new = np.unique(codes[self.row[codes] < 0])
+        if len(new):
+            self.row[new] = np.arange(len(self.names), len(self.names) + len(new))
+            self.names += new.tolist()
+            if len(self.names) > self.weights.shape[1]:
+                more = np.zeros((len(TEMPLATES), max(len(self.names), 2 * self.weights.shape[1]), 4))
+                more[:, : self.weights.shape[1]] = self.weights
+                self.weights = more
+        return self.row[codes]
+
+    def learn(self, text: str, gold: np.ndarray) -> None:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        rows = self._rows(np.concatenate(([GAP, GAP], codes, [GAP, GAP])))
+        n = len(codes)
+        seen = [rows[2 + d : 2 + d + n] for d in TEMPLATES]
+        scores = np.zeros((n, 4))
+        for k, at in enumerate(seen):
+            scores += self.weights[k, at]
+        pred = np.array(best_tags(scores.tolist(), self.trans), dtype=np.int64)
+        wrong = np.flatnonzero(pred != gold)
+        if not len(wrong):
+            return
+        for k, at in enumerate(seen):
+            np.add.at(self.weights[k], (at[wrong], gold[wrong]), 1.0)
+            np.add.at(self.weights[k], (at[wrong], pred[wrong]), -1.0)
+        moved = np.flatnonzero((pred[1:] != gold[1:]) | (pred[:-1] != gold[:-1])).tolist()
+        for i in moved:
+            self.trans[gold[i]][gold[i + 1]] += 1.0
+            self.trans[pred[i]][pred[i + 1]] -= 1.0
+
+    def rows(self) -> tuple[list, list]:
+        """(kind, name, tag, w) of weights other than zero."""
+        t = [("T", str(a), b, w) for a, r in enumerate(self.trans) for b, w in enumerate(r) if w]
+        k, row, tag = np.nonzero(self.weights[:, : len(self.names)])
+        templates = list(TEMPLATES.values())
+        show = [OUTSIDE if c == GAP else chr(c) for c in self.names]
+        w = self.weights[k, row, tag].tolist()
+        return t, [("F", templates[a] + show[b], c, x) for a, b, c, x in zip(k.tolist(), row.tolist(), tag.tolist(), w)]
+
+
+def shards_of(sentences: DataFrame) -> int:
+    """Shards for the data at hand: one for each SHARD_CHARS characters, four for each core at most."""
+    chars = sentences.agg(F.sum(F.size("chars"))).first()[0] or 0
+    return max(1, min(-(-chars // SHARD_CHARS), 4 * sentences.sparkSession.sparkContext.defaultParallelism))
+
+
+def train_tagger(sentences: DataFrame, epochs: int = EPOCHS, shards: int | None = 1, order: str = "ord") -> Tagger:
     """Weights after `epochs` passes over sentences (chars, tags, `order`).
 
-    One shard is the sequential perceptron in `order`. With more, every shard passes over its own
-    sentences from the mixed weights and the shards' weights are averaged after each epoch
-    (iterative parameter mixing): another estimate, which converges as well. Shards stream their
-    sentences; what a task holds is the model.
+    One shard is the sequential perceptron in `order`. With more (`None`: by the size of the data), every
+    shard passes over its own sentences from the mixed weights and the shards' weights are averaged after
+    each epoch (iterative parameter mixing): another estimate, which converges as well. Shards stream
+    their sentences; what a task holds is the model.
     """
+    shards = shards_of(sentences) if shards is None else shards
     rows = sentences.select(
-        "chars", "tags", F.col(order).alias("o"), F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard")
+        F.array_join("chars", "").alias("text"), F.col("tags").cast("array<int>").alias("tags"), F.col(order).alias("o"),
+        F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard"),
     )
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "o").persist()
     model = Tagger()
@@ -88,20 +158,20 @@ def train_tagger(sentences: DataFrame, epochs: int = EPOCHS, shards: int = 1, or
             shared = sentences.sparkSession.sparkContext.broadcast(model.weights())
 
             def one_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                trans, feats = shared.value
-                mine: dict[int, Tagger] = {}
+                start = Tagger(*shared.value)
+                mine: dict[int, Learner] = {}
                 for pdf in batches:
-                    for shard, chars, tags in zip(pdf["shard"], pdf["chars"], pdf["tags"]):
+                    for shard, text, tags in zip(pdf["shard"], pdf["text"], pdf["tags"]):
                         if shard not in mine:
-                            mine[shard] = Tagger([list(r) for r in trans], {f: list(w) for f, w in feats.items()})
-                        learn(mine[shard], list(chars), [int(t) for t in tags])
+                            mine[shard] = Learner(start)
+                        mine[shard].learn(text, np.asarray(tags, dtype=np.int64))
                 for m in mine.values():
-                    t = [("T", str(a), b, w) for a, r in enumerate(m.trans) for b, w in enumerate(r) if w]
-                    f = [("F", f, tag, w) for f, ws in m.feats.items() for tag, w in enumerate(ws) if w]
+                    t, f = m.rows()
                     yield pd.DataFrame([*t, *f, ("N", "", 0, 1.0)], columns=["kind", "name", "tag", "w"])
 
             sums = rows.mapInPandas(one_pass, "kind string, name string, tag int, w double").groupBy("kind", "name", "tag").agg(F.sum("w").alias("w"))
-            got = sums.toPandas()  # the model
+            got = sums.toPandas()  # the model, which the alphabet bounds
+            shared.unpersist()
             n = float(got.loc[got["kind"] == "N", "w"].sum()) or 1.0
             model = Tagger()
             for kind, name, tag, w in got.itertuples(index=False):

@@ -73,13 +73,18 @@ def sum_duplicates(lines: DataFrame) -> DataFrame:
 def prune_prefixes(words: DataFrame, ratio: float) -> DataFrame:
     """Without each word that the next one in byte order extends at `ratio` of its frequency or more.
 
-    A word and what extends it share the first character, and words of one first character are
-    neighbours in byte order, so one window for each first character gives the order that counts.
+    What extends a word of two characters or more begins with the same two, and words that begin with
+    them are neighbours in byte order, so windows over two characters see all that counts. The next word
+    after a single character is the least of those that it begins.
     """
-    w = Window.partitionBy(F.substring("word", 1, 1)).orderBy("word")
+    w = Window.partitionBy(F.substring("word", 1, 2)).orderBy("word")
+    long = F.char_length("word") >= 2
     ahead = words.withColumns({"_next": F.lead("word").over(w), "_freq": F.lead("freq").over(w)})
-    drop = F.startswith("_next", "word") & (F.col("_freq") / F.col("freq") >= ratio)
-    return ahead.filter(~F.coalesce(drop, F.lit(False))).drop("_next", "_freq")
+    after = words.filter(long).groupBy(F.substring("word", 1, 1).alias("_one")).agg(F.min(F.struct("word", "freq")).alias("_after"))
+    ahead = ahead.join(after, (F.char_length("word") == 1) & (F.col("word") == F.col("_one")), "left")
+    next_, freq = F.when(long, F.col("_next")).otherwise(F.col("_after.word")), F.when(long, F.col("_freq")).otherwise(F.col("_after.freq"))
+    drop = F.startswith(next_, "word") & (freq / F.col("freq") >= ratio)
+    return ahead.filter(~F.coalesce(drop, F.lit(False))).select(*words.columns)
 
 
 def prune_suffixes(words: DataFrame, ratio: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def segment_requests(requests: DataFrame, lexicon: DataFrame, model=None, json_c
     """The other columns with `response`, `{"tokens": [...]}` of each JSON request.
 
     `algorithm` is dag, crf or hybrid (any other: hybrid), `function` search or plain. Requests that
-    cannot be read have no tokens. Rows are routed by mode and function; each is cut once.
+    cannot be read have no tokens. One pass cuts each row in the way that it asks for.
     """
     r = F.from_json(json_col, _REQUEST)
     rows = requests.withColumn("_r", r).select(
@@ -24,15 +26,23 @@ def segment_requests(requests: DataFrame, lexicon: DataFrame, model=None, json_c
         F.coalesce(F.col("_r.function") == "search", F.lit(False)).alias("_search"),
     )
     words = lattice.collect_lexicon(lexicon)
-    session = requests.sparkSession
-    tokens = F.lit(None).cast("array<string>")
+    if words is None:  # too large to broadcast: by joins, one way after another
+        return _by_joins(rows, lexicon, model)
+    cut = lattice.routed_udf(requests.sparkSession, words, model)
+    return _answered(rows.withColumn("_tokens", cut("_text", "_mode", "_search")))
+
+
+def _answered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("response", F.to_json(F.struct(F.col("_tokens").alias("tokens")))).drop("_text", "_mode", "_search", "_tokens")
+
+
+def _by_joins(rows: DataFrame, lexicon: DataFrame, model) -> DataFrame:
+    parts = []
     for mode in ("dag", "crf", "hybrid"):
         for search in (False, True):
-            here = (F.col("_mode") == mode) & (F.col("_search") == search)
-            # Texts of other routes are null for this one, which costs it nothing.
-            cut = lattice.segment_udf(session, words, model, mode, search)(F.when(here, F.col("_text")))
-            tokens = F.when(here, cut).otherwise(tokens)
-    return rows.withColumn("response", F.to_json(F.struct(tokens.alias("tokens")))).drop("_text", "_mode", "_search")
+            mine = rows.filter((F.col("_mode") == mode) & (F.col("_search") == search))
+            parts.append(lattice.segment(mine, "_text", lexicon, model, mode, search, out="_tokens"))
+    return _answered(reduce(DataFrame.unionByName, parts))
 
 
 def segmentation_report(sentences: DataFrame, lexicon: DataFrame, model=None, mode: str = "hybrid", text_col: str = "text") -> DataFrame:
