@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +12,11 @@ from lexiloom.sources import dictionaries as D
 from lexiloom.sources import models, tables
 from lexiloom.streaming import jobs
 
-THRESHOLD = 40
-
+THRESHOLD = vocabulary.CORPUS_THRESHOLD
+#: Words below these frequencies make the base and the user layer.
+RARE, UNCOMMON = 3 * THRESHOLD, 6 * THRESHOLD
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder under the shared one of the session."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexiloom-")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+_folder = tables.shared_folder
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -31,13 +26,13 @@ def _kept(df: DataFrame) -> DataFrame:
 
 
 def dictionary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line, layer, ord): a core layer of discovered words, a base layer without and a user layer with
-    frequencies of its own, both cut from it by length and frequency."""
+    """(line, layer, ord): a core layer of discovered words, a base layer of rare words of three characters
+    without frequencies, and a user layer that lifts uncommon words of two characters."""
     words = _kept(vocabulary.discover_words(tables.documents(spark, sf_dir, "han"), THRESHOLD))
     n, f = F.char_length("word"), F.col("freq")
     core = words.select(F.concat_ws(" ", "word", f).alias("line"), F.lit(0).alias("layer"), F.col("word").alias("ord"))
-    base = words.filter((n == 3) & (f % 3 == 0)).select(F.col("word").alias("line"), F.lit(1).alias("layer"), F.col("word").alias("ord"))
-    user = words.filter((n == 2) & (f % 5 == 0)).select(
+    base = words.filter((n == 3) & (f < RARE)).select(F.col("word").alias("line"), F.lit(1).alias("layer"), F.col("word").alias("ord"))
+    user = words.filter((n == 2) & (f < UNCOMMON)).select(
         F.concat_ws(" ", "word", f * 10).alias("line"), F.lit(2).alias("layer"), F.col("word").alias("ord")
     )
     return D.combine_layers(core, base, user)
@@ -61,13 +56,15 @@ def _latin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _messy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line): lines of the documents, with numbers behind some of their first words."""
+    """(doc_id, line): all lines of the documents, and for most also what a dictionary would have of them:
+    the first word alone or with numbers, in several forms (at places below zero)."""
     lines = _latin(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     first = F.coalesce(T.fields("line")[0], F.lit("x"))
     number = F.char_length("line") - 50
-    form = F.when(F.col("pos") % 4 == 1, F.concat(F.lit("  "), first, F.lit("\t"), number, F.lit(" z")))
-    form = form.when(F.col("pos") % 4 == 2, F.concat(first, F.lit(" "), number, F.lit(".5e1")))
-    return lines.select("doc_id", "pos", form.when(F.col("pos") % 4 == 3, first).otherwise(F.col("line")).alias("line"))
+    form = F.when(F.col("pos") % 5 == 1, F.concat(F.lit("  "), first, F.lit("\t"), number, F.lit(" z")))
+    form = form.when(F.col("pos") % 5 == 2, F.concat(first, F.lit(" "), number, F.lit(".5e1")))
+    form = form.when(F.col("pos") % 5 == 3, F.concat(first, F.lit(" "), number)).otherwise(first)
+    return lines.unionByName(lines.select("doc_id", (-1 - F.col("pos")).alias("pos"), form.alias("line")))
 
 
 def _words(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -137,13 +134,16 @@ def load_tagger_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a request in one of four ways, with and without search; the tokens of the answers."""
     modes = F.element_at(F.array(*[F.lit(m) for m in ("dag", "crf", "hybrid", "other")]), (F.col("turn") % 4 + 1).cast("int"))
     functions = F.when(F.col("turn") % 3 == 0, F.lit("search")).otherwise(F.lit("plain"))
     asked = tables.conversations(spark, sf_dir).select(
         "conv_id", "turn",
         F.to_json(F.struct(tables.han("text").alias("text"), functions.alias("function"), modes.alias("algorithm"))).alias("request"),
     )
-    return requests.segment_requests(asked, _lexicon(spark, sf_dir), _tagger(spark, sf_dir))
+    out = requests.segment_requests(asked, _lexicon(spark, sf_dir), _tagger(spark, sf_dir))
+    told = out.withColumn("tokens", F.from_json("response", "tokens array<string>")["tokens"])
+    return told.select("conv_id", "turn", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", "\u0001")).alias("tokens_md5"))
 
 
 def segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,12 +234,12 @@ def noisy_brand_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = vocabulary.discover_words(_han(spark, sf_dir), 20).select("word")
+    words = vocabulary.discover_words(_han(spark, sf_dir), 2).select("word")
     return D.word_lookup(words, _lexicon(spark, sf_dir))
 
 
 def word_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = vocabulary.discover_words(_han(spark, sf_dir), 20).select("word")
+    words = vocabulary.discover_words(_han(spark, sf_dir), 2).select("word")
     return D.word_logprob(words, _lexicon(spark, sf_dir)).withColumn("logp", F.round("logp", 6))
 
 
@@ -269,13 +269,20 @@ def noisy_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.noisy_extensions(_kept(_cleaned(spark, sf_dir)))
 
 
+def _pairs(texts: DataFrame, number: str, text: F.Column) -> DataFrame:
+    """The columns with line and place: all words of the texts as feedback, two and two, and each third one
+    with a number."""
+    words = texts.select(*texts.columns, T.fields(text).alias("f")).select("*", F.posexplode("f").alias("p", "word"))
+    told = lambda kind, line: F.struct((F.col("p") * 2 + kind).alias("place"), line.alias("line"))
+    pair = F.when(F.col("p") % 2 == 0, told(0, F.concat_ws(" ", "word", F.get("f", F.col("p") + 1))))
+    named = F.when(F.col("p") % 3 == 1, told(1, F.concat_ws(" ", "word", F.col(number).cast("string"))))
+    return words.select(*texts.columns, F.explode(F.array_compact(F.array(pair, named))).alias("x")).select(*texts.columns, "x.*")
+
+
 def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feedback lines: the first words of each benchmark text, two by two, and pairs with a number."""
-    f = T.fields(tables.han("text"))
-    rows = tables.benchmark(spark, sf_dir).select("item_id", f.alias("f")).filter(F.size("f") >= 4)
-    first = rows.select(F.concat_ws(" ", F.get("f", F.lit(0)), F.get("f", F.lit(1))).alias("line"), F.col("item_id") * 2, F.lit(2))
-    second = rows.select(F.concat_ws(" ", F.get("f", F.lit(2)), "item_id"), F.col("item_id") * 2 + 1, F.lit(2))
-    return first.union(second).toDF("line", "o", "layer").withColumn("ord", F.format_string("1%019d", "o")).drop("o")
+    """The whole benchmark texts as feedback lines, in order."""
+    lines = _pairs(tables.benchmark(spark, sf_dir), "item_id", tables.han("text"))
+    return lines.select("line", F.lit(2).alias("layer"), F.format_string("1%010d%09d", "item_id", "place").alias("ord"))
 
 
 def interference_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +319,8 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.token_counts(_han(spark, sf_dir).withColumnRenamed("text", "line"), _brands(spark, sf_dir))
+    """Of the segmented corpus."""
+    return vocabulary.token_counts(_corpus(spark, sf_dir), _brands(spark, sf_dir))
 
 
 def sum_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,8 +411,7 @@ def segment_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_to_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _han(spark, sf_dir).withColumnRenamed("text", "line")
-    return tagger.sentences_of_corpus(lines).select(
+    return tagger.sentences_of_corpus(_corpus(spark, sf_dir)).select(
         "doc_id", F.size("chars").cast("long").alias("n"), F.md5(F.array_join("chars", "")).alias("chars_md5"),
         F.md5(F.array_join("tags", "")).alias("tags_md5"),
     )
@@ -416,19 +423,24 @@ def lexicon_to_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def train_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights after three epochs over the dictionary lines, mixed over eight shards."""
-    rows = _zero_sentences(spark, sf_dir).withColumnRenamed("sent_id", "ord")
-    trans, feats = training.model_tables(spark, training.train_tagger(rows, epochs=3, shards=8))
+def _model_rows(trans: DataFrame, feats: DataFrame) -> DataFrame:
     t = trans.select(F.concat(F.lit("T"), F.col("from_tag")).alias("name"), F.col("to_tag").alias("tag"), "weight")
     return t.unionByName(feats.select(F.concat(F.lit("F"), "feature").alias("name"), "tag", "weight"))
 
 
+def train_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights after ten epochs over the segmented corpus, then the dictionary lines."""
+    told = tagger.sentences_of_corpus(_corpus(spark, sf_dir)).withColumn("ord", F.format_string("0%020d", "doc_id"))
+    named = _zero_sentences(spark, sf_dir).withColumn("ord", F.concat(F.lit("1"), "sent_id"))
+    rows = _kept(told.select("ord", "chars", "tags").unionByName(named.select("ord", "chars", "tags")))
+    return _model_rows(*training.model_tables(spark, training.train_tagger(rows, shards=None)))
+
+
 def segmentation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _han(spark, sf_dir).union(
         tables.benchmark(spark, sf_dir).select((-1 - F.col("item_id")).alias("doc_id"), tables.han("text").alias("text"))
     )
-    report = requests.segmentation_report(rows, _lexicon(spark, sf_dir), mode="dag")
+    report = requests.segmentation_report(rows, _lexicon(spark, sf_dir), _tagger(spark, sf_dir))
     return report.select("doc_id", F.md5("cut").alias("cut_md5"), "n_tokens")
 
 
@@ -439,14 +451,19 @@ def absorb_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.absorb_feedback(_user_lines(spark, sf_dir), _feedback(spark, sf_dir))
 
 
-def evolve_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One turn of the loop over the documents: the new core layer."""
+def _evolved(spark: SparkSession, sf_dir: str, feedback: DataFrame | None, user: DataFrame | None = None) -> evolve.Vocabulary:
     lines = _kept(dictionary_lines(spark, sf_dir))
     layers = [lines.filter(F.col("layer") == k) for k in range(3)]
-    made = evolve.evolve(
-        _han(spark, sf_dir), evolve.Vocabulary(*layers), _feedback(spark, sf_dir), _folder(spark), epochs=1
-    )
-    return made.core.select("line")
+    layers[2] = layers[2] if user is None else layers[2].unionByName(user)
+    return evolve.evolve(_han(spark, sf_dir), evolve.Vocabulary(*layers), feedback, _folder(spark))
+
+
+def evolve_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One turn of the loop over the documents: the new core layer and the weights of the new model."""
+    made = _evolved(spark, sf_dir, _feedback(spark, sf_dir))
+    weights = _model_rows(*training.model_tables(spark, made.model))
+    core = made.core.select(F.lit("core").alias("part"), F.col("line").alias("name"), F.lit(None).cast("int").alias("tag"), F.lit(None).cast("double").alias("weight"))
+    return core.unionByName(weights.withColumn("part", F.lit("model")))
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -470,19 +487,24 @@ def stream_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two words of every conversation turn as feedback; the user layer that comes of it."""
+    """All words of every conversation turn as feedback; the loop runs on the user layer that comes of it,
+    which is returned, and core, lexicon and model are written beside it."""
     folder = _folder(spark)
-    f = T.fields(tables.han("text"))
-    lines = _stream(spark, sf_dir, "conversations").select(
-        F.concat_ws(" ", F.get(f, F.lit(0)), F.get(f, F.lit(1))).alias("line")
-    )
-    jobs.stream_feedback(lines, f"{folder}/versions", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/versions/version={jobs.latest_version(spark, folder + '/versions')}").select("line")
+    turns = _stream(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    lines = _pairs(turns, "turn", tables.han("text"))
+    place = F.format_string("%010d%05d%09d", "conv_id", "turn", "place")
+    loop = lambda user: _evolved(spark, sf_dir, None, user)
+    jobs.stream_feedback(lines.select("line", place.alias("ord")), f"{folder}/versions", f"{folder}/state", loop).awaitTermination()
+    return spark.read.parquet(f"{folder}/versions/version={jobs.latest_version(spark, folder + '/versions')}/user").select("line")
 
 
 def stream_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that arrive, cut with the newest of two versions of the lexicon."""
     folder = _folder(spark)
     lexicon = _lexicon(spark, sf_dir)
+    jobs.write_version({"lexicon": lexicon.filter(F.col("n") > 2)}, f"{folder}/versions", 1)
+    jobs.write_version({"lexicon": lexicon}, f"{folder}/versions", 2)
     stream = _stream(spark, sf_dir, "documents").select("doc_id", tables.han("text").alias("text"))
-    jobs.stream_segment(stream, lambda df: _digest(lattice.cut_dag(df, "text", lexicon)), f"{folder}/out", f"{folder}/state").awaitTermination()
+    cut = jobs.newest_cut(spark, f"{folder}/versions", "dag")
+    jobs.stream_segment(stream, lambda df: _digest(cut(df)), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("doc_id", "n_tokens", "tokens_md5")

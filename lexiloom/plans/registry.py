@@ -39,10 +39,13 @@ raw AS (
   )
 ),
 messy AS (
-  SELECT doc_id, pos, CASE pos % 4
+  SELECT doc_id, pos, line FROM raw
+  UNION ALL
+  SELECT doc_id, -1 - pos, CASE pos % 5
     WHEN 1 THEN '  ' || first || chr(9) || (length(line) - 50) || ' z'
     WHEN 2 THEN first || ' ' || (length(line) - 50) || '.5e1'
-    WHEN 3 THEN first ELSE line END AS line
+    WHEN 3 THEN first || ' ' || (length(line) - 50)
+    ELSE first END AS line
   FROM (SELECT *, coalesce(({fields('line')})[1], 'x') AS first FROM raw)
 )"""
 
@@ -82,18 +85,22 @@ def _cleaned(source: str, ratio: float) -> str:
 
 _BRANDS = f"brands AS (SELECT DISTINCT {trim('line')} AS brand FROM lines WHERE layer = 1 AND {trim('line')} <> '')"
 _NOT_BRAND = "NOT (length(word) >= 4 AND substr(word, 2) IN (SELECT brand FROM brands))"
+#: Token counts and sentences of the segmented corpus (`kept`).
 _COUNTS = f"""
 counts AS (
-  SELECT word, count(*) AS freq FROM (SELECT unnest({fields(HAN_TEXT)}) AS word FROM documents)
+  SELECT word, count(*) AS freq FROM (SELECT unnest({fields("array_to_string(ts, ' ')")}) AS word FROM kept)
   WHERE length(word) >= 2 AND {has_han('word')} AND {_NOT_BRAND} GROUP BY word
 )"""
 
-_FEEDBACK = f"""
-heads AS (SELECT item_id, {fields(HAN_TEXT)} AS f FROM benchmark),
+#: All words of the texts in {{source}} (f: words, num: the number beside them, o: their place) as feedback.
+_PAIRS = """
+words_of AS (SELECT o, num, f, unnest(range(1, len(f) + 1)) AS p FROM {source}),
 feedback AS (
-  SELECT f[1] || ' ' || f[2] AS line, printf('1%019d', item_id * 2) AS ord FROM heads WHERE len(f) >= 4
-  UNION ALL SELECT f[3] || ' ' || item_id, printf('1%019d', item_id * 2 + 1) FROM heads WHERE len(f) >= 4
+  SELECT CASE WHEN p < len(f) THEN f[p] || ' ' || f[p + 1] ELSE f[p] END AS line, o || printf('%09d', (p - 1) * 2) AS ord
+  FROM words_of WHERE p % 2 = 1
+  UNION ALL SELECT f[p] || ' ' || num, o || printf('%09d', (p - 1) * 2 + 1) FROM words_of WHERE p % 3 = 2
 )"""
+_FEEDBACK = _PAIRS.format(source=f"(SELECT printf('1%010d', item_id) AS o, item_id AS num, {fields(HAN_TEXT)} AS f FROM benchmark)")
 _STRADDLE = f"""
 fb AS (
   SELECT array_to_string(f, '') AS t, list_transform(range(1, len(f)), lambda i: length(array_to_string(f[1:i], ''))) AS b
@@ -164,6 +171,7 @@ _BLOCK_SOURCE = f"(SELECT doc_id, regexp_extract_all({HAN_TEXT}, '{BLOCK}') AS b
 _REPORT_SOURCE = _BLOCK_SOURCE.replace(
     "FROM documents", "FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)"
 )
+_REQUEST_SOURCE = _BLOCK_SOURCE.replace("FROM documents", "FROM (SELECT conv_id * 100000 + turn AS doc_id, text FROM conversations)")
 
 #: Words of each path as they are, runs of single characters as one piece.
 _PIECES = """
@@ -184,6 +192,29 @@ sent AS (SELECT block, {_CHARS.format(x='block')} AS c,
                 list_transform(range(1, length(tags) + 1), lambda i: CAST(substr(tags, i, 1) AS INT)) AS t FROM tagged)"""
 
 
+#: Dictionary words inside the tokens of `kinds`.
+_INNER = """
+inner_ AS (
+  SELECT tok, s, e, substr(tok, s, e - s) AS word FROM (
+    SELECT tok, s, unnest(range(s + 1, least(length(tok), s + (SELECT max(n) FROM lexicon)) + 2)) AS e
+    FROM (SELECT tok, unnest(range(1, length(tok) + 1)) AS s FROM kinds)
+  ) WHERE e <= length(tok) + 1 AND e - s < length(tok)
+),
+subs_of AS (
+  SELECT i.tok, string_agg(i.word || chr(1), '' ORDER BY s, e) AS sub FROM inner_ i JOIN lexicon l ON l.word = i.word GROUP BY i.tok
+)"""
+#: (block, seg): paths in which the tagger has cut the gaps.
+_JOINED = """
+joined AS (
+  SELECT p.block, string_agg(CASE WHEN single THEN words ELSE piece || chr(1) END, '' ORDER BY i) AS seg
+  FROM pieces p LEFT JOIN folded f ON p.single AND f.block = p.piece GROUP BY p.block
+)"""
+_HYBRID = f"""{_DAG},{_PIECES},{MODEL},{EMISSIONS.replace('FROM todo', 'FROM gaps')},{VITERBI},{_SENT},
+{_FOLD.format(id='block', source='sent')},{_JOINED},
+cut2 AS (SELECT doc_id, pos, CASE WHEN pure THEN block || chr(1) ELSE seg END AS seg FROM blocks LEFT JOIN joined USING (block)),
+tokens2 AS (SELECT doc_id, string_agg(seg, '' ORDER BY pos) AS seg FROM cut2 GROUP BY doc_id)"""
+
+
 def _flag(**columns: str) -> str:
     return f"WITH {_WORDS} SELECT word, " + ", ".join(f"{sql} AS {name}" for name, sql in columns.items()) + " FROM words"
 
@@ -233,9 +264,9 @@ SELECT word, replace(rtrim(words, chr(1)), chr(1), '|') AS cut FROM folded""",
 p AS (SELECT word, unnest(range(0, length(word))) AS i FROM words)
 SELECT t.name || CASE WHEN i + d < 0 OR i + d >= length(word) THEN '_BOS_' ELSE substr(word, i + d + 1, 1) END AS feature, count(*) AS n
 FROM p, (VALUES (-2, 'U00:'), (-1, 'U01:'), (0, 'U02:'), (1, 'U03:'), (2, 'U04:')) t(d, name) GROUP BY 1""",
-    "word_lookup": f"""WITH {LEXICON},{discovered(HAN_TEXT, 20, name='asked')}
+    "word_lookup": f"""WITH {LEXICON},{discovered(HAN_TEXT, 2, name='asked')}
 SELECT a.word, l.word IS NOT NULL AS known, coalesce(l.freq, 0.0) AS freq FROM asked a LEFT JOIN lexicon l ON l.word = a.word""",
-    "word_logprob": f"""WITH {LEXICON},{discovered(HAN_TEXT, 20, name='asked')}
+    "word_logprob": f"""WITH {LEXICON},{discovered(HAN_TEXT, 2, name='asked')}
 SELECT a.word, round(CASE WHEN l.word IS NULL THEN -20.0 ELSE l.logp END, 6) AS logp FROM asked a LEFT JOIN lexicon l ON l.word = a.word""",
     "lattice_edges": f"""WITH {LEXICON},{BLOCKS},{EDGES}
 SELECT block, count(*) AS n_edges, CAST(sum(k) AS BIGINT) AS total_k, CAST(sum(source) AS BIGINT) AS total_source,
@@ -246,7 +277,7 @@ SELECT block, count(*) AS n_edges, CAST(sum(k) AS BIGINT) AS total_k, CAST(sum(s
     "emission_scores": f"""WITH {ENTRIES},{BLOCKS},{MODEL},{EMISSIONS}
 SELECT block, sum(score * (i + 1) * (tag + 1)) AS weighted, count(*) AS n FROM emissions GROUP BY block""",
     "discover_words": f"WITH {discovered('text', 5)} SELECT word, freq FROM disc",
-    "token_counts": f"WITH {LINES},{_BRANDS},{_COUNTS} SELECT word, freq FROM counts",
+    "token_counts": f"{_DAG},{_FILTERED},{_BRANDS},{_COUNTS} SELECT word, freq FROM counts",
     "sum_duplicates": f"WITH {_MESSY},{_SUMMED.replace('{source}', 'messy')} SELECT word, freq FROM summed",
     "perceptron_deltas": f"WITH {ENTRIES},{MODEL} {_MODEL_ROWS}",
     "sentence_accuracy": f"""WITH RECURSIVE {ENTRIES},{MODEL},
@@ -257,7 +288,7 @@ FROM named JOIN tagged ON tagged.block = named.word""",
     "prune_prefixes": f"WITH {LINES},{_SUMMED.replace('{source}', 'lines')},{_prefixes('summed', 'out_', 0.9)} SELECT * FROM out_",
     "prune_suffixes": f"WITH {LINES},{_SUMMED.replace('{source}', 'lines')},{_suffixes('summed', 'out_', 0.9)} SELECT * FROM out_",
     "clean_dictionary": f"WITH {LINES},{_cleaned('lines', 0.9)} SELECT * FROM cleaned",
-    "ranked_core": f"WITH {LINES},{_BRANDS},{_COUNTS} SELECT word, freq FROM counts ORDER BY freq DESC, word",
+    "ranked_core": f"{_DAG},{_FILTERED},{_BRANDS},{_COUNTS} SELECT word, freq FROM counts ORDER BY freq DESC, word",
     "merge_new_words": f"""WITH {_MESSY}
 SELECT CASE WHEN w IS NULL THEN {trim('line')} ELSE w || ' 10000' END AS line FROM (
   SELECT line, unnest(CASE WHEN len(f) = 2 AND regexp_matches(f[2], '^[+-]?[0-9]+$') THEN [NULL] ELSE f END) AS w
@@ -270,31 +301,14 @@ SELECT CASE WHEN w IS NULL THEN {trim('line')} ELSE w || ' 10000' END AS line FR
 cut AS (SELECT doc_id, pos, CASE WHEN pure THEN block || chr(1) ELSE words END AS seg FROM blocks LEFT JOIN folded USING (block)),
 tokens AS (SELECT doc_id, string_agg(seg, '' ORDER BY pos) AS seg FROM cut GROUP BY doc_id)
 {_DIGEST} FROM tokens""",
-    "cut_hybrid": f"""{_DAG},{_PIECES},{MODEL},{EMISSIONS.replace('FROM todo', 'FROM gaps')},{VITERBI},{_SENT},
-{_FOLD.format(id='block', source='sent')},
-joined AS (
-  SELECT p.block, string_agg(CASE WHEN single THEN words ELSE piece || chr(1) END, '' ORDER BY i) AS seg
-  FROM pieces p LEFT JOIN folded f ON p.single AND f.block = p.piece GROUP BY p.block
-),
-cut2 AS (SELECT doc_id, pos, CASE WHEN pure THEN block || chr(1) ELSE seg END AS seg FROM blocks LEFT JOIN joined USING (block)),
-tokens2 AS (SELECT doc_id, string_agg(seg, '' ORDER BY pos) AS seg FROM cut2 GROUP BY doc_id)
-{_DIGEST} FROM tokens2""",
+    "cut_hybrid": f"{_HYBRID} {_DIGEST} FROM tokens2",
     "cut_search": f"""{_DAG},
 toks AS (
   SELECT doc_id, i, t[i] AS tok FROM (
     SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(rtrim(seg, chr(1)), chr(1)) AS t FROM tokens)
   )
 ),
-kinds AS (SELECT DISTINCT tok FROM toks WHERE length(tok) >= 3 AND NOT regexp_matches(tok, '{PURE}')),
-inner_ AS (
-  SELECT tok, s, e, substr(tok, s, e - s) AS word FROM (
-    SELECT tok, s, unnest(range(s + 1, least(length(tok), s + (SELECT max(n) FROM lexicon)) + 2)) AS e
-    FROM (SELECT tok, unnest(range(1, length(tok) + 1)) AS s FROM kinds)
-  ) WHERE e <= length(tok) + 1 AND e - s < length(tok)
-),
-subs_of AS (
-  SELECT i.tok, string_agg(i.word || chr(1), '' ORDER BY s, e) AS sub FROM inner_ i JOIN lexicon l ON l.word = i.word GROUP BY i.tok
-),
+kinds AS (SELECT DISTINCT tok FROM toks WHERE length(tok) >= 3 AND NOT regexp_matches(tok, '{PURE}')),{_INNER},
 out_ AS (SELECT doc_id, string_agg(coalesce(sub, '') || toks.tok || chr(1), '' ORDER BY i) AS seg FROM toks LEFT JOIN subs_of ON subs_of.tok = toks.tok GROUP BY doc_id)
 {_DIGEST} FROM out_""",
     "viterbi_decode": f"{_TAGGED} SELECT block, tags FROM tagged",
@@ -303,17 +317,46 @@ out_ AS (SELECT doc_id, string_agg(coalesce(sub, '') || toks.tok || chr(1), '' O
 SELECT block, rtrim(words, chr(1)) AS words FROM folded""",
     "segment_corpus": f"""{_DAG},{_FILTERED}
 SELECT doc_id, CAST(len(ts) AS BIGINT) AS n_tokens, md5(array_to_string(ts, chr(1))) AS tokens_md5 FROM kept WHERE len(ts) > 0""",
-    "corpus_to_sentences": f"""WITH w AS (
-  SELECT doc_id, list_filter({fields(HAN_TEXT)}, lambda x: NOT ({is_punct('x')})) AS ws FROM documents
-)
+    "corpus_to_sentences": f"""{_DAG},{_FILTERED},
+w AS (SELECT doc_id, list_filter({fields("array_to_string(ts, ' ')")}, lambda x: NOT ({is_punct('x')})) AS ws FROM kept)
 SELECT doc_id, CAST(length(array_to_string(ws, '')) AS BIGINT) AS n, md5(array_to_string(ws, '')) AS chars_md5,
        md5(array_to_string(list_transform(ws, lambda x: {_TAG_DIGITS.format(x='x')}), '')) AS tags_md5
 FROM w WHERE len(ws) > 0""",
     "lexicon_to_sentences": f"""WITH {ENTRIES}
 SELECT layer || ':' || ord AS sent_id, word AS chars, {_TAG_DIGITS.format(x='word')} AS tags FROM entries WHERE NOT ({is_punct('word')})""",
-    "segmentation_report": f"""{_DAG.replace(_BLOCK_SOURCE, _REPORT_SOURCE)}
+    "segmentation_report": f"""{_HYBRID.replace(_BLOCK_SOURCE, _REPORT_SOURCE)}
 SELECT doc_id, md5(replace(rtrim(seg, chr(1)), chr(1), ' / ')) AS cut_md5,
-       CAST(length(seg) - length(replace(seg, chr(1), '')) AS BIGINT) AS n_tokens FROM tokens""",
+       CAST(length(seg) - length(replace(seg, chr(1), '')) AS BIGINT) AS n_tokens FROM tokens2""",
+    "segment_requests": f"""WITH RECURSIVE {LEXICON},{BLOCKS.replace(_BLOCK_SOURCE, _REQUEST_SOURCE)},{EDGES},{PATHS},{_PIECES},{MODEL},
+{EMISSIONS.replace('FROM todo', 'FROM (SELECT block FROM todo UNION SELECT block FROM gaps)')},{VITERBI},{_SENT},
+{_FOLD.format(id='block', source='sent')},{_JOINED},
+asked AS (
+  SELECT conv_id, turn, conv_id * 100000 + turn AS doc_id, turn % 3 = 0 AS search, ['dag', 'crf', 'hybrid', 'hybrid'][turn % 4 + 1] AS mode
+  FROM conversations
+),
+answered AS (
+  SELECT a.doc_id, a.search, b.pos,
+         CASE WHEN pure THEN b.block || chr(1) WHEN mode = 'dag' THEN p.seg WHEN mode = 'crf' THEN f.words ELSE j.seg END AS seg
+  FROM blocks b JOIN asked a ON a.doc_id = b.doc_id LEFT JOIN paths p ON p.block = b.block
+  LEFT JOIN folded f ON f.block = b.block LEFT JOIN joined j ON j.block = b.block
+),
+toks AS (
+  SELECT doc_id, search, pos, i, t[i] AS tok FROM (
+    SELECT doc_id, search, pos, t, unnest(range(1, len(t) + 1)) AS i
+    FROM (SELECT doc_id, search, pos, string_split(rtrim(seg, chr(1)), chr(1)) AS t FROM answered)
+  )
+),
+kinds AS (SELECT DISTINCT tok FROM toks WHERE search AND length(tok) >= 3 AND NOT regexp_matches(tok, '{PURE}')),{_INNER},
+told AS (
+  SELECT doc_id, string_agg(CASE WHEN search THEN coalesce(sub, '') ELSE '' END || toks.tok || chr(1), '' ORDER BY pos, i) AS seg
+  FROM toks LEFT JOIN subs_of ON subs_of.tok = toks.tok GROUP BY doc_id
+)
+SELECT conv_id, turn, CAST(coalesce(length(seg) - length(replace(seg, chr(1), '')), 0) AS BIGINT) AS n_tokens,
+       md5(coalesce(rtrim(seg, chr(1)), '')) AS tokens_md5
+FROM asked LEFT JOIN told USING (doc_id)""",
+    "stream_feedback": f"""WITH {_PAIRS.format(source=f"(SELECT printf('1%010d%05d', conv_id, turn) AS o, turn AS num, {fields(HAN_TEXT)} AS f FROM conversations)")},
+{_STRADDLE},user_lines AS (SELECT '' AS line, '' AS ord WHERE false),{_MERGED},{_PRUNED.replace('{source}', 'merged')},{_cleaned('pruned', 1000.0)}
+SELECT word || ' ' || freq AS line FROM cleaned""",
     "absorb_feedback": f"""WITH {LINES},{_FEEDBACK},{_STRADDLE},{_USER},{_MERGED},{_PRUNED.replace('{source}', 'merged')},{_cleaned('pruned', 1000.0)}
 SELECT * FROM cleaned""",
     "stream_log_filter": "SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND strlen(text) > 2",

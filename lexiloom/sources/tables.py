@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +15,22 @@ LATIN = "abcdefghijklmnopqrstuvwxyz"
 HAN = "的一是不了在人有我他这中大来上国个到说们为子和你地出"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder under `spark.checkpoint.dir`, which driver and executors share.
+
+    Where the session names none, one machine (`local[...]`) takes a temporary one for the life of the
+    process; on a cluster that is an error.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="lexiloom-")
+        atexit.register(shutil.rmtree, top, ignore_errors=True)
+        top = "file://" + top
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def han(text: Column | str) -> Column:
     return F.translate(F.lower(F.col(text) if isinstance(text, str) else text), LATIN, HAN)
 
