@@ -15,7 +15,7 @@ _WORDS = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as text of the page.
-HIDDEN = frozenset("script style title template iframe svg math object noscript textarea select button".split())
+HIDDEN = frozenset("script style title template iframe svg noscript textarea select button".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot "

@@ -6,13 +6,14 @@ potentials are a 2 x 2 table for each kind of child. Sum-product messages go up
 down from the root once and give exact marginals; a text whose marginal is 1/2 or more is content.
 
 The weights are fitted by gradient ascent on the exact likelihood of labelled pages: at most about
-`SAMPLE` pages of the table, whose article or main element labels them, each also in variants in
-which the container goes by other names and elements of the usual other kinds (`OTHER`), filled with
-the page's own words, are put in and labelled as not content. The bound is `SAMPLE`; everything else
-runs over all rows and whole pages.
+`SAMPLE` distinct pages of the table, whose article or main element labels them, each also in variants
+that do not rely on it: with the container under other, unknown or no names and elements of the usual
+other kinds (`OTHER`) put in and labelled as not content, as menus of links around unnamed elements, as
+pages of a few plain blocks, and as short articles. Words of variants are the page's own. The bound is
+`SAMPLE`; everything else runs over all rows and whole pages.
 
 Defined results: null or empty html gives an empty text; a page that never ends what it begins is
-read to its end; with no labelled page at all the variants are made from a page of no words; repeated
+read to its end; with no labelled page at all the variants are made from a page of one word; repeated
 rows give equal rows; other columns are not read.
 """
 
@@ -30,7 +31,7 @@ from lexiloom.llm.common import small_batches, table
 from lexiloom.llm.dom_tree import Page, block_texts, read_page
 
 SAMPLE = 160
-VARIANTS = 6
+VARIANTS = 9
 EPOCHS = 10
 RATE = 0.4
 DECAY = 1e-4
@@ -70,29 +71,42 @@ def _bucket(n: int) -> int:
 def node_features(page: Page) -> list[list[str]]:
     """Names of the features that hold at each node."""
     n = len(page.tag)
-    size, linked = [0] * n, [0] * n
+    size, linked, stops = [0] * n, [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
         if page.tag[i] == "#text":
-            size[i] = len(page.text[i].strip())
+            text = page.text[i].strip()
+            size[i] = len(text)
+            stops[i] = text.count(". ") + text.count("? ") + text.count("! ") + (text[-1:] in (".", "!", "?"))
         if page.tag[i] == "a":
             linked[i] = size[i]
-        size[page.parent[i]] += size[i]
-        linked[page.parent[i]] += linked[i]
+        up = page.parent[i]
+        size[up] += size[i]
+        linked[up] += linked[i]
+        stops[up] += stops[i]
     out = []
     for i, tag in enumerate(page.tag):
-        share = 4 * linked[i] // size[i] if size[i] else 5
         if tag == "#text":
-            out.append([f"in={page.tag[page.parent[i]]}", f"size={_bucket(size[i] // 8)}"])
+            out.append([f"in={page.tag[page.parent[i]]}", f"size={_bucket(size[i] // 8)}", f"stops={min(2, stops[i])}"])
         else:
-            out.append([f"tag={tag}", f"links={share}", f"span={_bucket(size[i] // 32)}", *[f"cue={c}" for c in page.cues[i]]])
+            links = 4 * linked[i] // size[i] if size[i] else 5
+            part = 4 * size[i] // size[0] if size[0] else 0
+            out.append(
+                [f"tag={tag}", f"links={links}", f"span={_bucket(size[i] // 32)}", f"part={part}", f"prose={min(3, stops[i])}"]
+                + [f"cue={c}" for c in page.cues[i]]
+            )
     return out
 
 
-def edge_kind(tag: str, cues: tuple[str, ...]) -> str:
-    """The kind of a child that its parent-child potential depends on."""
+_TOP = frozenset({"#page", "html", "body"})
+
+
+def edge_kind(tag: str, cues: tuple[str, ...], parent: str) -> str:
+    """The kind of a child, and whether it stands at the top, which its parent-child potential depends on."""
     if tag == "#text":
-        return "text"
-    return "named" if cues else "section" if tag in _NOT or tag in _MAIN or tag in ("section", "div", "body", "html") else "plain"
+        kind = "text"
+    else:
+        kind = "named" if cues else "section" if tag in _NOT or tag in _MAIN or tag in ("section", "div", "body", "html") else "plain"
+    return kind + "@top" if parent in _TOP else kind
 
 
 class TreeModel:
@@ -108,7 +122,7 @@ class TreeModel:
         up = [0.0] * n
         for i, fs in enumerate(feats):
             up[i] = sum(get(f, 0.0) for f in fs)
-        kinds = [edge_kind(t, c) for t, c in zip(page.tag, page.cues)]
+        kinds = [edge_kind(t, c, page.tag[u]) for t, c, u in zip(page.tag, page.cues, page.parent)]
         tables = [self.edges.get(k, (0.0, 0.0, 0.0, 0.0)) for k in kinds]
         message = [0.0] * n
         for i in range(n - 1, 0, -1):
@@ -142,7 +156,7 @@ class TreeModel:
             for f in fs:
                 step[f] = step.get(f, 0.0) + g
             if i:
-                kind = edge_kind(page.tag[i], page.cues[i])
+                kind = edge_kind(page.tag[i], page.cues[i], page.tag[page.parent[i]])
                 table_ = edges.get(kind, (0.0, 0.0, 0.0, 0.0))
                 outside = full[page.parent[i]] - message[i]
                 score = [table_[0], table_[1] + up[i], table_[2] + outside, table_[3] + outside + up[i]]
@@ -191,8 +205,25 @@ _MARKS = ("other", "maintext")
 
 
 def variant(source: str, rng: random.Random) -> tuple[Page, list[int]]:
-    """A labelled page: other elements put in at random, the container under another name."""
-    words = [w for w in read_words(source)] or ["text"]
+    """A labelled page made of a page's words, in one of four ways."""
+    words = read_words(source) or ["text"]
+    way = rng.random()
+    if way < 0.55:
+        html_ = _renamed(source, words, rng)
+    elif way < 0.75:
+        html_ = _nameless(words, rng)
+    elif way < 0.9:
+        html_ = _bare(words, rng)
+    else:
+        html_ = _wrap(_marked(rng.choice(["<article>", "<main>"]), "maintext") + _short(words, rng, 2) + rng.choice(["</article>", "</main>", ""]), rng)
+    page = read_page(html_)
+    labels = labels_by_markup(page)
+    page.cues = [tuple(c for c in cs if c not in _MARKS) for cs in page.cues]
+    return page, labels
+
+
+def _renamed(source: str, words: list[str], rng: random.Random) -> str:
+    """Other elements put in at random, the container under another name."""
     lines = source.replace("<article>", "\0<article>").replace("</article>", "</article>\0")
     head, _, rest = lines.partition("\0")
     body, _, tail = rest.partition("\0")
@@ -201,8 +232,7 @@ def variant(source: str, rng: random.Random) -> tuple[Page, list[int]]:
     cuts = inner.split("<p>")
     for _ in range(rng.randrange(4)):
         cuts[rng.randrange(len(cuts))] += _other(words, rng)
-    end = name[1:].split()[0].rstrip(">")
-    body = _marked(name, "maintext") + "<p>".join(cuts) + f"</{end}>"
+    body = _marked(name, "maintext") + "<p>".join(cuts) + _end(name)
     for _ in range(rng.randrange(5)):
         if rng.random() < 0.5:
             head += _other(words, rng)
@@ -210,36 +240,84 @@ def variant(source: str, rng: random.Random) -> tuple[Page, list[int]]:
             tail = _other(words, rng) + tail
     if rng.random() < 0.3:
         head, tail = head + "<div>", "</div>" + tail
-    page = read_page(head + body + tail)
-    labels = labels_by_markup(page)
-    page.cues = [tuple(c for c in cs if c not in _MARKS) for cs in page.cues]
-    return page, labels
+    return head + body + tail
+
+
+def _nameless(words: list[str], rng: random.Random) -> str:
+    """Links and labels around prose, in elements whose names tell nothing."""
+    other = lambda: _element(rng.choice(["<div>", "<div>", "<ul>", "<table>", "<section>"]), "other", _links(words, rng), rng)
+    main = _element(rng.choice(["<div>", "<div>", "<section>", "<article>", "<main>"]), "maintext", _prose(words, rng), rng)
+    parts = [other() for _ in range(rng.randrange(3))] + [main] + [other() for _ in range(rng.randrange(3))]
+    if rng.random() < 0.3:
+        parts = ["<div>", *parts, "</div>"]
+    return _wrap("".join(parts), rng)
+
+
+def _bare(words: list[str], rng: random.Random) -> str:
+    """Blocks of main text with no container, now and then beside links."""
+    blocks = []
+    for _ in range(1 + rng.randrange(6)):
+        start = rng.choice(["<p>", "<p>", "<h1>", "<h2>", "<blockquote>"])
+        blocks.append(_marked(start, "maintext") + _run(words, rng, rng.choice([6, 20, 60])) + _end(start))
+    if rng.random() < 0.4:
+        blocks.insert(rng.choice([0, len(blocks)]), _element(rng.choice(["<nav>", "<ul>", "<div>", "<footer>"]), "other", _links(words, rng), rng))
+    return _wrap("".join(blocks), rng)
+
+
+def _wrap(inner: str, rng: random.Random) -> str:
+    return rng.choice(["<html><head><title>t</title></head><body>{}</body></html>", "<body>{}</body>", "{}"]).replace("{}", inner)
+
+
+def _run(words: list[str], rng: random.Random, most: int) -> str:
+    at = rng.randrange(len(words))
+    text = " ".join(words[at : at + 1 + rng.randrange(most)])
+    return text + "." if rng.random() < 0.5 and text[-1:].isalnum() else text
+
+
+def _prose(words: list[str], rng: random.Random) -> str:
+    head = f"<h1>{_run(words, rng, 8)}</h1>" if rng.random() < 0.5 else ""
+    return head + "".join(rng.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>"]).replace("{}", _run(words, rng, 60) + ".") for _ in range(1 + rng.randrange(5)))
+
+
+def _links(words: list[str], rng: random.Random) -> str:
+    link = lambda: f'<a href="#">{_run(words, rng, 4)}</a>'
+    form = rng.choice(["{}", "<li>{}</li>", "<p>{}</p>", "<span>{}</span>"])
+    label = f"<h3>{_run(words, rng, 3)}</h3>" if rng.random() < 0.3 else ""
+    return label + rng.choice(["", " ", " | "]).join(form.replace("{}", link()) for _ in range(1 + rng.randrange(7)))
+
+
+def _element(start: str, mark: str, inner: str, rng: random.Random) -> str:
+    """The element under a made-up name, or none."""
+    if rng.random() < 0.6:
+        name = "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+        start = start[:-1] + f' class="{name}">'
+    return _marked(start, mark) + inner + _end(start)
+
+
+def _end(start: str) -> str:
+    return f"</{start[1:].split('>')[0].split()[0]}>"
 
 
-def _short(words: list[str], rng: random.Random) -> str:
+def _short(words: list[str], rng: random.Random, most: int = 7) -> str:
     """Content of a few blocks of any kind and of any length."""
     out = []
-    for _ in range(1 + rng.randrange(7)):
-        at = rng.randrange(len(words))
-        text = " ".join(words[at : at + 1 + rng.randrange(rng.choice([4, 12, 60]))])
-        out.append(rng.choice(BLOCKS).replace("{}", text))
+    for _ in range(1 + rng.randrange(most)):
+        out.append(rng.choice(BLOCKS).replace("{}", _run(words, rng, rng.choice([4, 12, 60]))))
     return "".join(out)
 
 
 def _marked(start: str, mark: str) -> str:
-    """The start tag with the mark among its names, in front of what it has."""
+    """The start tag with the mark among its names, behind what it has."""
     return start[:-1] + f' id="{mark}">'
 
 
 def _other(words: list[str], rng: random.Random) -> str:
     start = rng.choice(OTHER)
-    end = start[1:].split()[0].rstrip(">")
     parts = []
     for _ in range(1 + rng.randrange(3)):
-        at = rng.randrange(len(words))
-        text = " ".join(words[at : at + 1 + rng.randrange(rng.choice([4, 12, 60]))])
+        text = _run(words, rng, rng.choice([4, 12, 60]))
         parts.append(rng.choice([f"<p>{text}</p>", text, f'<a href="#">{text}</a>', f"<ul><li>{text}</li></ul>", f"<h3>{text}</h3>"]))
-    return _marked(start, "other") + "".join(parts) + f"</{end}>"
+    return _marked(start, "other") + "".join(parts) + _end(start)
 
 
 def read_words(source: str) -> list[str]:
@@ -267,11 +345,12 @@ def fit(sources: list[str]) -> TreeModel:
 def train(pages: DataFrame, html_col: str = "html") -> TreeModel:
     """Fit on at most about SAMPLE pages, picked by a hash of the page."""
     small_batches(pages.sparkSession)
-    source = pages.select(F.col(html_col).alias("html")).filter("html IS NOT NULL")
-    total = source.count()
-    h = F.xxhash64("html")
+    source = pages.select(F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html")).filter("html IS NOT NULL")
+    total = source.agg(F.approx_count_distinct("h", 0.01)).first()[0]
     share = min(1.0, SAMPLE / max(1, total))
-    sample = source.filter(F.pmod(h, F.lit(1 << 30)) < share * (1 << 30)).withColumn("one", F.lit(0))
+    # Equal pages are one, and meet as partial aggregates.
+    sample = source.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).groupBy("h").agg(F.first("html").alias("html"))
+    sample = sample.withColumn("one", F.lit(0))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         model = fit(sorted(set(pdf["html"])))
