@@ -20,13 +20,16 @@ BROADCAST_ROWS = 500_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder takes its
-    place, for the life of the process.
+    Only on one machine (`local[...]`, as in tests) a session that names none gets a temporary folder,
+    for the life of the process; on a cluster that is an error, as executors share no local folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("lexiloom.own.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lexiloom-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         path = "file://" + path
@@ -56,7 +59,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more: all that came of them is staged itself."""
+    for df in staged:
+        path = getattr(df, "_staged", None)
+        if path is not None:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as it takes to clash with no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import stage
+from lexiloom.llm.common import discard, stage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
             far.join(near, far["node"] == near["a"]).select("node", "label", F.least("up", "m").alias("l")), "cc-near"
         )
         lower = least.filter("l < label")
+        discard(far)
         if lower.isEmpty():
-            return labels.withColumnRenamed("label", "component")
+            discard(both, least)
+            out = labels.withColumnRenamed("label", "component")
+            out._staged = labels._staged
+            return out
         told = least.select("node", "l").union(lower.groupBy("label").agg(F.min("l")))
-        labels = stage(told.groupBy("node").agg(F.min("l").alias("label")), "cc-labels")
+        before, labels = labels, stage(told.groupBy("node").agg(F.min("l").alias("label")), "cc-labels")
+        discard(least, before)

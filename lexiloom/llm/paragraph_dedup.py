@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiloom.llm.common import BROADCAST_ROWS, documents, key_filter, small_batches, stage
+from lexiloom.llm.common import BROADCAST_ROWS, discard, documents, key_filter, small_batches, stage
 from lexiloom.llm.components import connected_components
-from lexiloom.llm.jaccard_join import join_regions
+from lexiloom.llm.jaccard_join import join_regions, once_each
 from lexiloom.llm.shingles import SHINGLE, mix64, word_hashes, word_places
 
 LONG = 12
@@ -113,10 +113,12 @@ class Paragraphs:
 
 
 def band_rows(docs: DataFrame, text_col: str) -> DataFrame:
-    """(band, key): every band of every long paragraph; a task shows equal paragraphs once a batch."""
+    """(key, n, bands): the long paragraphs with their bands. Equal ones come once a batch with their number,
+    and with their bands once a task, so that a very common one costs a row of each task."""
     bands, rows = tuned_bands()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for pdf in batches:
             keys, shown = [], []
             for t in pdf["text"]:
@@ -127,7 +129,9 @@ def band_rows(docs: DataFrame, text_col: str) -> DataFrame:
             if keys:
                 key, band = np.concatenate(keys), np.concatenate(shown)
                 key, first, n = np.unique(key, return_index=True, return_counts=True)
-                yield pd.DataFrame({"key": key, "n": n, "bands": list(band[first])})
+                yield pd.DataFrame({"key": key, "n": n, "bands": [None if k in seen else b for k, b in zip(key.tolist(), band[first])]})
+                if len(seen) < _SEEN:
+                    seen.update(key[n > 1].tolist())
 
     return docs.select(F.col(text_col).alias("text")).mapInPandas(scan, "key long, n long, bands array<long>")
 
@@ -137,7 +141,7 @@ def _collisions(shown: DataFrame) -> DataFrame:
 
     Nodes that collide in several bands under one pivot meet in one region.
     """
-    rows = shown.select("key", F.explode("bands").alias("band"))
+    rows = shown.filter("bands IS NOT NULL").select("key", F.explode("bands").alias("band"))
     one = Window.partitionBy("band")
     return (
         rows.select("key", F.min("key").over(one).alias("pivot"), F.max("key").over(one).alias("last"))
@@ -198,16 +202,13 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = stage(repeated.union(near).distinct(), "para-wanted")
     read = stage(_occurrences(docs, id_col, text_col, wanted, near), "para-read")
     found = read.select("id", F.explode("found").alias("f")).select("id", "f.*")
-    sets = stage(
-        found.filter("shingles IS NOT NULL").select(
-            F.col("key").alias("node"), F.format_string("%016x", "key").alias("digest"),
-            F.expr("octet_length(shingles) div 8").cast("long").alias("n"), "shingles",
-        ),
-        "para-sets",
-    )
-    sizes = sets.groupBy("node").agg(F.max("n").alias("n"))
-    regions = collisions.select(F.col("pivot").cast("string").alias("region"), F.col("key").alias("node"))
-    linked = connected_components(join_regions(stage(regions.join(sizes, "node"), "para-regions"), sets))
+    sets = found.filter("shingles IS NOT NULL").select(F.col("key").alias("row"), "shingles")
+    sets = stage(once_each(sets), "para-sets")
+    sizes = sets.select("row", F.expr("octet_length(shingles) div 8").cast("long").alias("n"))
+    members = collisions.select(F.col("pivot").cast("string").alias("region"), F.col("key").alias("row")).join(sizes, "row")
+    members = stage(members.withColumn("digest", F.format_string("%016x", "row")), "para-members")
+    linked = connected_components(join_regions(members, sets))
+    discard(shown, collisions, members, sets)
     signed = lambda c: F.conv(c, 16, -10).cast("long")
     comps = linked.select(signed("node").alias("key"), signed("component").alias("component"))
     named = found.select("id", "no", "start", "end", "key").join(_few(comps), "key", "left").select(

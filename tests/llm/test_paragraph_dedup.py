@@ -61,3 +61,12 @@ def test_repeats_in_one_text_and_repeated_rows(make):
     by = sorted((str(r["id"]), r["n_paragraphs"], r["n_repeated"], r["n_removed"]) for r in got)
     assert by[-1] == ("None", 1, 1, 0) and by[0][3] == 3
     assert D.paragraph_dedup(make([])).count() == 0
+
+
+def test_a_very_common_paragraph_and_a_very_long_text(make):
+    rng = random.Random(9)
+    common = sentences(rng, 1)[0]
+    rows = [(k, f"{sentences(rng, 1)[0]}\n{common}") for k in range(400)] + [(999, "\n".join(sentences(rng, 4000)))]
+    got = {r["id"]: r for r in D.paragraph_dedup(make(rows)).collect()}
+    assert got[0]["n_removed"] == 0 and all(got[k]["n_removed"] == 1 for k in range(1, 400))
+    assert got[999]["n_paragraphs"] == 4000 and got[999]["n_removed"] == 0
