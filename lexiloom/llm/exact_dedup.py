@@ -1,13 +1,15 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
-Level 1 groups rows by the length of the normalised text, level 2 the rows of shared lengths
-by a hash of their first characters; both read a narrow staged table. Only rows that still
-share (length, prefix hash) with another row have their whole text hashed (SHA-256), in a
-second scan filtered by the surviving keys, so no text is ever shuffled. Group totals are
-partial aggregates, so a group with a third of all rows costs one row per task.
-
-Defined results: null text counts as empty; empty texts equal each other; rows that repeat
-an id are rows of their own; no rows in, no rows out; other columns of the input are not read.
+One narrow staged table has the length of every row's normalised text and a hash of its first
+characters. Rows are counted by both at once, with partial aggregates: a length that one row has
+drops out (level 1), and so does a prefix that one row of its length has (level 2). Only rows that
+still share (length, prefix hash) with another row have their whole text hashed (SHA-256), in a
+second scan filtered by the surviving keys, so no text is ever shuffled, and a group with a third
+of all rows costs one row per task.
+
+Defined results: null text counts as empty; empty texts equal each other; of rows that repeat id and
+text as they stand exactly one is kept, whichever was read first; no rows in, no rows out; other
+columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import BROADCAST_ROWS, documents, stage
+from lexiloom.llm.common import BROADCAST_ROWS, discard, documents, stage
 
 WHITE = " \t\n\x0b\x0c\r"
 PREFIX_CHARS = 64
@@ -33,6 +35,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFra
     norm = normalised(F.col(text_col))
     cols = [
         F.col(id_col).alias("id"),
+        F.xxhash64(text_col).alias("th"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"),
         F.octet_length(norm).alias("n"),
         F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("prefix"),
@@ -43,48 +46,49 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFra
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False
 ) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, digest.
+    """One row per input row: id, th (hash of the text), keep_id, group_size, kept, digest.
 
     Of equal texts the one with the most code points stays, then the smallest id. `digest` is
     null for rows decided by length or prefix, unless `digest_all` asks for it everywhere.
     """
     narrow = stage(_keyed(docs, id_col, text_col, False), "exact-keys")
-    lengths = narrow.groupBy("n").agg(F.count("*").alias("c")).filter("c > 1").select("n")
-    keys = stage(
-        narrow.join(lengths, "n", "left_semi")
-        .groupBy("n", "prefix")
-        .agg(F.count("*").alias("c"))
-        .filter("c > 1")
-        .select("n", "prefix"),
-        "exact-survivors",
-    )
+    sizes = narrow.groupBy("n", "prefix").agg(F.count("*").alias("c"))
+    keys = stage(sizes.filter("c > 1").select("n", "prefix"), "exact-survivors")
     side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
     full = _keyed(docs, id_col, text_col, True)
-    survivors = stage(full.join(side, ["n", "prefix"], "left_semi"), "exact-full")
+    survivors = full.join(side, ["n", "prefix"], "left_semi").withColumn("row", F.monotonically_increasing_id())
+    survivors = stage(survivors, "exact-full")  # rows have their numbers from here on
     groups = stage(
         survivors.groupBy("n", "digest")
         .agg(
             F.count("*").alias("group_size"),
-            F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").alias("keep_id"))).alias("best"),
+            F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").alias("keep_id"), "row")).alias("best"),
         )
         .filter("group_size > 1")
-        .select("n", "digest", "group_size", F.col("best.keep_id").alias("keep_id")),
+        .select("n", "digest", "group_size", F.col("best.keep_id").alias("keep_id"), F.col("best.row").alias("keep_row")),
         "exact-groups",
     )
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
     in_groups = survivors.join(groups, ["n", "digest"], "left").select(
         "id",
+        "th",
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"),
         "digest",
     )
     rest = (full if digest_all else narrow).join(side, ["n", "prefix"], "left_anti")
+    if digest_all:
+        discard(narrow)
     alone = rest.select(
         "id",
+        "th",
         F.col("id").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
+        F.lit(True).alias("kept"),
         F.col("digest") if digest_all else F.lit(None).cast("string").alias("digest"),
     )
-    return in_groups.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
+    return in_groups.unionByName(alone)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
