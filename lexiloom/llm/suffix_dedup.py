@@ -16,6 +16,11 @@ lost between anchors; a phrase is what lies from one anchor to the next, K bytes
    open, at the ends of matches; they and the strings of the same inner runs elsewhere are settled byte by
    byte, by 96-bit hashes of the strings themselves.
 
+Repeated passages below the threshold are not removed but counted: `n_passages` has the stretches of
+`PASSAGE` bytes or more of which every two phrases in a row occur again somewhere. It is told from the
+ranks alone, so it sees what lies between the first and the last anchor of a passage, and texts shorter than
+`LENGTH` have none.
+
 Ranks are 64-bit names of runs of phrase hashes.
 Groups are partial aggregates and skewed joins; texts that share no phrase are not read again.
 
@@ -41,6 +46,8 @@ from lexiloom.llm.shingles import Powers, mix64
 LENGTH = 400
 K = 16
 SPAN = 128
+#: Least bytes of a stretch that counts as a repeated passage.
+PASSAGE = 128
 #: Open strings are hashed in packings of about so many and settled in calls of about so many.
 PACKING = 1_000_000
 CALL_STRINGS = 2_000_000
@@ -183,16 +190,31 @@ def _covered(ranks: DataFrame, phrases: DataFrame) -> DataFrame:
     return _shared(stage(runs, "suffix-full")).select("doc", "t")
 
 
+_GROUPS = ["doc", "core", "lo", "hi", "off", "sure"]
+
+
+def _passages(pos: np.ndarray, pairs: np.ndarray) -> int:
+    """Stretches of PASSAGE bytes or more under shared runs of two phrases, which start at `pairs`."""
+    t = np.unique(pairs)
+    if not len(t):
+        return 0
+    cut = np.flatnonzero(np.diff(t) != 1) + 1
+    first, last = t[np.append(0, cut)], t[np.append(cut, len(t)) - 1]
+    return int(np.count_nonzero(pos[last + 2] + K - pos[first] >= PASSAGE))
+
+
 def _groups(cand: DataFrame) -> DataFrame:
     """(doc, core, lo, hi, off, sure): strings that start at lo..hi of texts with (text, rt, rm, rank, ts).
 
     `core` names their inner run, `off` is how far the first one starts before it; `rt`, `rm` and `rank`
-    are the shared runs of the text, `ts` the positions under a run past the threshold.
+    are the shared runs of the text, `ts` the positions under a run past the threshold. A row without core
+    tells in `hi` how many passages the text shares.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple[np.ndarray, ...]] = []
+            told: list[tuple] = []
             for doc, text, rt, rm, rank, ts in zip(pdf["doc"], pdf["text"], pdf["rt"], pdf["rm"], pdf["rank"], pdf["ts"]):
                 data = Bytes(text.encode("utf-8", "surrogatepass"))
                 a = Anchors(data)
@@ -213,8 +235,10 @@ def _groups(cand: DataFrame) -> DataFrame:
                 full[ts] = True
                 sure = full[t] & (t >= 0)
                 out.append((np.full(int(ok.sum()), doc), core[ok].view(np.int64), lo[ok], hi[ok], (a.pos[f] - lo)[ok], sure[ok]))
+                told.append((doc, None, 0, _passages(a.pos, rt[rm == 2]), 0, True))
             if out:
-                yield pd.DataFrame(dict(zip(("doc", "core", "lo", "hi", "off", "sure"), map(np.concatenate, zip(*out)))))
+                rows = pd.DataFrame(dict(zip(_GROUPS, map(np.concatenate, zip(*out))))).astype({"core": "Int64"})
+                yield pd.concat([rows, pd.DataFrame(told, columns=_GROUPS).astype({"core": "Int64"})])
 
     return cand.mapInPandas(scan, "doc long, core long, lo long, hi long, off long, sure boolean")
 
@@ -277,9 +301,6 @@ def _hashed(cand: DataFrame, calls: int) -> DataFrame:
         if again.any():
             d, lo, hi = _stretches(doc[again], start[again])
             rows.append((int(d[0] % calls), d.tobytes(), b"", b"", b"", np.stack((lo, hi)).astype(np.int64).tobytes()))
-        docs, which = np.unique(doc, return_inverse=True)
-        which = which.astype(np.uint32)
-        which[first] = _NOWHERE
         send = np.flatnonzero(~again | first)
         to = (key[send] >> np.uint64(20)) % np.uint64(calls)
         order = np.argsort(to, kind="stable")
@@ -287,7 +308,9 @@ def _hashed(cand: DataFrame, calls: int) -> DataFrame:
         cut = np.flatnonzero(np.diff(to)) + 1
         for part in np.split(send, cut) if len(send) else []:
             call = int((key[part[0]] >> np.uint64(20)) % np.uint64(calls))
-            rows.append((call, docs.tobytes(), key[part].tobytes(), extra[part].tobytes(), which[part].tobytes(), start[part].astype(np.int32).tobytes()))
+            docs, which = np.unique(doc[part], return_inverse=True)  # the texts of this part alone
+            which = np.where(first[part], _NOWHERE, which).astype(np.uint32)
+            rows.append((call, docs.tobytes(), key[part].tobytes(), extra[part].tobytes(), which.tobytes(), start[part].astype(np.int32).tobytes()))
         return pd.DataFrame(rows, columns=["call", "docs", "key", "extra", "which", "start"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -370,13 +393,15 @@ def _lists(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, n_passages."""
     small_batches(docs.sparkSession)
     rows = _read(docs, id_col, text_col)
-    copies = rows.select("id", "sha").groupBy("sha").agg(F.count("*").alias("c"), F.min("id").alias("one")).filter("c > 1")
+    keys = stage(rows.select("id", "sha", "n"), "suffix-keys")
+    copies = keys.groupBy("sha").agg(F.count("*").alias("c"), F.min("id").alias("one")).filter("c > 1")
     copies = stage(copies.select("sha", "one"), "suffix-copies")
     side = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
-    narrow = rows.select("id", "sha", "n").join(side, "sha", "left")
+    copied = keys.join(side.select("sha"), "sha", "left_semi")
+    single = keys.join(side.select("sha"), "sha", "left_anti")
     texts = rows.join(side, "sha", "left").filter("one IS NULL OR id <=> one").select("sha", "n", "text")
     phrases = stage(_phrases(texts).withColumn("doc", F.monotonically_increasing_id()), "suffix-phrases")
     ranks = doubled_ranks(phrases)
@@ -398,7 +423,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty = lambda kind: F.array().cast(kind)
     known = cand.join(profile, "doc").withColumn("ts", F.coalesce("ts", empty("array<int>")))
     groups = stage(_groups(known), "suffix-groups")
-    parts = stage(_lists(_open(groups), "lo", "hi"), "suffix-open")
+    shares = groups.filter("core IS NULL AND hi > 0").select("doc", F.col("hi").alias("n_passages"))
+    parts = stage(_lists(_open(groups.filter("core IS NOT NULL")), "lo", "hi"), "suffix-open")
     strings = parts.agg(F.sum(F.aggregate(F.zip_with("hi", "lo", lambda h, l: h - l), F.lit(0).cast("long"), lambda a, x: a + x))).first()[0]
     calls = max(1, (strings or 0) // CALL_STRINGS)
     spans = stage(_settled(_hashed(cand.join(parts, "doc"), calls)), "suffix-spans")
@@ -407,15 +433,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc", F.coalesce("ts", empty("array<int>")).alias("ts"), F.coalesce("lo", none).alias("lo"), F.coalesce("hi", none).alias("hi")
     )
     removal = stage(_removal(cand.join(both, "doc")), "suffix-removal").dropDuplicates(["sha"])
-    long_copy = F.col("copied") & (F.col("n") >= LENGTH)
-    out = narrow.select("id", "sha", "n", F.col("one").isNotNull().alias("copied")).join(removal, "sha", "left")
-    return out.select(
-        "id",
-        F.col("n").alias("n_bytes"),
-        F.when(long_copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(long_copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(long_copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+    shares = names.join(shares, "doc").groupBy("sha").agg(F.max("n_passages").alias("n_passages"))
+    # Of copies nothing is asked but their length, so that they need no join with what was found for one text.
+    zero = F.lit(0).cast("long")
+    long_copy = F.col("n") >= LENGTH
+    copied = copied.select(
+        "id", F.col("n").alias("n_bytes"), F.when(long_copy, F.col("n")).otherwise(zero).alias("n_removed"),
+        F.when(long_copy, 1).otherwise(0).cast("long").alias("n_spans"),
+        F.when(long_copy, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
+        (F.col("n") >= PASSAGE).cast("long").alias("n_passages"),
+    )
+    single = single.join(removal, "sha", "left").join(shares, "sha", "left").select(
+        "id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
+        F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("n_passages", zero).alias("n_passages"),
     )
+    return copied.unionByName(single)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,23 @@ def test_production_length(make, prose):
     assert result(make(rows)) == brute(rows, 400)
 
 
+def test_shorter_passages_are_counted(make):
+    """Passages of 60 words (under 400 bytes) in several texts, and texts that share nothing."""
+    rng = random.Random(17)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passages = [text(60)[:390] for _ in range(10)]
+    rows = [(k, f"{text(60)} {passages[k // 2]} {text(60)}") for k in range(20)] + [(k, text(180)) for k in range(20, 40)]
+    got = {r["id"]: r for r in S.suffix_dedup(make(rows)).collect()}
+    assert sum(got[k]["n_passages"] > 0 for k in range(20)) >= 19 and not any(got[k]["n_passages"] for k in range(20, 40))
+    assert not any(r["n_removed"] for r in got.values())
+
+
+def test_many_copies(make):
+    long, short = "word " * 100, "few words"
+    rows = [(k, long) for k in range(300)] + [(k, short) for k in range(300, 500)]
+    assert result(make(rows)) == brute(rows, 400)
+
+
 def test_repeated_ids_and_empty_table(make, small):
     rows = [(1, "q" * 3 + "".join(map(str, range(60))))] * 2 + [(None, "short")]
     assert result(make(rows)) == brute(rows, 40)
