@@ -14,12 +14,12 @@ Repeated rows get the same answer; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ ALPHA, BETA, L1, L2 = 2.0, 1.0, 2e-4, 1e-4
 CHUNK = 1 << 20
 FOLDS = 5
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # number forms such as those for one half are no letters
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 

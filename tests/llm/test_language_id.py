@@ -33,6 +33,62 @@ def test_texts_without_letters_and_nulls(make, model):
     assert got[:3] == [(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0)] and got[3] == got[4] and got[3][1] == "en"
 
 
+def test_number_forms_are_no_letters(model):
+    for t in ("½ ²", "Ⅷ", "①② 3"):
+        assert model.predict(t) == ("und", 0.0)
+    assert model.predict("ª")[0] != "und"
+
+
+def plain_counts(text):
+    """Counts of hashed 1- to 3-grams, gram by gram."""
+    codes, out = [ord(c) for c in text.lower()], {}
+    for n in (1, 2, 3):
+        for i in range(len(codes) - n + 1):
+            h = 0
+            for j in range(n):
+                h = ((h + codes[i + j] * int(L._MULT[j])) * 0x27D4EB2F + j + 1) % 2**32
+            out[h >> 16] = out.get(h >> 16, 0) + 1
+    return out
+
+
+def test_counts_features_and_weights_by_brute_force(make):
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdé xyz"), size=rng.integers(1, 40))) for _ in range(30)]
+    for t in texts:
+        counts = L.ngram_counts(t)
+        assert {int(k): int(counts[k]) for k in np.flatnonzero(counts)} == plain_counts(t)
+    df = L.document_frequencies(make(list(enumerate(texts))))
+    every = [plain_counts(t) for t in texts]
+    assert all(df[k] == sum(k in c for c in every) for k in set().union(*every))
+    idf = np.log((1 + len(texts)) / (1 + df)) + 1.0
+    at, x = L.features(texts[0], idf)
+    raw = {k: (1 + np.log(n)) * idf[k] for k, n in every[0].items()}
+    norm = np.sqrt(sum(v * v for v in raw.values()))
+    assert dict(zip(at.tolist(), x)) == pytest.approx({k: v / norm for k, v in raw.items()})
+    # FTRL, one weight after another.
+    rows = [(*L.features(t, idf), k % 2) for k, t in enumerate(texts)]
+    z, n, width = {}, {}, 2
+
+    def weight(f, c):
+        a, b = z.get((f, c), 0.0), n.get((f, c), 0.0)
+        return 0.0 if abs(a) <= L.L1 else -(a - np.sign(a) * L.L1) / ((L.BETA + np.sqrt(b)) / L.ALPHA + L.L2)
+
+    for _ in range(2):
+        for at, x, label in rows:
+            full = [*zip(at.tolist(), x.tolist()), (L.BUCKETS, 1.0)]
+            s = [sum(v * weight(f, c) for f, v in full) for c in range(width)]
+            e = np.exp(np.array(s) - max(s))
+            p = e / e.sum()
+            for f, v in full:
+                for c in range(width):
+                    g = v * (p[c] - (c == label))
+                    w, b = weight(f, c), n.get((f, c), 0.0)
+                    z[f, c] = z.get((f, c), 0.0) + g - (np.sqrt(b + g * g) - np.sqrt(b)) / L.ALPHA * w
+                    n[f, c] = b + g * g
+    got = L.ftrl(rows, width, 2)
+    assert all(got[f, c] == pytest.approx(weight(f, c), abs=1e-9) for f, c in z)
+
+
 def test_nothing_to_learn_from(make):
     docs = make([(1, "text", None, None)])
     model = L.train(docs)
