@@ -16,7 +16,8 @@ listed once.
 Streams are read to the end, every member of them; what follows a member and is none is left. A
 layer of more than `MAX_LAYER` characters is scanned in pieces that share `OVERLAP` characters, so that
 a compression bomb costs bounded memory: only a secret or a run longer than that may be cut where two
-pieces meet. The document's own text is always read whole. A layer is text if it is UTF-8. Base64 that
+pieces meet. The document's own text is always read whole. A layer is text if it is UTF-8, or UTF-16 by
+its mark or by the zero bytes of its Latin letters. Base64 that
 goes on over line breaks is read as one run, and each of its lines as well.
 
 Defined results: null counts as empty and has no spans; repeated rows get equal rows; other columns
@@ -240,20 +241,42 @@ def _opened(run: str) -> Iterator[str]:
         raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    held, size, shared = [], 0, 0
-    try:
-        for data in _unpacked(raw):
-            held.append(decoder.decode(data))
-            size += len(held[-1])
-            if size >= MAX_LAYER:
-                text = "".join(held)
+    for codec in _codecs(raw):
+        told = False
+        try:
+            for text in _texts(_unpacked(raw), codec):
+                told = True
                 yield text
-                held, size = [text[-OVERLAP:]], min(OVERLAP, size)
-                shared = size
-        held.append(decoder.decode(b"", True))
-    except UnicodeDecodeError:
-        return
+        except UnicodeDecodeError:
+            pass
+        if told:
+            return
+
+
+def _codecs(raw: bytes) -> list[str]:
+    """Encodings to try, in order, by the first bytes of what is unpacked."""
+    head = next(iter(_unpacked(raw)), b"")[:512]
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return ["utf-16"]
+    even, odd = head[::2].count(0), head[1::2].count(0)
+    if max(even, odd) >= len(head) // 8 and len(head) > 3 and (even == 0) != (odd == 0):
+        return ["utf-16-le" if odd else "utf-16-be", "utf-8"]
+    return ["utf-8"]
+
+
+def _texts(parts: Iterator[bytes], codec: str) -> Iterator[str]:
+    """The decoded text, a long one in pieces that overlap."""
+    decoder = codecs.getincrementaldecoder(codec)()
+    held, size, shared = [], 0, 0
+    for data in parts:
+        held.append(decoder.decode(data))
+        size += len(held[-1])
+        if size >= MAX_LAYER:
+            text = "".join(held)
+            yield text
+            held, size = [text[-OVERLAP:]], min(OVERLAP, size)
+            shared = size
+    held.append(decoder.decode(b"", True))
     text = "".join(held)
     if len(text) > shared:
         yield text

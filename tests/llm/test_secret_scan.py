@@ -104,3 +104,27 @@ def test_pieces_of_a_long_layer_share_characters(monkeypatch):
     monkeypatch.setattr(S, "_STEP", 64)
     for n in range(900, 1100, 7):
         assert len(found(f"x {b64(gzip.compress(b'a ' * n + PLAIN.encode() + b' b' * 700))} y")[1]) == 1
+
+
+@pytest.mark.parametrize("codec", ["utf-16", "utf-16-le", "utf-16-be"])
+@pytest.mark.parametrize("wrap", [lambda b: b, gzip.compress])
+def test_layers_in_two_byte_characters(codec, wrap):
+    text = f"before {b64(wrap(('Für alle: ' + PLAIN).encode(codec)))} after"
+    assert {k for _, k, _ in S.find_secrets(text)[1]} == {0} and S.find_secrets(text)[0] == []
+
+
+def test_empty_table_and_repeated_rows_with_layers(make):
+    hidden = f"é {b64(gzip.compress(PLAIN.encode()))} end"
+    docs = make([(1, hidden), (1, hidden), (None, hidden), (2, "")])
+    got = [r["s"]["spans"] for r in docs.select(S.secret_spans(docs).alias("s")).collect()]
+    assert got[0] == got[1] == got[2] != "" and got[3] == ""
+    empty = docs.limit(0)
+    assert empty.select(S.secret_spans(empty).alias("s")).count() == 0
+
+
+def test_very_long_texts():
+    text = "word and more words " * 250_000
+    at = 3_000_000
+    text = text[:at] + f" {urllib.parse.quote(PLAIN)} " + text[at:]
+    base, every = S.find_secrets(text)
+    assert base == [] and len(every) == 1 and at <= every[0][0] < every[0][2] <= at + 60
