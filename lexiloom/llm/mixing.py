@@ -8,7 +8,9 @@ less than one block. The schedule repeats with the period, so a block's slot is
 small table. When a source runs out, a new phase begins with the shares of those left, until every
 document is placed exactly once.
 
-What the driver works out (`plan_phases`) depends on the number of sources and the shares only.
+What the driver works out (`plan_phases`) depends on the number of sources and the shares only: at
+most `MOST_SOURCES` phases of about a period of slots. Where a table has more sources, the largest and
+those with a target of their own keep their places and all others share one, under the name `OTHERS`.
 Numbering of documents inside a source is salted: hash buckets are numbered on their own and
 shifted by counted offsets, so a source with a third of all rows is spread over many tasks.
 
@@ -34,6 +36,8 @@ PERIOD = 1000
 SMOOTHING = 0.7
 BUCKET_DOCS = 100_000
 LEAST_BUCKETS = 64
+MOST_SOURCES = 256
+OTHERS = "(other sources)"
 RESULTS = ["mix_source", "mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline", "mix_position"]
 
 _PLAN = (
@@ -115,6 +119,13 @@ def mix(
     total = docs.count()
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_DOCS))
     keyed = keyed.withColumn("mix_bucket", F.pmod("mix_hash", F.lit(buckets)))
+    sources = keyed.groupBy("mix_source").agg(F.count("*").alias("n"))
+    targets = sorted(shares or {})
+    largest = sources.orderBy(F.col("mix_source").isin(targets).desc(), F.desc("n"), "mix_source").limit(MOST_SOURCES + 1)
+    named = [r["mix_source"] for r in largest.collect()]
+    if len(named) > MOST_SOURCES:
+        own = F.col("mix_source").isin(named[: max(len(targets), MOST_SOURCES - 1)])
+        keyed = keyed.withColumn("mix_source", F.when(own, F.col("mix_source")).otherwise(F.lit(OTHERS)))
     sizes = keyed.groupBy("mix_source", "mix_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("mix_source", "mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -72,3 +72,13 @@ def test_numbering_is_spread_over_buckets(make, monkeypatch):
     monkeypatch.setattr(M, "LEAST_BUCKETS", 3)
     monkeypatch.setattr(M, "BUCKET_DOCS", 10)
     check(mixed(make([(i, "t", "en", "a") for i in range(95)]), block_docs=8), Counter({"a": 95}), {"a": 1}, 8)
+
+
+def test_many_sources_share_a_place(make, monkeypatch):
+    monkeypatch.setattr(M, "MOST_SOURCES", 4)
+    rows = [(k, "x", "en", f"s{k % 20 if k < 200 else k % 3}") for k in range(500)]
+    got = M.mix(make(rows)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(500)) and sorted(r["mix_position"] for r in got) == list(range(500))
+    assert {r["mix_source"] for r in got} == {"s0", "s1", "s2", M.OTHERS}
+    kept = {r["mix_source"] for r in M.mix(make(rows), {"s7": 2, "s0": 1}).collect()}
+    assert {"s7", "s0", M.OTHERS} <= kept and len(kept) == 4
