@@ -19,10 +19,10 @@ def test_default_frequencies(spark):
 
 
 def test_files_and_totals(spark, tmp_path):
-    (tmp_path / "d.txt").write_text("南京市 100\n长江大桥 100\n\n南京 10\n")
+    (tmp_path / "d.txt").write_text("风筝节 70\n海边小屋 45\n\n风筝 12\n")
     entries = D.load_dictionary(spark, str(tmp_path / "d.txt"))
-    assert tuple(D.dictionary_stats(entries).first()) == (210.0, 3, 4)
-    assert set(words(D.effective(entries))) == {"南京市", "长江大桥", "南京"}
+    assert tuple(D.dictionary_stats(entries).first()) == (127.0, 3, 4)
+    assert set(words(D.effective(entries))) == {"风筝节", "海边小屋", "风筝"}
 
 
 def test_the_last_line_wins_and_all_count(spark):
@@ -42,14 +42,14 @@ def test_last_line_of_a_file_of_many_splits(spark, tmp_path):
 
 
 def test_logprob(spark):
-    lexicon = D.layered_lexicon(D.parse_lines(lines(spark, ["A 10", "B 90", "Z 0"])))
+    lexicon = D.layered_lexicon(D.parse_lines(lines(spark, ["A 30", "B 170", "Z 0"])))
     asked = spark.createDataFrame([("A",), ("B",), ("x",), ("Z",)], "word string")
     got = {r["word"]: r["logp"] for r in D.word_logprob(asked, lexicon).collect()}
-    assert got["A"] == pytest.approx(-2.302585) and got["x"] == -20.0 and got["Z"] is None
+    assert got["A"] == pytest.approx(-1.89712) and got["x"] == -20.0 and got["Z"] is None
     given = D.layered_lexicon(D.parse_lines(lines(spark, ["A 10"])), total=1000.0).first()
     assert given["logp"] == pytest.approx(-4.60517)
     known = {r["word"]: (r["known"], r["freq"]) for r in D.word_lookup(asked, lexicon).collect()}
-    assert known["B"] == (True, 90.0) and known["x"] == (False, 0.0) and known["Z"] == (True, 0.0)
+    assert known["B"] == (True, 170.0) and known["x"] == (False, 0.0) and known["Z"] == (True, 0.0)
     assert D.layered_lexicon(D.parse_lines(lines(spark, []))).count() == 0
 
 
