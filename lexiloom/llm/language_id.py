@@ -3,8 +3,8 @@ r"""Language identification: sparse multinomial logistic regression on TF-IDF ch
 Character n-grams of length 1 to 3 of the lower-cased whole text are hashed into `BUCKETS`
 features. Document frequencies come from every document that may be learned from. The weights are
 fitted by follow-the-regularised-leader (proximal, elastic net) on a sample of at most about
-`PER_LANGUAGE` labelled documents a language, split over `SHARDS` tasks whose weights are
-averaged; a fifth of the sample is kept back to fit the softmax temperature. Model size depends
+`PER_LANGUAGE` labelled documents a language, split over a task for each `SHARD_DOCS` of them (`SHARDS` at
+least) whose weights are averaged; a fifth of the sample is kept back to fit the softmax temperature. Model size depends
 on `BUCKETS` and the number of languages alone, so it may be broadcast.
 
 Defined results: a text that is null or has no letter is `und` with score 0; rows without a
@@ -27,7 +27,7 @@ from lexiloom.llm.common import documents, small_batches, stage
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 1500
-SHARDS = 4
+SHARDS, SHARD_DOCS = 4, 1500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2e-4, 1e-4
 CHUNK = 1 << 20
@@ -145,6 +145,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = np.log((1 + total) / (1 + document_frequencies(usable))) + 1.0
     share = F.create_map(*[F.lit(x) for lang, n in per for x in (lang, min(1.0, PER_LANGUAGE / n))])
     label = F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)])
+    many = max(SHARDS, sum(min(n, PER_LANGUAGE) for _, n in per) // SHARD_DOCS)
     h = F.xxhash64("id")
     sample = stage(
         usable.filter(F.pmod(h, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select(
@@ -152,7 +153,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             label[F.col("lang")].alias("label"),
             F.xxhash64(F.lit("order"), "id").alias("ord"),
             F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int").alias("fold"),
-            F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(SHARDS)).cast("int").alias("shard"),
+            F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(many)).cast("int").alias("shard"),
         ),
         "lang-sample",
     )
