@@ -48,7 +48,7 @@ def test_against_brute_force(make, prose):
 
 @pytest.mark.parametrize("spread", [0.5, 9.0])
 def test_large_regions_split_recursively_or_in_blocks(make, prose, monkeypatch, spread):
-    for name, value in {"CAP_MEMBERS": 4, "PIVOTS": 3, "HOT_SHARE": 0.0, "DEPTH": 2, "SPREAD": spread, "PLACED_ROWS": 0}.items():
+    for name, value in {"CAP_MEMBERS": 4, "BLOCK_MEMBERS": 3, "PIVOTS": 3, "HOT_SHARE": 0.0, "DEPTH": 2, "SPREAD": spread, "PLACED_ROWS": 0, "PIVOT_SHINGLES": 0}.items():
         monkeypatch.setattr(J, name, value)
     assert result(make(prose)) == brute(prose)
 
@@ -101,3 +101,14 @@ def test_components_of_long_chains_in_random_order(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
     first, second = min(names[:1500]), min(names[1500:])
     assert got == {**dict.fromkeys(names[:1500], first), **dict.fromkeys(names[1500:], second)}
+
+
+def test_many_copies_and_repeated_rows_are_one_set(make, prose, monkeypatch):
+    """A text that a third of all rows hold, with and without ids of its own, and its near copies."""
+    monkeypatch.setattr(J, "_SEEN", 0)  # every row shows its shingles
+    base = prose[0][1]
+    near = [(2000 + k, " ".join([*base.split()[:-1], f"end{k}"])) for k in range(5)]
+    rows = [*prose[:40], *((3000 + k // 2, base) for k in range(60)), *near]
+    assert result(make(rows)) == brute(rows)
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    assert result(make(rows)) == brute(rows)
