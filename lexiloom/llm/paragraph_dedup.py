@@ -1,8 +1,10 @@
 r"""Substring deduplication: MinHash banding of paragraphs, exact Jaccard, components.
 
-A paragraph is a run of whole sentences of one line that ends with a sentence of `LONG` words or
-more (or with the line): where it ends depends on its own words alone, so a passage put into another
-text falls into the same paragraphs there. Paragraphs of fewer than `LEAST` words are left alone.
+A paragraph is a run of whole sentences of one line. It ends with the line, with a sentence of `LONG`
+words or more, and with every other shorter one, told by a hash of its last two words; sentences of more
+than `RUN` words, such as text without stops, are cut where a hash of two words is the least of `AROUND`
+words on both sides. Where a paragraph ends thus depends on the words there alone, so a passage put into
+another text falls into the same paragraphs in it. Paragraphs of fewer than `LEAST` words are left alone.
 
 Equal paragraphs are one node, by a hash of their words. Each node shows the least value of `bands`
 x `rows` hash functions over its five-word shingles; `tuned_bands` picks the fewest values that find
@@ -34,6 +36,7 @@ from lexiloom.llm.jaccard_join import join_regions, once_each
 from lexiloom.llm.shingles import SHINGLE, mix64, word_hashes, word_places
 
 LONG = 12
+RUN, AROUND = 48, 6
 LEAST = 10
 RECALL = 0.995
 _SEEN = 200_000
@@ -57,6 +60,16 @@ def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: in
     return best
 
 
+def _least_around(values: np.ndarray) -> np.ndarray:
+    """For each value the least of it and `AROUND` neighbours on both sides."""
+    rim = np.full(AROUND, np.iinfo(np.uint64).max, dtype=np.uint64)
+    wide = np.concatenate((rim, values, rim))
+    out = values.copy()
+    for d in range(2 * AROUND + 1):
+        np.minimum(out, wide[d : d + len(values)], out=out)
+    return out
+
+
 class Paragraphs:
     """Paragraphs of one text: places in code points, hashes and shingles."""
 
@@ -73,14 +86,17 @@ class Paragraphs:
         stop = _ENDS[raw[end - 1]] | last
         at = np.flatnonzero(stop)
         length = np.diff(at, prepend=-1)  # words of each sentence
-        close = at[(length >= LONG) | last[at]]
+        w = word_hashes(text)
+        pair = mix64(w + mix64(np.append(np.uint64(0), w[:-1])))
+        close = at[(length >= LONG) | last[at] | (pair[at] % np.uint64(2) == 0)]
+        if length.max() > RUN:
+            close = np.union1d(close, np.flatnonzero(np.repeat(length > RUN, length) & (pair == _least_around(pair))))
         self.lo = np.append(0, close[:-1] + 1)  # first word of each paragraph
         self.hi = close + 1
         self.words = self.hi - self.lo
         self.count = len(self.lo)
         chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
         self.start, self.end = chars[start[self.lo]], chars[end[self.hi - 1]]
-        w = word_hashes(text)
         # Order counts: each word is weighted by its place in its paragraph.
         place = np.arange(len(w)) - np.repeat(self.lo, self.words)
         sums = np.append(np.uint64(0), np.cumsum(mix64(w ^ mix64(place.astype(np.uint64) + _BASE)), dtype=np.uint64))

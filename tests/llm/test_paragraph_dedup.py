@@ -30,6 +30,23 @@ def test_passages_inside_other_lines_are_found(make):
     assert all(got[k]["n_repeated"] == got[k]["n_removed"] == 0 for k in (10, 11, 12)) and got[11]["n_paragraphs"] == 0
 
 
+def test_passages_without_stops_and_of_short_sentences(make):
+    rng = random.Random(3)
+    plain = lambda n: " ".join(x.rstrip(".") for x in sentences(rng, 1, n))
+    found = 0
+    for trial in range(10):
+        bare, short = plain(60), " ".join(sentences(rng, 12, 5))
+        rows = [(k, f"{plain(70)} {bare} {plain(50)}") for k in range(2)] + [(k, f"{plain(9)}. {short} {plain(20)}.") for k in (2, 3)] + [(9, plain(180))]
+        got = {r["id"]: r["n_repeated"] for r in D.paragraph_dedup(make(rows)).collect()} if trial < 2 else None
+        if got is not None:
+            found += sum(got[k] > 0 for k in range(4))
+            assert got[9] == 0
+        keys = [set(Paragraphs(t).key[Paragraphs(t).long].tolist()) for _, t in rows]
+        assert not keys[4] & (keys[0] | keys[2])
+        found += bool(keys[0] & keys[1]) + bool(keys[2] & keys[3])
+    assert found >= 24  # of 28
+
+
 def test_near_paragraphs_by_brute_force(make):
     rng = random.Random(2)
     rows = []
