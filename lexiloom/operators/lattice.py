@@ -52,7 +52,6 @@ class Words:
     def __init__(self, words: list[str], logp: np.ndarray) -> None:
         codes, lens = code_points(words)
         at = np.cumsum(lens) - lens
-        self.first = np.full(0x110001, -1, dtype=np.int32)
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         parent, alive = np.zeros(len(lens), dtype=np.int64), np.flatnonzero(lens > 0)
         for k in range(int(lens.max(initial=0))):
@@ -62,16 +61,26 @@ class Words:
             ends = alive[lens[alive] == k + 1]
             is_word, value = np.zeros(len(level), dtype=bool), np.zeros(len(level))
             is_word[parent[ends]], value[parent[ends]] = True, logp[ends]
-            if k == 0:
-                self.first[level] = np.arange(len(level))
             self.levels.append((level, is_word, value))
             alive = alive[lens[alive] > k + 1]
+        self._index()
+
+    def _index(self) -> None:
+        self.first = np.full(GAP + 1, -1, dtype=np.int32)
+        if self.levels:
+            self.first[self.levels[0][0]] = np.arange(len(self.levels[0][0]))
+
+    @classmethod
+    def of_levels(cls, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Words:
+        """From `levels`, which are plain arrays and so may be broadcast where this package is not installed."""
+        out = cls.__new__(cls)
+        out.levels = levels
+        out._index()
+        return out
 
     @classmethod
     def of(cls, logp: dict[str, float] | Words) -> Words:
-        if not isinstance(logp, dict):  # may be of another copy of this class, as classes travel by value
-            return logp
-        return cls(list(logp), np.array(list(logp.values()), dtype=np.float64))
+        return logp if isinstance(logp, cls) else cls(list(logp), np.array(list(logp.values()), dtype=np.float64))
 
     @property
     def longest(self) -> int:
@@ -325,13 +334,13 @@ def segment_udf(
     """A column function text -> array<string>. Unknown modes cut as `hybrid`; without a tagger, all as
     `dag`; without `punctuation`, tokens of punctuation alone go."""
     mode = _modes(mode)
-    shared = session.sparkContext.broadcast((Words.of(logp), tagger.weights() if tagger is not None else None))
+    shared = session.sparkContext.broadcast((Words.of(logp).levels, tagger.weights() if tagger is not None else None))
     session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
     @F.arrow_udf("array<string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, weights = shared.value
-        cutter = Cutter(words, Tagger(*weights) if weights else None, mode, compat_duplicate, punctuation)
+        levels, weights = shared.value
+        cutter = Cutter(Words.of_levels(levels), Tagger(*weights) if weights else None, mode, compat_duplicate, punctuation)
         cut = cutter.search_many if search else cutter.cut_many
         for texts in batches:
             yield _lists(*cut(texts.to_pylist()))
@@ -342,12 +351,13 @@ def segment_udf(
 
 def routed_udf(session, logp: dict[str, float] | Words, tagger=None) -> Callable[..., Column]:
     """A column function (text, mode, search) -> array<string>: every row is cut once, in its own way."""
-    shared = session.sparkContext.broadcast((Words.of(logp), tagger.weights() if tagger is not None else None))
+    shared = session.sparkContext.broadcast((Words.of(logp).levels, tagger.weights() if tagger is not None else None))
     session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
     @F.arrow_udf("array<string>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        words, weights = shared.value
+        levels, weights = shared.value
+        words = Words.of_levels(levels)
         model = Tagger(*weights) if weights else None
         cutters = {m: Cutter(words, model, m) for m in ("dag", "crf", "hybrid")}
         for texts, modes, searches in batches:
