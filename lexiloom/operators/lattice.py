@@ -169,7 +169,10 @@ def best_paths(blocks: list[str], words: Words) -> list[list[str]]:
     if run.any():
         # A run ends like a word of its own where no dictionary word does.
         at = np.flatnonzero(run)
-        at = at[~np.isin(at * (len(codes) + 1) + run[at], start * (len(codes) + 1) + start + size)]
+        ends, asked = start * (len(codes) + 1) + start + size, at * (len(codes) + 1) + run[at]  # in order, both
+        there = np.searchsorted(ends, asked)
+        there[there == len(ends)] = 0
+        at = at[ends[there] != asked] if len(ends) else at
         start, size = np.concatenate((start, at)), np.concatenate((size, run[at] - at))
         value = np.concatenate((value, np.full(len(at), UNKNOWN)))
         order = np.argsort(start, kind="stable")
@@ -222,7 +225,7 @@ class Cutter:
         self.mode = mode if tagger is not None else "dag"
         self.compat = compat_duplicate
         self.punctuation = punctuation
-        self.memo: dict[str, tuple[str, ...]] = {}
+        self.memo: dict[str, list[str]] = {}
         self.memo_chars = 0
         self.inner: dict[str, tuple[str, ...]] = {}
         self.inner_chars = 0
@@ -236,9 +239,11 @@ class Cutter:
 
     def fill_gaps(self, paths: list[list[str]]) -> list[list[str]]:
         """Dictionary paths in which the tagger has cut the runs of single characters."""
-        pieces: list[list[tuple[bool, str]]] = []
-        for path in paths:
-            mine: list[tuple[bool, str]] = []
+        pieces: dict[int, list[tuple[bool, str]]] = {}
+        for k, path in enumerate(paths):
+            if min(map(len, path), default=2) > 1:
+                continue
+            mine = pieces[k] = []
             gap = ""
             for w in path:
                 if len(w) > 1:
@@ -250,34 +255,36 @@ class Cutter:
                     gap += w
             if gap:
                 mine.append((True, gap))
-            pieces.append(mine)
-        gaps = list(dict.fromkeys(p for mine in pieces for is_gap, p in mine if is_gap))
+        gaps = list(dict.fromkeys(p for mine in pieces.values() for is_gap, p in mine if is_gap))
         cut = dict(zip(gaps, self.tagger.cut_many(gaps, self.compat)))
-        return [[w for is_gap, p in mine for w in (cut[p] if is_gap else (p,))] for mine in pieces]
+        out = list(paths)
+        for k, mine in pieces.items():
+            out[k] = [w for is_gap, p in mine for w in (cut[p] if is_gap else (p,))]
+        return out
 
     def cut_many(self, texts: list[str | None]) -> tuple[list[str], list[int]]:
         """The tokens of all texts in one list, and how many each text has."""
         cut = [_BLOCK.findall(t) if t else [] for t in texts]
-        here: dict[str, tuple[str, ...]] = {}
+        here: dict[str, list[str]] = {}
         new = []
         for block in dict.fromkeys(chain.from_iterable(cut)):
             known = self.memo.get(block)
             if known is None and block.isascii() and block.isalnum():
-                known = (block,)
+                known = [block]
             if known is None:
                 new.append(block)
             else:
                 here[block] = known
         if new:
-            for block, words in zip(new, self._blocks(new)):
-                if not self.punctuation:
-                    words = [w for w in words if _WORDY.search(w)]
-                here[block] = tuple(words)
+            cuts = self._blocks(new)
+            if not self.punctuation:
+                cuts = [[w for w in words if _WORDY.search(w)] for words in cuts]
+            here.update(zip(new, cuts))
             self.memo_chars += sum(map(len, new))
             if self.memo_chars > MEMORY:
                 self.memo, self.memo_chars = {}, sum(map(len, new))
             if self.memo_chars <= MEMORY:
-                self.memo.update((block, here[block]) for block in new)
+                self.memo.update(zip(new, cuts))
         sizes = list(accumulate(map(len, map(here.__getitem__, chain.from_iterable(cut))), initial=0))
         ends = list(accumulate(map(len, cut), initial=0))
         tokens = list(chain.from_iterable(map(here.__getitem__, chain.from_iterable(cut))))
