@@ -31,13 +31,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Tables of fewer bytes are dealt out to all cores after they are read.
+SMALL = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: a small file often is one row group, and so one task, however its
+    rows are worked on. Larger tables are read as they lie, without a shuffle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 def han(text: Column | str) -> Column:
     return F.translate(F.lower(F.col(text) if isinstance(text, str) else text), LATIN, HAN)
 
 
 def documents(spark: SparkSession, sf_dir: str, view: str = "latin") -> DataFrame:
     """(doc_id, text) of the documents as they are, or with Latin letters as Chinese characters."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs if view == "latin" else docs.withColumn("text", han("text"))
 
 
