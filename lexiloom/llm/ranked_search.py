@@ -344,7 +344,7 @@ WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), s AS (
-  SELECT count(*) AS N, sum(len(w)) AS L FROM d WHERE len(w) > 0
+  SELECT count(*) AS every, sum(len(w)) AS total FROM d WHERE len(w) > 0
 ), q AS (
   SELECT item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
@@ -354,9 +354,9 @@ WITH d AS (
   SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d)
   WHERE t IN (SELECT t FROM qt) GROUP BY ALL
 ), wt AS (
-  SELECT t, CAST(floor(1000 * ln(CAST(2 * N + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, s GROUP BY t, N
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * every + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, s GROUP BY t, every
 ), im AS (
-  SELECT doc_id, t, CAST((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * N) // L)) AS BIGINT) AS i FROM tf, s
+  SELECT doc_id, t, CAST((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * every) // total)) AS BIGINT) AS i FROM tf, s
 ), sc AS (
   SELECT item_id, doc_id, CAST(sum(w * i) AS BIGINT) AS score FROM qt JOIN wt USING (t) JOIN im USING (t) GROUP BY ALL
 ), r AS (
