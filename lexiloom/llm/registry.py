@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, page_text, paragraph_dedup, quote_links, ranked_search, secret_scan, suffix_dedup
+from lexiloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, page_text, paragraph_dedup, phrases, quote_links, ranked_search, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_quote_links": quote_links.op1_quote_links,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_phrases": phrases.op12_phrases,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
     "op11_ranked_search": ranked_search.OP11_SQL,
+    "op12_phrases": phrases.OP12_SQL,
 }
