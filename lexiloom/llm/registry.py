@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, page_text, paragraph_dedup, phrases, quote_links, ranked_search, secret_scan, suffix_dedup
+from lexiloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, nearest, page_text, paragraph_dedup, phrases, quote_links, ranked_search, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_quote_links": quote_links.op1_quote_links,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_ranked_search": ranked_search.op11_ranked_search,
     "op12_phrases": phrases.op12_phrases,
+    "op13_nearest": nearest.op13_nearest,
 }
 
 ORACLES = {
