@@ -37,10 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
-    """Pass at most `rows` rows or about `mb` MB (one row at least) at once between the JVM and Python, so that long ones fit."""
+def small_batches(spark: SparkSession, rows: int = 1000, mb: int | None = None) -> None:
+    """Pass at most `rows` rows, and about `mb` MB if that is told, at once between the JVM and Python, so that long rows fit."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    if mb is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
 #: Shuffle files of a finished query go at once; whoever runs the same DataFrame again makes them anew.

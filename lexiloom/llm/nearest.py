@@ -209,7 +209,7 @@ def _probe(k: int):
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = NEAREST, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`."""
     spark = vectors.sparkSession
-    small_batches(spark)
+    small_batches(spark, mb=8)
     rows = stage(_usable(vectors, id_col, vec_col), "near-rows")
     total = rows.count()
     if not total:
