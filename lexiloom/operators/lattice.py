@@ -31,6 +31,8 @@ from lexiloom.sources.dictionaries import UNKNOWN
 
 #: Words that may be broadcast to every Python worker (about 30 bytes each); beyond it the lattice is joined.
 LEXICON_WORDS = 5_000_000
+#: Words, or beginnings of words, that a join broadcasts; more are shuffled.
+JOINED_WORDS = 500_000
 #: Characters of the blocks whose cut a worker remembers.
 MEMORY = 4_000_000
 #: Rows a worker takes at once.
@@ -397,6 +399,15 @@ def segment(
     return df.withColumn(out, run(F.col(text_col)))
 
 
+def cutter(lexicon: DataFrame, model=None, mode: str = "hybrid") -> Callable[[DataFrame, str, str], DataFrame]:
+    """`segment` for many frames: (df, text_col, out) -> df with tokens, lexicon and model collected once."""
+    words = collect_lexicon(lexicon)
+    if words is None:
+        return lambda df, text_col, out: _segment_joined(df, text_col, lexicon, model, _modes(mode), False, out, False, True)
+    run = segment_udf(lexicon.sparkSession, words, model, mode)
+    return lambda df, text_col, out: df.withColumn(out, run(F.col(text_col)))
+
+
 def cut_dag(df: DataFrame, text_col: str, lexicon: DataFrame, out: str = "tokens") -> DataFrame:
     return segment(df, text_col, lexicon, None, "dag", out=out)
 
@@ -423,18 +434,32 @@ def _numbered(blocks: DataFrame, block_col: str) -> DataFrame:
     return b.select(F.when(F.char_length("block") <= 32, F.col("block")).otherwise(F.sha2("block", 256)).alias("b"), "block")
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """A side of the lexicon for a join: broadcast when it has few rows, which are counted."""
+    return F.broadcast(df) if df.count() <= JOINED_WORDS else df
+
+
 def _candidates(b: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
-    """(b, i, found): the candidates (source, k, logp) that start at place i of a block, in order."""
+    """(b, i, found): the candidates (source, k, logp) that start at place i of a block, in order.
+
+    A place carries its next `longest` characters. The first two tell how long the longest word is that
+    begins with them, so a place where none does is not expanded, and others only as far as words go.
+    """
     longest = max(1, longest)
     piece = F.posexplode(T.pieces("block", longest - 1))
     at = b.filter("block <> ''").select("b", F.char_length("block").alias("n"), piece.alias("piece_no", "piece"))
     size = F.least(F.lit(T.PIECE), F.col("n") - F.col("piece_no") * T.PIECE)
-    places = at.select("b", "piece_no", "piece", F.explode(F.sequence(F.lit(0), size - 1)).alias("j"))
-    i = (F.col("piece_no") * T.PIECE + F.col("j")).alias("i")
-    left = F.char_length("piece") - F.col("j")
-    subs = places.select("b", i, "piece", "j", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), left))).alias("k"))
-    subs = subs.select("b", "i", "k", F.substring(F.col("piece"), F.col("j") + 1, F.col("k")).alias("word"))
-    words = subs.join(lexicon.select("word", "logp"), "word").select("b", "i", F.lit(0).alias("source"), "k", "logp")
+    stubs = F.posexplode(F.transform(F.sequence(F.lit(1), size), lambda j: F.substring(F.col("piece"), j, F.lit(longest))))
+    places = at.select("b", "piece_no", stubs.alias("j", "stub")).select("b", (F.col("piece_no") * T.PIECE + F.col("j")).alias("i"), "stub")
+    heads = lexicon.filter(F.char_length("word") > 1).groupBy(F.substring("word", 1, 2).alias("head")).agg(F.max(F.char_length("word")).alias("most"))
+    reach = places.join(_side(heads), F.substring("stub", 1, 2) == F.col("head"), "left")
+    ends = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.coalesce("most", F.lit(1)), F.char_length("stub"))))
+    subs = reach.select("b", "i", "stub", F.explode(ends).alias("k")).withColumn("word", F.substring(F.col("stub"), F.lit(1), F.col("k")))
+    told = lexicon.select("word", "logp", F.lit(True).alias("is_word"))
+    words = subs.join(_side(told), "word", "left").filter("is_word OR k = 1")
+    words = words.select(
+        "b", "i", F.when(F.col("is_word"), 0).otherwise(2).alias("source"), "k", F.when(F.col("is_word"), F.col("logp")).otherwise(F.lit(UNKNOWN)).alias("logp")
+    )
     # Every end of a run of letters and digits, from each of its places.
     mixed = F.posexplode(F.regexp_extract_all("block", F.lit(f"([{T.ALNUM}]+|[^{T.ALNUM}]+)"), F.lit(1)))
     parts = b.filter(T.has_alnum("block")).select("b", mixed.alias("p", "part")).withColumn("m", F.char_length("part"))
@@ -447,8 +472,7 @@ def _candidates(b: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
         F.when(F.col("k") <= longest, F.substring(F.col("part"), F.col("j") + 1, F.col("k"))).alias("word"),
     ).join(known, "word", "left")
     runs = runs.select("b", "i", F.lit(1).alias("source"), "k", F.when(F.col("known"), F.col("lp")).otherwise(F.lit(UNKNOWN)).alias("logp"))
-    alone = places.select("b", i, F.lit(2).alias("source"), F.lit(1).alias("k"), F.lit(UNKNOWN).alias("logp"))
-    found = words.unionByName(runs).unionByName(alone).groupBy("b", "i").agg(F.array_sort(F.collect_list(F.struct("source", "k", "logp"))).alias("x"))
+    found = words.unionByName(runs).groupBy("b", "i").agg(F.array_sort(F.collect_list(F.struct("source", "k", "logp"))).alias("x"))
     # One run at most: it counts where no word ends with it; one character alone where nothing else starts.
     inside = lambda c: F.exists(F.filter("x", lambda y: y["source"] == 0), lambda y: y["k"] == c["k"])
     keep = F.filter("x", lambda c: (c["source"] == 0) | ((c["source"] == 1) & ~inside(c)) | ((c["source"] == 2) & (F.size("x") == 1)))

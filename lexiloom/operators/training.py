@@ -6,7 +6,7 @@ sequence at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ from lexiloom.operators.tagger import GAP, OUTSIDE, TEMPLATES, Tagger, best_tags
 EPOCHS = 10
 #: Characters a shard of the training data has, where the number of shards is not given.
 SHARD_CHARS = 250_000
+#: Mixed weights are whole multiples of 1 / GRAIN, so that sums of them are exact in whatever order they are taken.
+GRAIN = 1 << 20
 
 
 def perceptron_deltas(sentences: DataFrame, id_col: str = "sent_id") -> tuple[DataFrame, DataFrame]:
@@ -133,41 +135,58 @@ class Learner:
 
 
 def shards_of(sentences: DataFrame) -> int:
-    """Shards for the data at hand: one for each SHARD_CHARS characters, four for each core at most."""
-    chars = sentences.agg(F.sum(F.size("chars"))).first()[0] or 0
-    return max(1, min(-(-chars // SHARD_CHARS), 4 * sentences.sparkSession.sparkContext.defaultParallelism))
+    """Shards for the data at hand, whatever the machine: one for each SHARD_CHARS characters."""
+    chars = sentences.agg(F.sum(F.size("chars").cast("long"))).first()[0] or 0
+    return max(1, -(-chars // SHARD_CHARS))
 
 
-def train_tagger(sentences: DataFrame, epochs: int = EPOCHS, shards: int | None = 1, order: str = "ord") -> Tagger:
+def mixed(total: float, shards: float) -> float:
+    """The mean of a weight over the shards, on the grid of GRAIN."""
+    return round(total / shards * GRAIN) / GRAIN
+
+
+def train_tagger(
+    sentences: DataFrame, epochs: int = EPOCHS, shards: int | None = 1, order: str = "ord", start: tuple[int, Tagger] | None = None,
+    told: Callable[[int, Tagger], None] | None = None,
+) -> Tagger:
     """Weights after `epochs` passes over sentences (chars, tags, `order`).
 
-    One shard is the sequential perceptron in `order`. With more (`None`: by the size of the data), every
+    One shard is the sequential perceptron in `order` (then by the text). With more (`None`: by the size of the data), every
     shard passes over its own sentences from the mixed weights and the shards' weights are averaged after
-    each epoch (iterative parameter mixing): another estimate, which converges as well. Shards stream
-    their sentences; what a task holds is the model.
+    each epoch (iterative parameter mixing): another estimate, which converges as well. Which shard a sentence
+    goes to, its place there and the mean depend on the data alone, so cores and partitions change no weight.
+    Shards stream their sentences; what a task holds is one model.
+
+    `told` is called with the number of each epoch that is done and its weights; `start` gives both back to
+    a run that goes on behind them.
     """
     shards = shards_of(sentences) if shards is None else shards
     rows = sentences.select(
         F.array_join("chars", "").alias("text"), F.col("tags").cast("array<int>").alias("tags"), F.col(order).alias("o"),
         F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard"),
     )
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "o").persist()
-    model = Tagger()
+    # By range, as numbers that are hashed would meet in some tasks and leave others empty.
+    rows = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "o", "text").persist()
+    done, model = start or (0, Tagger())
     try:
-        for _ in range(epochs):
+        for epoch in range(done + 1, epochs + 1):
             shared = sentences.sparkSession.sparkContext.broadcast(model.weights())
 
             def one_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                start = Tagger(*shared.value)
-                mine: dict[int, Learner] = {}
+                first, at, mine = Tagger(*shared.value), None, None
+
+                def weights() -> Iterator[pd.DataFrame]:
+                    if mine is not None:
+                        t, f = mine.rows()
+                        yield pd.DataFrame([*t, *f, ("N", "", 0, 1.0)], columns=["kind", "name", "tag", "w"])
+
                 for pdf in batches:
                     for shard, text, tags in zip(pdf["shard"], pdf["text"], pdf["tags"]):
-                        if shard not in mine:
-                            mine[shard] = Learner(start)
-                        mine[shard].learn(text, np.asarray(tags, dtype=np.int64))
-                for m in mine.values():
-                    t, f = m.rows()
-                    yield pd.DataFrame([*t, *f, ("N", "", 0, 1.0)], columns=["kind", "name", "tag", "w"])
+                        if shard != at:
+                            yield from weights()
+                            at, mine = shard, Learner(first)
+                        mine.learn(text, np.asarray(tags, dtype=np.int64))
+                yield from weights()
 
             sums = rows.mapInPandas(one_pass, "kind string, name string, tag int, w double").groupBy("kind", "name", "tag").agg(F.sum("w").alias("w"))
             got = sums.toPandas()  # the model, which the alphabet bounds
@@ -176,9 +195,11 @@ def train_tagger(sentences: DataFrame, epochs: int = EPOCHS, shards: int | None
             model = Tagger()
             for kind, name, tag, w in got.itertuples(index=False):
                 if kind == "T":
-                    model.trans[int(name)][tag] = w / n
+                    model.trans[int(name)][tag] = mixed(w, n)
                 elif kind == "F":
-                    model.feats.setdefault(name, [0.0] * 4)[tag] = w / n
+                    model.feats.setdefault(name, [0.0] * 4)[tag] = mixed(w, n)
+            if told is not None:
+                told(epoch, model)
     finally:
         rows.unpersist()
     return model

@@ -428,12 +428,16 @@ def _model_rows(trans: DataFrame, feats: DataFrame) -> DataFrame:
     return t.unionByName(feats.select(F.concat(F.lit("F"), "feature").alias("name"), "tag", "weight"))
 
 
-def train_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights after ten epochs over the segmented corpus, then the dictionary lines."""
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segmented corpus, then the dictionary lines, as sentences (ord, chars, tags)."""
     told = tagger.sentences_of_corpus(_corpus(spark, sf_dir)).withColumn("ord", F.format_string("0%020d", "doc_id"))
     named = _zero_sentences(spark, sf_dir).withColumn("ord", F.concat(F.lit("1"), "sent_id"))
-    rows = _kept(told.select("ord", "chars", "tags").unionByName(named.select("ord", "chars", "tags")))
-    return _model_rows(*training.model_tables(spark, training.train_tagger(rows, shards=None)))
+    return _kept(told.select("ord", "chars", "tags").unionByName(named.select("ord", "chars", "tags")))
+
+
+def train_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights after ten epochs over the segmented corpus, then the dictionary lines."""
+    return _model_rows(*training.model_tables(spark, training.train_tagger(_sentences(spark, sf_dir), shards=None)))
 
 
 def segmentation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,11 +455,12 @@ def absorb_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.absorb_feedback(_user_lines(spark, sf_dir), _feedback(spark, sf_dir))
 
 
-def _evolved(spark: SparkSession, sf_dir: str, feedback: DataFrame | None, user: DataFrame | None = None) -> evolve.Vocabulary:
+def _evolved(spark: SparkSession, sf_dir: str, feedback: DataFrame | None, user: DataFrame | None = None, epochs: int = 10) -> evolve.Vocabulary:
+    """A turn of the loop on the dictionary's layers; lines of `user` come behind its own."""
     lines = _kept(dictionary_lines(spark, sf_dir))
     layers = [lines.filter(F.col("layer") == k) for k in range(3)]
-    layers[2] = layers[2] if user is None else layers[2].unionByName(user)
-    return evolve.evolve(_han(spark, sf_dir), evolve.Vocabulary(*layers), feedback, _folder(spark))
+    layers[2] = layers[2] if user is None else evolve.rooted(layers[2], "0").unionByName(evolve.rooted(user, "1"))
+    return evolve.evolve(_han(spark, sf_dir), evolve.Vocabulary(*layers), feedback, _folder(spark), epochs, digits=9)
 
 
 def evolve_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,6 +471,33 @@ def evolve_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.unionByName(weights.withColumn("part", F.lit("model")))
 
 
+def evolve_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One turn of the loop without its training: the new core layer and the user layer after feedback."""
+    made = _evolved(spark, sf_dir, _feedback(spark, sf_dir), epochs=0)
+    told = lambda df, name: df.select(F.lit(name).alias("part"), "line")
+    return told(made.core, "core").unionByName(told(made.user, "user"))
+
+
+def stream_words_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of all turns, its new words, the user layer that takes them in, and the turn of the loop behind it:
+    the user and core layers of the new version."""
+    folder = _folder(spark)
+    stream = _stream(spark, sf_dir, "conversations").select(tables.han("text").alias("text"))
+    jobs.stream_discover(stream, f"{folder}/words", f"{folder}/state").awaitTermination()
+    loop = lambda user: _evolved(spark, sf_dir, None, user, epochs=0)
+    for _ in range(2):  # handed over once, however often it is asked for
+        number = jobs.absorb_words(spark, f"{folder}/words", f"{folder}/versions", loop)
+    told = lambda name: spark.read.parquet(f"{folder}/versions/version={number}/{name}").select(F.lit(name).alias("part"), "line")
+    return told("user").unionByName(told("core"))
+
+
+def cut_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hybrid cut of the documents with the tagger that was trained on them."""
+    lexicon = _lexicon(spark, sf_dir)
+    model = training.train_tagger(_sentences(spark, sf_dir), shards=None)
+    return _digest(lattice.segment(_han(spark, sf_dir), "text", lexicon, model, "hybrid"))
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
@@ -474,14 +506,14 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stream_log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
-    stream = _stream(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    stream = _stream(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     jobs.stream_log_filter(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.schema("conv_id long, turn long, text string").parquet(f"{folder}/out")
 
 
 def stream_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
-    stream = _stream(spark, sf_dir, "conversations").filter("role = 'user'").select("text")
+    stream = _stream(spark, sf_dir, "conversations").select("text")
     jobs.stream_discover(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("word", "freq")
 

@@ -22,6 +22,7 @@ QUERIES = {
         Q.cut_dag, Q.best_path, Q.cut_tagger, Q.cut_hybrid, Q.cut_search, Q.viterbi_decode, Q.tagger_words, Q.segment_corpus,
         Q.corpus_to_sentences, Q.lexicon_to_sentences, Q.train_tagger, Q.segmentation_report,
         Q.absorb_feedback, Q.stream_log_filter, Q.stream_discover, Q.stream_feedback, Q.stream_segment,
+        Q.evolve_core, Q.stream_words_loop, Q.cut_trained,
     )
 } | {"evolve": Q.evolve_vocabulary}
 
@@ -79,8 +80,11 @@ def _noise(source: str, out: str) -> str:
 )"""
 
 
-def _cleaned(source: str, ratio: float) -> str:
-    return f"{_SUMMED.replace('{source}', source)},{_prefixes('summed', 'c1', ratio)},{_suffixes('c1', 'c2', ratio)},{_noise('c2', 'cleaned')}"
+def _cleaned(source: str, ratio: float, tag: str = "") -> str:
+    """`cleaned` with `tag` behind its name, and behind those of its parts."""
+    summed = _SUMMED.replace("{source}", source).replace("summed AS", f"summed{tag} AS")
+    c1, c2 = f"c1{tag}", f"c2{tag}"
+    return f"{summed},{_prefixes(f'summed{tag}', c1, ratio)},{_suffixes(c1, c2, ratio)},{_noise(c2, f'cleaned{tag}')}"
 
 
 _BRANDS = f"brands AS (SELECT DISTINCT {trim('line')} AS brand FROM lines WHERE layer = 1 AND {trim('line')} <> '')"
@@ -215,6 +219,12 @@ cut2 AS (SELECT doc_id, pos, CASE WHEN pure THEN block || chr(1) ELSE seg END AS
 tokens2 AS (SELECT doc_id, string_agg(seg, '' ORDER BY pos) AS seg FROM cut2 GROUP BY doc_id)"""
 
 
+#: The lexicon of `turn_lines`, the corpus cut with it, and the core layer that comes of its tokens (`cleaned_core`).
+_TURN = f"""{LEXICON.removeprefix(LINES + ',').replace('layer, ord FROM lines)', 'layer, ord FROM turn_lines)')},
+{BLOCKS},{EDGES},{PATHS},{_FILTERED},{_BRANDS},{_COUNTS},
+counted AS (SELECT word || ' ' || freq AS line FROM counts),{_cleaned('counted', 0.9, '_core')}"""
+
+
 def _flag(**columns: str) -> str:
     return f"WITH {_WORDS} SELECT word, " + ", ".join(f"{sql} AS {name}" for name, sql in columns.items()) + " FROM words"
 
@@ -359,8 +369,23 @@ FROM asked LEFT JOIN told USING (doc_id)""",
 SELECT word || ' ' || freq AS line FROM cleaned""",
     "absorb_feedback": f"""WITH {LINES},{_FEEDBACK},{_STRADDLE},{_USER},{_MERGED},{_PRUNED.replace('{source}', 'merged')},{_cleaned('pruned', 1000.0)}
 SELECT * FROM cleaned""",
-    "stream_log_filter": "SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND strlen(text) > 2",
-    "stream_discover": f"""WITH logged AS (SELECT text FROM conversations WHERE role = 'user' AND strlen(text) > 2),
+    "stream_log_filter": "SELECT conv_id, turn, text FROM conversations WHERE strlen(text) > 2",
+    "stream_discover": f"""WITH logged AS (SELECT text FROM conversations WHERE strlen(text) > 2),
 {discovered('text', 3, 'logged')} SELECT word, freq FROM disc""",
     "stream_segment": f"{_DAG} {_DIGEST} FROM tokens",
+    "evolve_core": f"""WITH RECURSIVE {LINES},{_FEEDBACK},{_STRADDLE},
+user_lines AS (SELECT line, '0' || ord AS ord FROM lines WHERE layer = 2),{_MERGED},{_PRUNED.replace('{source}', 'merged')},{_cleaned('pruned', 1000.0)},
+turn_lines AS (
+  SELECT line, layer, '0' || ord AS ord FROM lines WHERE layer < 2
+  UNION ALL SELECT word || ' ' || freq, 0, '1' || word FROM disc UNION ALL SELECT word || ' ' || freq, 2, word FROM cleaned
+),{_TURN}
+SELECT 'core' AS part, word || ' ' || freq AS line FROM cleaned_core UNION ALL SELECT 'user', word || ' ' || freq FROM cleaned""",
+    "stream_words_loop": f"""WITH RECURSIVE {LINES},
+logged AS (SELECT text FROM conversations WHERE strlen({HAN_TEXT}) > 2),{discovered(HAN_TEXT, 3, 'logged', 'heard')},
+heard_lines AS (SELECT word || ' ' || freq AS line FROM heard),{_cleaned('heard_lines', 1000.0)},
+turn_lines AS (
+  SELECT line, layer, '0' || ord AS ord FROM lines
+  UNION ALL SELECT word || ' ' || freq, 0, '1' || word FROM disc UNION ALL SELECT word || ' ' || freq, 2, '1' || word FROM cleaned
+),{_TURN}
+SELECT 'user' AS part, word || ' ' || freq AS line FROM cleaned UNION ALL SELECT 'core', word || ' ' || freq FROM cleaned_core""",
 }

@@ -1,4 +1,8 @@
 import random
+import subprocess
+import sys
+from fractions import Fraction
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -36,6 +40,74 @@ def test_mixed_shards_learn_as_well(spark):
     assert R.sentence_accuracy(viterbi_decode(df, model)).first()["accuracy"] > 0.95
 
 
+def replay(rows, shards, shard_of, epochs):
+    """Iterative parameter mixing in plain loops, in exact fractions."""
+    model = Tagger()
+    for _ in range(epochs):
+        made = []
+        for k in range(shards):
+            mine = Tagger([list(r) for r in model.trans], {f: list(w) for f, w in model.feats.items()})
+            own = sorted((o, "".join(c), c, t) for o, c, t in rows if shard_of[o] == k)
+            for _, _, chars, tags in own:
+                R.learn(mine, chars, tags)
+            made += [mine] if own else []
+        grid = lambda values: round(float(sum(map(Fraction, values)) / len(made)) * R.GRAIN) / R.GRAIN
+        names = {f for m in made for f in m.feats}
+        model = Tagger(
+            [[grid([m.trans[a][b] for m in made]) for b in range(4)] for a in range(4)],
+            {f: [grid([m.feats.get(f, [0.0] * 4)[t] for m in made]) for t in range(4)] for f in names},
+        )
+    return model
+
+
+def weights(model):
+    return model.trans, {f: w for f, w in model.feats.items() if any(w)}
+
+
+def test_mixing_is_the_plain_replay_however_the_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(R, "SHARD_CHARS", 100)
+    df, rows = sentences(spark, 90, seed=4)
+    shards = R.shards_of(df)
+    assert shards == -(-sum(len(c) for _, c, _ in rows) // 100) > 4
+    shard_of = {r["ord"]: r["s"] for r in df.select("ord", F.pmod(F.xxhash64("ord"), F.lit(shards)).alias("s")).collect()}
+    expected = weights(replay(rows, shards, shard_of, 4))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in (1, 3, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        assert weights(R.train_tagger(df.repartition(partitions), epochs=4, shards=None)) == expected
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+MACHINE = """
+import hashlib, sys
+from pyspark.sql import SparkSession
+from lexiloom.operators import training as R
+from tests.test_training import sentences, weights
+spark = SparkSession.builder.master(f"local[{sys.argv[1]}]").config("spark.ui.enabled", "false").getOrCreate()
+R.SHARD_CHARS = 60
+df, _ = sentences(spark, 120, seed=9)
+trans, feats = weights(R.train_tagger(df, epochs=3, shards=None))
+print("WEIGHTS", hashlib.sha256(repr((trans, sorted(feats.items()))).encode()).hexdigest())
+"""
+
+
+def test_four_and_eight_cores_give_the_same_weights():
+    told = []
+    for cores in ("4", "8"):
+        run = subprocess.run([sys.executable, "-c", MACHINE, cores], capture_output=True, text=True, timeout=300, cwd=Path(__file__).parents[1])
+        told += [x for x in run.stdout.splitlines() if x.startswith("WEIGHTS")]
+    assert len(told) == 2 and told[0] == told[1]
+
+
+def test_training_goes_on_behind_the_last_epoch(spark):
+    df, _ = sentences(spark, 60, seed=6)
+    kept = {}
+    whole = R.train_tagger(df, epochs=5, shards=3, told=kept.__setitem__)
+    assert sorted(kept) == [1, 2, 3, 4, 5]
+    again = R.train_tagger(df, epochs=5, shards=3, start=(2, kept[2]))
+    assert weights(again) == weights(whole) == weights(R.train_tagger(df, epochs=5, shards=3, start=(5, kept[5])))
+
+
 def test_batch_deltas(spark):
     df, rows = sentences(spark, 20)
     zero = df.withColumn("pred", F.transform("tags", lambda t: F.lit(0))).withColumnRenamed("ord", "sent_id")
