@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import cache
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -15,7 +16,7 @@ _WORDS = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as text of the page.
-HIDDEN = frozenset("script style title template iframe svg noscript textarea select button".split())
+HIDDEN = frozenset("script style title template iframe svg textarea select button".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot "
@@ -24,6 +25,47 @@ BLOCK = frozenset(
 #: An open element of the first kind ends where one of the second begins.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 _SCOPE = frozenset("ul ol dl table div section article body".split())
+#: Open elements that the start of a block looks at; all others it passes over.
+_SEEN = BLOCK | _SCOPE | frozenset(_ENDS)
+
+
+class Open:
+    """The open elements, outermost first; of each its node, and where those of `_SEEN` lie."""
+
+    def __init__(self, page: Page) -> None:
+        self.page, self.nodes, self.seen, self.count = page, [], [], {}
+
+    def push(self, node: int) -> None:
+        tag = self.page.tag[node]
+        if tag in _SEEN:
+            self.seen.append(len(self.nodes))
+        self.nodes.append(node)
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def cut(self, at: int) -> None:
+        """End the elements from place `at` on."""
+        for node in self.nodes[at:]:
+            self.count[self.page.tag[node]] -= 1
+        del self.nodes[at:]
+        while self.seen and self.seen[-1] >= at:
+            self.seen.pop()
+
+    def close(self, name: str) -> None:
+        """End the innermost element of the name, if one is open, and what is open in it."""
+        if self.count.get(name, 0):
+            at = len(self.nodes) - 1
+            while self.page.tag[self.nodes[at]] != name:
+                at -= 1
+            self.cut(at)
+
+    def begin_block(self, name: str) -> None:
+        """End what the start of a block element ends: an open paragraph, a sibling item or cell."""
+        while self.seen:
+            at = self.seen[-1]
+            tag = self.page.tag[self.nodes[at]]
+            if tag != "p" and name not in _ENDS.get(tag, ()):
+                return
+            self.cut(at)
 
 
 class Page:
@@ -58,14 +100,12 @@ def cue_words(attributes: str) -> tuple[str, ...]:
 def read_page(source: str | None) -> Page:
     """The tree of a page; whatever is not closed ends with its parent."""
     page = Page()
-    stack = [page.add(-1, "#page", (), "", 0)]
+    stack = Open(page)
+    stack.push(page.add(-1, "#page", (), "", 0))
     if not source:
         return page
     at = block = 0
-    hidden = None
-    for m in _TOKEN.finditer(source):
-        if m.start() < at:  # inside a hidden element
-            continue
+    while (m := _TOKEN.search(source, at)) is not None:
         if m.start() > at:
             _text(page, stack, source[at : m.start()], block)
         at = m.end()
@@ -78,50 +118,39 @@ def read_page(source: str | None) -> Page:
         if m[1]:
             if name in BLOCK:
                 block += 1
-            _close(page, stack, name)
+            stack.close(name)
             continue
         if name in HIDDEN:
-            hidden = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE)
-            end = hidden.search(source, at)
+            # What looks like a comment or a tag inside is neither: reading goes on behind the element's end.
             if not m[3].rstrip().endswith("/"):
+                end = _end_of(name).search(source, at)
                 at = end.end() if end else len(source)
             continue
         if name in BLOCK:
             block += 1
-            _close_open(page, stack, name)
+            stack.begin_block(name)
         if name == "br":
             _text(page, stack, " ", block, True)
         elif name not in VOID:
-            node = page.add(stack[-1], name, cue_words(m[3]), "", block)
+            node = page.add(stack.nodes[-1], name, cue_words(m[3]), "", block)
             if not m[3].rstrip().endswith("/"):
-                stack.append(node)
+                stack.push(node)
     if at < len(source):
         _text(page, stack, source[at:], block)
     return page
 
 
-def _text(page: Page, stack: list[int], raw: str, block: int, force: bool = False) -> None:
-    if page.tag[-1] == "#text" and page.parent[-1] == stack[-1] and page.block[-1] == block:
-        page.text[-1] += raw
-    elif force or raw.strip() or (page.tag[-1] == "#text" and page.block[-1] == block) or page.block[-1] == block:
-        page.add(stack[-1], "#text", (), raw, block)
-
+@cache
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE)
 
-def _close(page: Page, stack: list[int], name: str) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if page.tag[stack[i]] == name:
-            del stack[i:]
-            return
 
-
-def _close_open(page: Page, stack: list[int], name: str) -> None:
-    """End what the start of a block element ends: an open paragraph, a sibling item or cell."""
-    for i in range(len(stack) - 1, 0, -1):
-        tag = page.tag[stack[i]]
-        if tag == "p" or name in _ENDS.get(tag, ()):
-            del stack[i:]
-        elif tag in _SCOPE or tag in BLOCK:
-            return
+def _text(page: Page, stack: Open, raw: str, block: int, force: bool = False) -> None:
+    parent = stack.nodes[-1]
+    if page.tag[-1] == "#text" and page.parent[-1] == parent and page.block[-1] == block:
+        page.text[-1] += raw
+    elif force or raw.strip() or (page.tag[-1] == "#text" and page.block[-1] == block) or page.block[-1] == block:
+        page.add(parent, "#text", (), raw, block)
 
 
 def block_texts(page: Page, chosen: list[bool]) -> list[str]:

@@ -4,7 +4,7 @@ One narrow staged table has the length of every row's normalised text and a hash
 characters. Rows are counted by both at once, with partial aggregates: a length that one row has
 drops out (level 1), and so does a prefix that one row of its length has (level 2). Only rows that
 still share (length, prefix hash) with another row have their whole text hashed (SHA-256), in a
-second scan filtered by the surviving keys, so no text is ever shuffled, and a group with a third
+second scan filtered by the surviving keys (beyond a broadcast by a bit filter of them first), so no text is ever shuffled, and a group with a third
 of all rows costs one row per task.
 
 Defined results: null text counts as empty; empty texts equal each other; of rows that repeat id and
@@ -14,10 +14,11 @@ columns of the input are not read.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import BROADCAST_ROWS, discard, documents, stage
+from lexiloom.llm.common import BROADCAST_ROWS, discard, documents, key_filter, stage
 
 WHITE = " \t\n\x0b\x0c\r"
 PREFIX_CHARS = 64
@@ -43,6 +44,22 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFra
     return docs.select(*cols, *([F.sha2(norm, 256).alias("digest")] if digest else []))
 
 
+def _candidates(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`_keyed` with digests of the rows that a bit filter of too many keys to broadcast lets pass: they
+    are picked before the join's shuffle, so no other text is hashed in full."""
+    wanted = stage(keys.select(F.xxhash64("n", "prefix").alias("key")), "exact-filter")
+    may_hold = key_filter(wanted, "key")
+    discard(wanted)
+
+    @F.pandas_udf("boolean")
+    def picked(key: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(key.to_numpy()))
+
+    norm = normalised(F.col(text_col))
+    key = F.xxhash64(F.octet_length(norm), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)))
+    return _keyed(docs.filter(picked(key)), id_col, text_col, True)
+
+
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False
 ) -> DataFrame:
@@ -54,9 +71,11 @@ def exact_dedup(
     narrow = stage(_keyed(docs, id_col, text_col, False), "exact-keys")
     sizes = narrow.groupBy("n", "prefix").agg(F.count("*").alias("c"))
     keys = stage(sizes.filter("c > 1").select("n", "prefix"), "exact-survivors")
-    side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    few = keys.count() <= BROADCAST_ROWS
+    side = F.broadcast(keys) if few else keys
     full = _keyed(docs, id_col, text_col, True)
-    survivors = full.join(side, ["n", "prefix"], "left_semi").withColumn("row", F.monotonically_increasing_id())
+    read = full if few or digest_all else _candidates(docs, keys, id_col, text_col)
+    survivors = read.join(side, ["n", "prefix"], "left_semi").withColumn("row", F.monotonically_increasing_id())
     survivors = stage(survivors, "exact-full")  # rows have their numbers from here on
     groups = stage(
         survivors.groupBy("n", "digest")

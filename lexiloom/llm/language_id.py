@@ -146,15 +146,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.create_map(*[F.lit(x) for lang, n in per for x in (lang, min(1.0, PER_LANGUAGE / n))])
     label = F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)])
     many = max(SHARDS, sum(min(n, PER_LANGUAGE) for _, n in per) // SHARD_DOCS)
-    h = F.xxhash64("id")
+    # Drawn by row, as rows may share an id; rows that repeat id, text and language are learned from once.
+    row = lambda seed: F.xxhash64(F.lit(seed), "id", "text")
+    h = row("draw")
     sample = stage(
         usable.filter(F.pmod(h, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select(
             "text",
             label[F.col("lang")].alias("label"),
-            F.xxhash64(F.lit("order"), "id").alias("ord"),
-            F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int").alias("fold"),
-            F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(many)).cast("int").alias("shard"),
-        ),
+            row("order").alias("ord"),
+            F.pmod(row("fold"), F.lit(FOLDS)).cast("int").alias("fold"),
+            F.pmod(row("shard"), F.lit(many)).cast("int").alias("shard"),
+        ).dropDuplicates(["ord", "label"]),
         "lang-sample",
     )
     classes = len(languages)

@@ -9,10 +9,12 @@ small table. When a source runs out, a new phase begins with the shares of those
 document is placed exactly once.
 
 What the driver works out (`plan_phases`) depends on the number of sources and the shares only: at
-most `MOST_SOURCES` phases of about a period of slots. Where a table has more sources, the largest and
-those with a target of their own keep their places and all others share one, under the name `OTHERS`.
-Numbering of documents inside a source is salted: hash buckets are numbered on their own and
-shifted by counted offsets, so a source with a third of all rows is spread over many tasks.
+most `MOST_SOURCES` phases of about a period of slots, or as many as the caller names targets. Every source with a
+target keeps its place; where a table has more sources, the largest of the others keep theirs and the rest share
+one, under the name `OTHERS`.
+Numbering of documents inside a source is salted: buckets of a hash of the whole row are numbered on their own and
+shifted by counted offsets, so a source with a third of all rows is spread over many tasks, and so are rows
+that share an id or have none.
 
 Defined results: a null source counts as the empty name; sources without a target get the least
 share, 1; null ids sort first; rows that repeat an id are placed one by one; an empty table gives
@@ -115,16 +117,19 @@ def mix(
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source"),
         F.col(id_col).alias("mix_id"),
         F.xxhash64(id_col).alias("mix_hash"),
+        F.xxhash64(*docs.drop(*RESULTS).columns).alias("mix_row"),
     )
     total = docs.count()
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_DOCS))
-    keyed = keyed.withColumn("mix_bucket", F.pmod("mix_hash", F.lit(buckets)))
+    keyed = keyed.withColumn("mix_bucket", F.pmod("mix_row", F.lit(buckets)))
     sources = keyed.groupBy("mix_source").agg(F.count("*").alias("n"))
+    # Every source with a target keeps its place, however many the caller names.
     targets = sorted(shares or {})
-    largest = sources.orderBy(F.col("mix_source").isin(targets).desc(), F.desc("n"), "mix_source").limit(MOST_SOURCES + 1)
+    most = max(MOST_SOURCES, len(targets) + 1)
+    largest = sources.orderBy(F.col("mix_source").isin(targets).desc(), F.desc("n"), "mix_source").limit(most + 1)
     named = [r["mix_source"] for r in largest.collect()]
-    if len(named) > MOST_SOURCES:
-        own = F.col("mix_source").isin(named[: max(len(targets), MOST_SOURCES - 1)])
+    if len(named) > most:
+        own = F.col("mix_source").isin(named[: most - 1])
         keyed = keyed.withColumn("mix_source", F.when(own, F.col("mix_source")).otherwise(F.lit(OTHERS)))
     sizes = keyed.groupBy("mix_source", "mix_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -143,7 +148,7 @@ def mix(
     table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), _PLAN)))
     gaps = F.from_json(F.lit(json.dumps(short)), "array<struct<slot: long, n: long>>")
 
-    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "mix_id")
+    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "mix_id", "mix_row")
     at = (
         keyed.withColumn("rn", F.row_number().over(inside) - 1)
         .join(offsets, ["mix_source", "mix_bucket"])

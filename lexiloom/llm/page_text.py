@@ -48,6 +48,12 @@ OTHER = [
     '<div class="login">', '<div class="search">', '<div role="navigation">', '<div role="banner">', '<div role="contentinfo">',
     '<div role="complementary">', '<section class="respond">', '<div class="copyright">', '<div class="legal">', '<div class="toolbar">',
 ]
+#: Elements that hold what readers say, and how they sign it: {0} for the name, {1} for the words.
+COMMENTS = [
+    '<div class="discussion">', '<section class="responses">', '<div class="replies">', '<section id="reactions">', '<div id="comments">',
+    '<ol class="comments">', '<div class="feedback">',
+]
+SIGNED = ["<div><b>{0}:</b> {1}</div>", "<p><b>{0}</b> {1}</p>", "<div><span>{0}</span><p>{1}</p></div>", "<li>{0}: {1}</li>", "<p>{0}: {1}</p>"]
 #: Names under which the container of the main text goes.
 CONTAINERS = [
     "<article>", "<main>", '<div class="article">', '<div class="content">', '<div id="content">', '<div class="post">',
@@ -238,11 +244,20 @@ def _renamed(source: str, words: list[str], rng: random.Random) -> str:
             head += _other(words, rng)
         else:
             tail = _other(words, rng) + tail
+    if rng.random() < 0.25:
+        tail = _comments(words, rng) + tail
     if rng.random() < 0.3:
         head, tail = head + "<div>", "</div>" + tail
     return head + body + tail
 
 
+def _comments(words: list[str], rng: random.Random) -> str:
+    """Signed blocks of readers behind the main text."""
+    start, form = rng.choice(COMMENTS), rng.choice(SIGNED)
+    said = [form.replace("{0}", _run(words, rng, 2)).replace("{1}", _run(words, rng, rng.choice([12, 60])) + ".") for _ in range(1 + rng.randrange(6))]
+    return _marked(start, "other") + "".join(said) + _end(start)
+
+
 def _nameless(words: list[str], rng: random.Random) -> str:
     """Links and labels around prose, in elements whose names tell nothing."""
     other = lambda: _element(rng.choice(["<div>", "<div>", "<ul>", "<table>", "<section>"]), "other", _links(words, rng), rng)

@@ -62,6 +62,12 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_RUN)
 _WRAPPED = re.compile(
     r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}" % LEAST_RUN
 )
+_SEPARATOR = re.compile(r"[+/_-]+")
+#: Characters of a part of a run that are read to see whether it may hold a text.
+_HEAD = 64
+#: Characters of text at least in what is read behind a separator, and of a run that are decoded at once.
+LEAST_TEXT = 12
+_PART = 1 << 16
 _BLANK = str.maketrans("", "", " \t\r\n")
 _URLSAFE = str.maketrans("-_", "+/")
 
@@ -123,50 +129,84 @@ def _unicode_units(m: re.Match) -> tuple[str, list[tuple[int, int]]]:
 
 
 class Layer:
-    """A text and, for each of its characters, where it came from in the original text."""
+    """A text and, for each of its characters, where it came from in the original text: arrays, one place
+    (two numbers) for all of them, or nothing for the original itself."""
 
-    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None) -> None:
+    def __init__(self, text: str, start: np.ndarray | int | None = None, end: np.ndarray | int | None = None) -> None:
         self.text, self.start, self.end = text, start, end
 
     def place(self, lo: int, hi: int) -> tuple[int, int]:
         if self.start is None:
             return lo, hi
+        if isinstance(self.start, int):
+            return self.start, self.end
         return int(self.start[lo:hi].min()), int(self.end[lo:hi].max())
 
-    def _ends(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.start is None:
-            at = np.arange(len(self.text))
-            return at, at + 1
-        return self.start, self.end
-
     def unescaped(self, pattern: re.Pattern, decode) -> Layer | None:
         """The text with every match decoded in place; None without a match."""
         pieces, starts, ends, at = [], [], [], 0
-        s, e = None, None
+        one, s, e = isinstance(self.start, int), None, None
         for m in pattern.finditer(self.text):
-            if s is None:
-                s, e = self._ends()
             text, places = decode(m)
             pieces += [self.text[at : m.start()], text]
-            starts += [s[at : m.start()], [int(s[lo:hi].min()) for lo, hi in places]]
-            ends += [e[at : m.start()], [int(e[lo:hi].max()) for lo, hi in places]]
+            if not one:
+                if s is None:
+                    s = np.arange(len(self.text)) if self.start is None else self.start
+                    e = s + 1 if self.start is None else self.end
+                starts += [s[at : m.start()], [int(s[lo:hi].min()) for lo, hi in places]]
+                ends += [e[at : m.start()], [int(e[lo:hi].max()) for lo, hi in places]]
             at = m.end()
-        if s is None:
+        if not pieces:
             return None
         pieces.append(self.text[at:])
+        if one:
+            return Layer("".join(pieces), self.start, self.end)
         starts.append(s[at:])
         ends.append(e[at:])
         return Layer("".join(pieces), np.concatenate(starts).astype(np.int64), np.concatenate(ends).astype(np.int64))
 
     def runs(self) -> Iterator[Layer]:
-        """The texts inside base64 runs, compressed ones unpacked."""
-        places = [m.span() for m in _RUN.finditer(self.text)]
+        """The texts inside base64 runs, compressed ones unpacked, one piece at a time."""
+        for m in _RUN.finditer(self.text):
+            yield from self._read(*m.span())
         for m in _WRAPPED.finditer(self.text):
-            places += _wrapped(m)
-        for at, to in places:
-            lo, hi = self.place(at, to)
-            for text in _opened(self.text[at:to].translate(_BLANK)):
-                yield Layer(text, np.full(len(text), lo), np.full(len(text), hi))
+            for at, to in _wrapped(m):
+                yield from self._layers(at, to)
+
+    def _layers(self, at: int, to: int) -> Iterator[Layer]:
+        lo, hi = self.place(at, to)
+        for text in _opened(self.text[at:to].translate(_BLANK)):
+            yield Layer(text, lo, hi)
+
+    def _read(self, at: int, to: int) -> Iterator[Layer]:
+        """A run, or what can be read in it.
+
+        What stands in front (a path, a name) shifts base64 out of step, and what stands behind ends it: a run
+        that is no text as a whole is tried from behind each of its separators and in each of the
+        four steps. Where the first characters promise a stream it is read as one; where they are text, it is
+        text as far as its bytes are, and the search goes on behind that, so a run is read about once.
+        """
+        told = False
+        for layer in self._layers(at, to):
+            told = True
+            yield layer
+        if told:
+            return
+        body = self.text[at:to].rstrip("=").translate(_URLSAFE)
+        done = 0
+        for start in chain(range(1, 4), (m.end() for m in _SEPARATOR.finditer(body))):
+            if start < done or len(body) - start < LEAST_RUN:
+                continue
+            head = _decoded(body[start : start + _HEAD])
+            if _is_stream(head) or head.count(0) >= len(head) // 3 or head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+                stop = len(body) - (len(body) - start) % 4
+                for layer in self._layers(at + start, at + stop):
+                    done = stop
+                    yield layer
+            elif len(text := _shown(head)) >= LEAST_TEXT:
+                text, stop = _text_of(body, start)
+                done = stop
+                yield Layer(text, *self.place(at + start, at + stop))
 
 
 def _wrapped(m: re.Match) -> list[tuple[int, int]]:
@@ -282,35 +322,78 @@ def _texts(parts: Iterator[bytes], codec: str) -> Iterator[str]:
         yield text
 
 
+def _decoded(run: str) -> bytes:
+    """The bytes of a run of the standard alphabet without padding, as far as it goes."""
+    left = len(run) % 4
+    return base64.b64decode(run[: len(run) - (left == 1)] + "=" * ((4 - left) % 4 if left != 1 else 0))
+
+
+def _is_stream(head: bytes) -> bool:
+    """Whether bytes begin as a gzip, bzip2 or zlib stream, by all that its header fixes."""
+    if head[:3] == b"\x1f\x8b\x08" or head[:3] == b"BZh" and head[4:10] == b"1AY&SY":
+        return True
+    return len(head) > 1 and head[0] == 0x78 and int.from_bytes(head[:2]) % 31 == 0
+
+
+def _shown(raw: bytes) -> str:
+    """The text that bytes begin with: UTF-8, up to the first character that is not shown."""
+    text = raw.decode("utf-8", "replace")
+    return next((text[:k] for k, c in enumerate(text) if c == "\ufffd" or not (c.isprintable() or c in "\t\r\n")), text)
+
+
+def _text_of(body: str, start: int) -> tuple[str, int]:
+    """The text of a run from `start` as far as its bytes are UTF-8, and the place in the run where that ends."""
+    decoder, out, at = codecs.getincrementaldecoder("utf-8")(), [], start
+    while at < len(body):
+        raw = _decoded(body[at : at + _PART])
+        try:
+            out.append(decoder.decode(raw))
+        except UnicodeDecodeError as fault:
+            held = len(fault.object) - len(raw)  # what the decoder had kept of the part before
+            out.append(fault.object[: fault.start].decode("utf-8"))
+            return "".join(out), min(len(body), at + -(-max(0, fault.start - held) * 4 // 3))
+        at += _PART
+    return "".join(out), len(body)
+
+
+def _inner(layer: Layer) -> Iterator[Layer | None]:
+    """The layers right inside one, made when they are asked for."""
+    if "%" in layer.text:
+        yield layer.unescaped(_URL, _url_bytes)
+    if "\\u" in layer.text or "\\x" in layer.text:
+        yield layer.unescaped(_UNICODE, _unicode_units)
+    yield from layer.runs()
+
+
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and all spans, as sorted (start, kind, end) in code points of the text."""
+    """Base spans and all spans, as sorted (start, kind, end) in code points of the text.
+
+    The worklist holds, for each layer that is open, what is left of the layers in it; a layer is worked off before
+    the next one beside it is unpacked, so no more than one piece a level of nesting is held at once.
+    """
     if not text:
         return [], []
     base = sorted(scan(text))
     every = dict.fromkeys(base)
     seen = {hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest() + b"whole"}
-    work = [Layer(text)]
+    work = [_inner(Layer(text))]
     while work:
-        layer = work.pop()
-        if layer.start is not None:
-            for lo, kind, hi in scan(layer.text):
-                start, end = layer.place(lo, hi)
-                every[(start, kind, end)] = None
-        t = layer.text
-        inner = []
-        if "%" in t:
-            inner.append(layer.unescaped(_URL, _url_bytes))
-        if "\\u" in t or "\\x" in t:
-            inner.append(layer.unescaped(_UNICODE, _unicode_units))
-        inner += layer.runs()
-        for new in inner:
-            if new is not None:
-                # A layer with the same text at the same place has been opened.
-                place = b"whole" if len(new.text) == 0 else b"%d:%d" % new.place(0, len(new.text))
-                key = hashlib.sha1(new.text.encode("utf-8", "surrogatepass")).digest() + place
-                if key not in seen:
-                    seen.add(key)
-                    work.append(new)
+        layer = next(work[-1], work)
+        if layer is work:
+            work.pop()
+            continue
+        if layer is None:
+            continue
+        # A layer with the same text at the same place has been opened.
+        place = b"whole" if len(layer.text) == 0 else b"%d:%d" % layer.place(0, len(layer.text))
+        key = hashlib.sha1(layer.text.encode("utf-8", "surrogatepass")).digest() + place
+        if key in seen:
+            continue
+        seen.add(key)
+        for lo, kind, hi in scan(layer.text):
+            start, end = layer.place(lo, hi)
+            every[(start, kind, end)] = None
+        work.append(_inner(layer))
     return base, sorted(every)
 
 

@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from lexiloom.llm import exact_dedup as X
 
 
@@ -47,3 +49,16 @@ def test_joins_when_keys_are_too_many_to_broadcast(make, prose, monkeypatch):
     monkeypatch.setattr(X, "BROADCAST_ROWS", 0)
     got = X.exact_dedup(make(prose), digest_all=True).collect()
     assert sorted((r["id"], r["keep_id"], r["group_size"], r["kept"], r["digest"]) for r in got) == brute(prose)
+
+
+def test_only_candidates_are_hashed_beyond_the_broadcast(make, monkeypatch):
+    monkeypatch.setattr(X, "BROADCAST_ROWS", 0)
+    alone = [(i, f"{'w' * i} only once") for i in range(300)]
+    rows = [*alone, (900, "twice here"), (901, "twice  here"), (902, None), (903, "")]
+    out = X.exact_dedup(make(rows))
+    got = out.collect()
+    assert sum(r["digest"] is not None for r in got) == 4 and sorted((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == sorted(
+        (i, k, n, kept) for i, k, n, kept, _ in brute(rows)
+    )
+    plan = X._candidates(make(rows), make(rows).select("n", F.lit(1).cast("long").alias("prefix")), "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2(") < plan.index("picked(")  # the filter lies below what is hashed

@@ -111,3 +111,15 @@ def test_weights_are_sparse(model):
 def test_held_out_is_the_crc_of_the_id(make):
     got = make([(i, "t") for i in range(50)]).select("doc_id", L.held_out("doc_id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+
+
+def test_rows_that_share_an_id_do_not_fill_the_sample(make, monkeypatch):
+    taken = []
+    kept = L.stage
+    monkeypatch.setattr(L, "stage", lambda df, label: taken.append(kept(df, label)) or taken[-1])
+    monkeypatch.setattr(L, "PER_LANGUAGE", 100)
+    rows = [(3, f"some words number {i}", "en") for i in range(3000)] + [(4, "the same row", "fr")] * 2000
+    L.train(make(rows))
+    per = {r["label"]: r["count"] for r in taken[0].groupBy("label").count().collect()}
+    assert per.get(0, 0) < 200 and per.get(1, 0) <= 1
+    assert taken[0].select("shard").distinct().count() > 1

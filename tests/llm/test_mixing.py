@@ -82,3 +82,23 @@ def test_many_sources_share_a_place(make, monkeypatch):
     assert {r["mix_source"] for r in got} == {"s0", "s1", "s2", M.OTHERS}
     kept = {r["mix_source"] for r in M.mix(make(rows), {"s7": 2, "s0": 1}).collect()}
     assert {"s7", "s0", M.OTHERS} <= kept and len(kept) == 4
+
+
+def test_every_source_with_a_target_keeps_it(make, monkeypatch):
+    monkeypatch.setattr(M, "MOST_SOURCES", 8)
+    rows = [(i, "t", "en", f"s{i % 60:02}") for i in range(600)]
+    shares = {f"s{k:02}": 1 + (99 if k == 59 else k % 5) for k in range(40, 60)}
+    got = M.mix(make(rows), shares, block_docs=1).collect()
+    named = {r["mix_source"] for r in got}
+    assert named >= set(shares) and M.OTHERS in named and len(got) == 600
+    first = sorted(got, key=lambda r: r["mix_position"])[:100]
+    assert sum(r["mix_source"] == "s59" for r in first) >= 10  # all of it, as its weight is most of the sum
+    assert {r["mix_source"] for r in M.mix(make([(i, "t", "en", f"s{i % 300}") for i in range(600)]), {f"s{k}": 1 for k in range(300)}).collect()} == {f"s{k}" for k in range(300)}
+
+
+def test_rows_without_an_id_fill_many_buckets(make, monkeypatch):
+    monkeypatch.setattr(M, "LEAST_BUCKETS", 16)
+    rows = M.mix(make([(None, f"text {i}", "en", "a") for i in range(400)])).collect()
+    assert sorted(r["mix_position"] for r in rows) == list(range(400))
+    hashed = make([(None, f"text {i}", "en", "a") for i in range(400)])
+    assert hashed.select(M.F.pmod(M.F.xxhash64(*hashed.columns), M.F.lit(16))).distinct().count() == 16

@@ -141,3 +141,41 @@ def test_messages_give_exact_marginals():
         total += w
         mass = [m + w * y for m, y in zip(mass, ys)]
     assert model.marginals(page) == pytest.approx([m / total for m in mass])
+
+
+def plain(source):
+    page = read_page(source)
+    return block_texts(page, [True] * len(page.tag))
+
+
+@pytest.mark.parametrize(
+    "script", ['var s="<!--";', "for(i=0;i<n;i++){} // don't", "x = '<![CDATA[';", 'document.write("<p class=\'a>");', "if (a<b && c>d) {}"]
+)
+@pytest.mark.parametrize("name", ["script", "style", "textarea", "title"])
+def test_what_looks_like_markup_in_hidden_elements(script, name):
+    source = f"<article><{name}>{script}</{name}><p>Hello it's me.</p><!-- a --><p>Second one.</p></article>"
+    assert plain(source) == ["Hello it's me.", "Second one."]
+
+
+def test_text_for_pages_without_scripts_is_text():
+    assert plain("<article><noscript><p>Shown without scripts.</p></noscript><p>End.</p></article>") == ["Shown without scripts.", "End."]
+
+
+def test_open_elements_take_linear_time():
+    import time
+
+    took = []
+    for n in (5_000, 20_000):
+        began = time.perf_counter()
+        assert len(plain("<b>" * n + "<p>x" * n + "</i>" * n)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_reader_comments_beside_the_article(model):
+    comments = "".join(f"<div><b>{n}:</b> I liked this article very much, thank you.</div>" for n in ("Bob", "Ann", "Eve"))
+    for start, end in (('<div class="discussion">', "</div>"), ('<section class="responses">', "</section>")):
+        article = "<p>The first paragraph of it. It has two sentences.</p><p>And one more of them, which is long enough to be read.</p>"
+        page = read_page(f"<html><body><article><h1>A heading</h1>{article}</article>{start}{comments}{end}</body></html>")
+        told = "\n".join(block_texts(page, model.chosen(page)))
+        assert "first paragraph" in told and "liked" not in told

@@ -128,3 +128,78 @@ def test_very_long_texts():
     text = text[:at] + f" {urllib.parse.quote(PLAIN)} " + text[at:]
     base, every = S.find_secrets(text)
     assert base == [] and len(every) == 1 and at <= every[0][0] < every[0][2] <= at + 60
+
+
+@pytest.mark.parametrize("before", ["/v1/", "/tokens/", "a_", "x-", "abcd/", "https://h.io/abc/", "k=ab/", "id+", "a/b/c/d/e/", "abcdefg-"])
+@pytest.mark.parametrize("behind", ["", "/end", "-x_y", "/x?y=1"])
+def test_runs_behind_and_before_other_characters(before, behind):
+    for inner in (PLAIN.encode(), gzip.compress(b"x " * 40 + PLAIN.encode()), zlib.compress(PLAIN.encode())):
+        text = f"see {before}{b64(inner).rstrip('=')}{behind} there"
+        base, every = S.find_secrets(text)
+        assert base == [] and every and all(4 <= lo < hi <= len(text) - 6 for lo, _, hi in every)
+
+
+def wrapped(rng, text):
+    """One layer around a text, as somebody would wrap it."""
+    way = rng.randrange(6)
+    if way == 0:
+        return urllib.parse.quote(text, safe="")
+    if way == 1:
+        return "".join(f"\\u{ord(c):04x}" for c in text)
+    raw = text.encode()
+    raw = [raw, gzip.compress(raw), zlib.compress(raw), bz2.compress(raw)][way - 2]
+    return rng.choice([b64, lambda x: base64.urlsafe_b64encode(x).decode()])(raw)
+
+
+def plain_unwrapped(text):
+    """All texts in a text, by trying every decoder on every word, without places: a plain second reader."""
+    found, work = set(), [text]
+    while work:
+        t = work.pop()
+        if t in found:
+            continue
+        found.add(t)
+        work += [urllib.parse.unquote(t), re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), t)]
+        for word in re.findall(r"[A-Za-z0-9+/_=-]{16,}", t):
+            try:
+                raw = base64.b64decode(word.replace("-", "+").replace("_", "/") + "==")
+            except ValueError:
+                continue
+            for opened in (lambda x: x, gzip.decompress, zlib.decompress, bz2.decompress):
+                try:
+                    work.append(opened(raw).decode())
+                except (OSError, ValueError, EOFError, zlib.error):
+                    continue
+    return found
+
+
+def test_random_nestings_against_a_plain_unwrapper():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(150):
+        hidden = rng.choice([PLAIN, "token: abcdefgh1", "AKIAABCDEFGHIJKL", "0af1" * 9, "nothing here at all"])
+        text = hidden
+        for _ in range(rng.randrange(4)):
+            text = rng.choice(["", "some words ", "é "]) + wrapped(rng, text) + rng.choice(["", " and more", "\n"])
+        kinds = {k for t in plain_unwrapped(text) for _, k, _ in S.scan(t)}
+        base, every = S.find_secrets(text)
+        assert {k for _, k, _ in every} >= kinds and set(base) <= set(every)
+        assert all(0 <= lo < hi <= len(text) for lo, _, hi in every)
+
+
+def test_long_runs_take_linear_time_and_bombs_bounded_memory():
+    import time
+    import tracemalloc
+
+    noise = base64.b64encode(bytes(range(256)) * 2000).decode()
+    began = time.perf_counter()
+    for text in (f"x {noise}", "x " + "a-b_c/d+" * 30_000, "x " + b64(PLAIN.encode()).rstrip("=") + "/" * 50_000):
+        S.find_secrets(text)
+    assert time.perf_counter() - began < 20
+    packer = zlib.compressobj(9)
+    bomb = b64(b"".join([*(packer.compress(b"z" * (1 << 20)) for _ in range(200)), packer.flush()]))
+    tracemalloc.start()
+    assert S.find_secrets(f"x {bomb}")[1] == []
+    assert tracemalloc.get_traced_memory()[1] < 250 << 20
+    tracemalloc.stop()
