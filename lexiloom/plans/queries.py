@@ -151,6 +151,12 @@ def segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", F.md5("line").alias("line_md5"), F.char_length("line").cast("long").alias("n_chars"))
 
 
+def segment_lines_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in the mode that is taken where none is named."""
+    lines = lattice.segment_lines(_han(spark, sf_dir), _lexicon(spark, sf_dir), _tagger(spark, sf_dir))
+    return lines.select("doc_id", F.md5("line").alias("line_md5"), F.char_length("line").cast("long").alias("n_chars"))
+
+
 # Predicates and string functions
 
 
@@ -540,3 +546,15 @@ def stream_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = jobs.newest_cut(spark, f"{folder}/versions", "dag")
     jobs.stream_segment(stream, lambda df: _digest(cut(df)), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("doc_id", "n_tokens", "tokens_md5")
+
+
+def stream_segment_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in hybrid mode: lexicon and model of the newest of two versions."""
+    folder = _folder(spark)
+    lexicon, (trans, feats) = _lexicon(spark, sf_dir), _model(spark, sf_dir)
+    jobs.write_version({"lexicon": lexicon.filter(F.col("n") > 2), "trans": trans.limit(0), "feats": feats.limit(0)}, f"{folder}/versions", 1)
+    jobs.write_version({"lexicon": lexicon, "trans": trans, "feats": feats}, f"{folder}/versions", 2)
+    stream = _stream(spark, sf_dir, "documents").select("doc_id", tables.han("text").alias("text"))
+    cut = jobs.newest_cut(spark, f"{folder}/versions")
+    jobs.stream_segment(stream, lambda df: _digest(cut(df)), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "n_tokens", "tokens_md5")

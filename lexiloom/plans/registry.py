@@ -22,7 +22,7 @@ QUERIES = {
         Q.cut_dag, Q.best_path, Q.cut_tagger, Q.cut_hybrid, Q.cut_search, Q.viterbi_decode, Q.tagger_words, Q.segment_corpus,
         Q.corpus_to_sentences, Q.lexicon_to_sentences, Q.train_tagger, Q.segmentation_report,
         Q.absorb_feedback, Q.stream_log_filter, Q.stream_discover, Q.stream_feedback, Q.stream_segment,
-        Q.evolve_core, Q.stream_words_loop, Q.cut_trained,
+        Q.evolve_core, Q.stream_words_loop, Q.cut_trained, Q.segment_lines_hybrid, Q.stream_segment_hybrid,
     )
 } | {"evolve": Q.evolve_vocabulary}
 
@@ -373,6 +373,10 @@ SELECT * FROM cleaned""",
     "stream_discover": f"""WITH logged AS (SELECT text FROM conversations WHERE strlen(text) > 2),
 {discovered('text', 3, 'logged')} SELECT word, freq FROM disc""",
     "stream_segment": f"{_DAG} {_DIGEST} FROM tokens",
+    "stream_segment_hybrid": f"{_HYBRID} {_DIGEST} FROM tokens2",
+    "segment_lines_hybrid": f"""{_HYBRID.replace(HAN_TEXT, trim(HAN_TEXT))}
+SELECT doc_id, md5(line) AS line_md5, CAST(length(line) AS BIGINT) AS n_chars
+FROM (SELECT doc_id, replace(rtrim(seg, chr(1)), chr(1), ' / ') AS line FROM tokens2)""",
     "evolve_core": f"""WITH RECURSIVE {LINES},{_FEEDBACK},{_STRADDLE},
 user_lines AS (SELECT line, '0' || ord AS ord FROM lines WHERE layer = 2),{_MERGED},{_PRUNED.replace('{source}', 'merged')},{_cleaned('pruned', 1000.0)},
 turn_lines AS (
