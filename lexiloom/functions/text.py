@@ -109,18 +109,21 @@ def pieces(block: Column | str, overlap: Column | int, size: int = PIECE) -> Col
     return F.when(F.char_length(b) <= size, F.array(b)).otherwise(cut)
 
 
-def grams(piece: Column | str, longest: int, size: int = PIECE) -> Column:
-    """Substrings of 2 to `longest` characters that start in the first `size` of a piece."""
+def grams(piece: Column | str, longest: int, size: int = PIECE, shortest: int = 2) -> Column:
+    """Substrings of `shortest` to `longest` characters that start in the first `size` of a piece."""
     p = _col(piece)
     n = F.char_length(p)
-    starts = F.sequence(F.lit(1), F.least(n - 1, F.lit(size)))
-    every = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), n - i + 1)), lambda k: F.substring(p, i, k)),
+    starts = F.sequence(F.lit(1), F.least(n - (shortest - 1), F.lit(size)))
+    if shortest == longest:
+        every = F.transform(starts, lambda i: F.substring(p, i, F.lit(longest)))
+    else:
+        every = F.flatten(
+            F.transform(
+                starts,
+                lambda i: F.transform(F.sequence(F.lit(shortest), F.least(F.lit(longest), n - i + 1)), lambda k: F.substring(p, i, k)),
+            )
         )
-    )
-    return F.when(n >= 2, every).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= shortest, every).otherwise(F.array().cast("array<string>"))
 
 
 def word_tags(word: Column | str) -> Column:

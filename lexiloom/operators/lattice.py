@@ -33,6 +33,8 @@ from lexiloom.sources.dictionaries import UNKNOWN
 LEXICON_WORDS = 5_000_000
 #: Words, or beginnings of words, that a join broadcasts; more are shuffled.
 JOINED_WORDS = 500_000
+#: Characters of a block that a join's path takes at once; longer ones fall apart where no word crosses.
+LONG_BLOCK = 100_000
 #: Characters of the blocks whose cut a worker remembers.
 MEMORY = 4_000_000
 #: Rows a worker takes at once.
@@ -494,16 +496,23 @@ def lattice_edges(blocks: DataFrame, lexicon: DataFrame, longest: int, block_col
 
 
 def cut_joined(blocks: DataFrame, lexicon: DataFrame, longest: int, block_col: str = "block") -> DataFrame:
-    """(block, tokens) of distinct blocks with the lexicon joined, not broadcast: for lexicons of any size."""
+    """(block, tokens) of distinct blocks with the lexicon joined, not broadcast: for lexicons of any size.
+
+    A block longer than LONG_BLOCK falls into pieces of about that many characters, each between places that
+    no candidate crosses, so that its best path is that of its pieces; where there is no such place it stays whole.
+    """
     b = _numbered(blocks, block_col)
-    each = _candidates(b, lexicon, longest).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("i", "found"))).alias("edges"))
+    short, long = b.filter(F.char_length("block") <= LONG_BLOCK), b.filter(F.char_length("block") > LONG_BLOCK)
+    edges = F.array_sort(F.collect_list(F.struct("i", "found"))).alias("edges")
+    each = _candidates(short, lexicon, longest).groupBy("b").agg(edges)
 
     @F.pandas_udf("array<string>")
     def paths(block: pd.Series, edges: pd.Series) -> pd.Series:
         out = []
         for text, places in zip(block, edges):
+            first = places[0]["i"]
             at = [
-                [(e["i"] + c["k"], math.nan if c["logp"] is None else c["logp"]) for c in e["found"]] for e in places
+                [(e["i"] - first + c["k"], math.nan if c["logp"] is None else c["logp"]) for c in e["found"]] for e in places
             ]  # every place has an entry
             words, lo = [], 0
             for end in choose_path(len(text), at.__getitem__):
@@ -512,7 +521,23 @@ def cut_joined(blocks: DataFrame, lexicon: DataFrame, longest: int, block_col: s
             out.append(words)
         return pd.Series(out, dtype=object)
 
-    return b.join(each, "b").select("block", paths("block", "edges").alias("tokens"))
+    whole = short.join(each, "b").select("block", paths("block", "edges").alias("tokens"))
+    parts = path_pieces(_candidates(long, lexicon, longest)).groupBy("b", "piece").agg(F.min("i").alias("lo"), F.count("*").cast("int").alias("n"), edges)
+    text = F.substring(F.col("block"), F.col("lo") + 1, F.col("n"))
+    cut = long.join(parts, "b").select("b", "piece", paths(text, "edges").alias("tokens"))
+    cut = cut.groupBy("b").agg(F.flatten(F.array_sort(F.collect_list(F.struct("piece", "tokens")))["tokens"]).alias("tokens"))
+    return whole.unionByName(long.join(cut, "b").select("block", "tokens"))
+
+
+def path_pieces(candidates: DataFrame) -> DataFrame:
+    """The candidates (b, i, found) with `piece`, which grows at the first place behind each multiple of
+    LONG_BLOCK that no candidate crosses. The places of a block pass one task in order, none held."""
+    row = Window.partitionBy("b").orderBy("i")
+    behind = row.rowsBetween(Window.unboundedPreceding, -1)
+    ends = candidates.withColumn("end", F.col("i") + F.array_max(F.transform("found", lambda c: c["k"])))
+    free = F.when(F.coalesce(F.max("end").over(behind), F.lit(0)) <= F.col("i"), F.col("i"))
+    last = F.max("free").over(row.rowsBetween(Window.unboundedPreceding, 0))
+    return ends.withColumn("free", free).withColumn("piece", F.floor(last / LONG_BLOCK)).drop("end", "free")
 
 
 def _segment_joined(

@@ -7,7 +7,7 @@ sequence alone, so ties fall alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -26,6 +26,8 @@ GAP = 0x110000
 FEATURE_ROWS = 5 * 4 * (GAP + 1)
 #: Sequences that are much longer than all others are decoded one by one.
 FEW = 4
+#: Characters of a sequence that are decoded at once; of longer ones the sums before each piece are kept.
+PIECE = 1 << 16
 
 _BEFORE = (OUTSIDE, OUTSIDE)
 
@@ -129,7 +131,7 @@ class Tagger:
         alone = order[lens[order] > bound]
         for k in alone.tolist():
             lo, hi = int(starts[k]), int(starts[k] + lens[k])
-            tags[lo:hi] = best_tags(scores[lo:hi].tolist(), self.trans)
+            tags[lo:hi] = best_tags_long(scores[lo:hi], self.trans)
         order = order[len(alone):]
         if len(order):
             trans, lo, n = np.array(self.trans), starts[order], lens[order]
@@ -174,16 +176,58 @@ class Tagger:
 
 
 def best_tags(scores: list[list[float]], trans: list[list[float]]) -> list[int]:
-    """The tags of one sequence; written out tag by tag, which takes half the time of a loop.
+    """The tags of one sequence."""
+    if not scores:
+        return []
+    last, back = _steps(islice(scores, 1, None), trans, scores[0])
+    tag = last.index(max(last))
+    tags = [tag]
+    for frm in reversed(back):
+        tag = frm[tag]
+        tags.append(tag)
+    return tags[::-1]
+
+
+def best_tags_long(scores: np.ndarray, trans: list[list[float]], piece: int | None = None) -> np.ndarray:
+    """The tags of one sequence of any length.
+
+    The way there keeps only the four sums before each piece; the way back decodes piece by piece from
+    them. Every sum is the one of `best_tags`, so ties fall alike.
+    """
+    piece = piece or PIECE
+    tags = np.zeros(len(scores), dtype=np.int8)
+    if not len(scores):
+        return tags
+    sums, before = scores[0].tolist(), []
+    starts = range(1, len(scores), piece)
+    back: list[tuple[int, int, int, int]] = []
+    for lo in starts:
+        before.append(sums)
+        sums, back = _steps(scores[lo : lo + piece].tolist(), trans, sums)
+    tag = sums.index(max(sums))
+    for lo, kept in zip(reversed(starts), reversed(before)):
+        if lo != starts[-1]:  # of the last piece the way there is still known
+            _, back = _steps(scores[lo : lo + piece].tolist(), trans, kept)
+        mine = []
+        for frm in reversed(back):
+            mine.append(tag)
+            tag = frm[tag]
+        tags[lo : lo + len(mine)] = mine[::-1]
+    tags[0] = tag
+    return tags
+
+
+def _steps(
+    scores: Iterable[list[float]], trans: list[list[float]], sums: list[float]
+) -> tuple[list[float], list[tuple[int, int, int, int]]]:
+    """The sums behind the scores and where each came from; written out tag by tag, which takes half the time of a loop.
 
     Sums run in the order previous + transition + emission, as ties depend on it; the first of equals wins.
     """
-    if not scores:
-        return []
     (t00, t01, t02, t03), (t10, t11, t12, t13), (t20, t21, t22, t23), (t30, t31, t32, t33) = trans
-    a0, a1, a2, a3 = scores[0]
+    a0, a1, a2, a3 = sums
     back: list[tuple[int, int, int, int]] = []
-    for e0, e1, e2, e3 in islice(scores, 1, None):
+    for e0, e1, e2, e3 in scores:
         n0, b0, x = a0 + t00 + e0, 0, a1 + t10 + e0
         if x > n0:
             n0, b0 = x, 1
@@ -222,13 +266,7 @@ def best_tags(scores: list[list[float]], trans: list[list[float]]) -> list[int]:
             n3, b3 = x, 3
         back.append((b0, b1, b2, b3))
         a0, a1, a2, a3 = n0, n1, n2, n3
-    last = [a0, a1, a2, a3]
-    tag = last.index(max(last))
-    tags = [tag]
-    for frm in reversed(back):
-        tag = frm[tag]
-        tags.append(tag)
-    return tags[::-1]
+    return [a0, a1, a2, a3], back
 
 
 def join_tags(chars: str | list[str], tags: list[int], compat_duplicate: bool = False) -> list[str]:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions import text as T
+from lexiloom.operators import lattice
 from lexiloom.sources.dictionaries import integer
+from lexiloom.sources.tables import shared_folder
 
 #: Ratios and thresholds of the vocabulary loop.
 LONGEST = 4
@@ -17,6 +24,8 @@ CORE_RATIO = 0.9
 USER_RATIO = 1000.0
 NOISE_RATIO = 5.0
 NEW_WORD_FREQ = 10000
+#: Bits a word in the filter of frequent words, and its bits at most; beyond them it only lets more words pass.
+WORD_BITS, MOST_BITS = 16, 1 << 26
 
 
 def block_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -27,11 +36,56 @@ def block_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def discover_words(docs: DataFrame, threshold: int = CORPUS_THRESHOLD, longest: int = LONGEST, text_col: str = "text") -> DataFrame:
     """(word, freq): substrings of 2 to `longest` characters inside blocks, at least `threshold` times.
 
-    Distinct blocks are counted first, so that the n-gram shuffle carries each block once.
+    Distinct blocks are counted first, so that the n-gram shuffle carries each block once. Lengths are
+    counted one after another: a word is no more frequent than its parts without the first and without
+    the last character, so only words whose parts are frequent are counted and shuffled (`gram_rows`).
+    Each length is written to the shared folder.
+    """
+    blocks = block_counts(docs, text_col)
+    count = lambda rows: rows.groupBy("word").agg(F.sum("n").alias("freq")).filter(F.col("freq") >= threshold)
+    if threshold < 2:  # every word counts
+        return count(gram_rows(blocks, 2, longest))
+    blocks = blocks.filter(F.char_length("block") >= 2).persist(StorageLevel.DISK_ONLY)  # each length reads them
+    levels, told = [], None
+    for k in range(2, longest + 1):
+        counted, path = count(gram_rows(blocks, k, k, told)), shared_folder(docs.sparkSession)
+        counted.write.parquet(path)
+        levels.append(docs.sparkSession.read.schema(counted.schema).parquet(path))
+        told = levels[-1]
+    blocks.unpersist()
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+def gram_rows(blocks: DataFrame, shortest: int, longest: int, frequent: DataFrame | None = None) -> DataFrame:
+    """(n, word): substrings of `shortest` to `longest` characters of the blocks (block, n).
+
+    With `frequent`, a written table of words, only those whose parts without the last and without the
+    first character may be among them.
     """
-    part = block_counts(docs, text_col).select("n", F.explode(T.pieces("block", longest - 1)).alias("piece"))
-    rows = part.select("n", F.explode(T.grams("piece", longest)).alias("word"))
-    return rows.groupBy("word").agg(F.sum("n").alias("freq")).filter(F.col("freq") >= threshold)
+    cut = blocks.select("n", F.explode(T.pieces("block", longest - 1)).alias("piece"))
+    rows = cut.select("n", F.explode(T.grams("piece", longest, shortest=shortest)).alias("word"))
+    if frequent is None:
+        return rows
+    known = word_filter(frequent)
+    return rows.filter(known(T.stem("word")) & known(T.rest("word")))
+
+
+def word_filter(words: DataFrame) -> Callable[[Column], Column]:
+    """A column function: whether a word may be in `words` (word, ...), a written table.
+
+    A bit for each hash, in one array of at most MOST_BITS bits that Spark makes as a scalar subquery.
+    """
+    bits = 1 << 12
+    while bits < min(MOST_BITS, WORD_BITS * words.count()):
+        bits <<= 1
+    place = lambda w: F.pmod(F.xxhash64(w), F.lit(bits))
+    on = words.select(place(F.col("word")).alias("h")).groupBy(F.shiftright("h", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, int(h & 63)))").alias("bits"))
+    slots = words.sparkSession.range(bits // 64).join(on, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    table = slots.agg(F.array_sort(F.collect_list(F.struct("id", "bits")))["bits"].alias("bits")).scalar()
+    return lambda w: F.getbit(F.get(table, F.shiftright(place(w), 6).cast("int")), place(w).bitwiseAND(63).cast("int")) == 1
 
 
 def word_ngrams(blocks: DataFrame, longest: int = LONGEST, block_col: str = "block") -> DataFrame:
@@ -151,6 +205,42 @@ def interference_candidates(feedback: DataFrame, longest: int | None = None) ->
     return cut.select(F.substring(F.col("t"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("word")).distinct()
 
 
+def straddling_words(feedback: DataFrame, words: DataFrame) -> DataFrame:
+    """(word): those of `words`, all distinct, that straddle a boundary of a feedback line.
+
+    Up to LEXICON_WORDS words are broadcast and searched in the lines, so a line costs its length times
+    the longest word at most; more are joined to the lines' substrings.
+    """
+    found = lattice.collect_lexicon(words.select("word", F.lit(0.0).alias("logp")))
+    if found is None:
+        longest = words.agg(F.max(F.char_length("word"))).first()[0] or 2
+        return words.join(interference_candidates(feedback, max(2, longest)), "word", "left_semi")
+    shared = feedback.sparkSession.sparkContext.broadcast(found.levels)
+
+    @F.arrow_udf("array<string>")
+    def search(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known = lattice.Words.of_levels(shared.value)
+        for lines, sizes in batches:
+            yield pa.array(across(known, lines.to_pylist(), sizes.to_pylist()), pa.list_(pa.string()))
+
+    f = F.col("f")
+    rows = feedback.select(T.fields("line").alias("f")).filter(F.size("f") >= 2)
+    rows = rows.select(search(F.array_join(f, ""), F.transform(f, lambda w: F.char_length(w))).alias("found"))
+    return rows.select(F.explode("found").alias("word")).distinct()
+
+
+def across(known: lattice.Words, lines: list[str], sizes: list[list[int]]) -> list[list[str]]:
+    """The distinct known words of each line that begin before and end behind one of its boundaries."""
+    out = []
+    for line, parts in zip(lines, sizes):
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        start, size, _ = known.found(codes)
+        bounds = np.cumsum(parts)[:-1]
+        hit = np.searchsorted(bounds, start, side="right") < np.searchsorted(bounds, start + size, side="left")
+        out.append(list({line[s : s + n] for s, n in zip(start[hit].tolist(), size[hit].tolist())}))
+    return out
+
+
 def prune_interference(lines: DataFrame, feedback: DataFrame) -> DataFrame:
     """User dictionary lines (line, ...) without what feedback contradicts.
 
@@ -162,8 +252,7 @@ def prune_interference(lines: DataFrame, feedback: DataFrame) -> DataFrame:
         F.get(f, F.lit(0)).alias("word"), F.coalesce(integer(F.get(f, F.lit(1))), F.lit(0)).alias("freq"), "layer", "ord"
     )
     latest = words.groupBy("word").agg(F.max_by(F.struct("freq", "layer", "ord"), F.struct("layer", "ord")).alias("w"))
-    longest = words.agg(F.max(F.char_length("word"))).first()[0] or 2
-    bad = latest.join(interference_candidates(feedback, max(2, longest)), "word", "left_semi").select("word")
+    bad = straddling_words(feedback, latest.select("word"))
     if bad.isEmpty():
         return lines.select("line", "layer", "ord")
     return latest.join(bad, "word", "left_anti").select(

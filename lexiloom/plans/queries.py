@@ -446,14 +446,24 @@ def train_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model_rows(*training.model_tables(spark, training.train_tagger(_sentences(spark, sf_dir), shards=None)))
 
 
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items."""
+    items = tables.benchmark(spark, sf_dir).select((-1 - F.col("item_id")).alias("doc_id"), tables.han("text").alias("text"))
+    return _han(spark, sf_dir).union(items)
+
+
 def segmentation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _han(spark, sf_dir).union(
-        tables.benchmark(spark, sf_dir).select((-1 - F.col("item_id")).alias("doc_id"), tables.han("text").alias("text"))
-    )
-    report = requests.segmentation_report(rows, _lexicon(spark, sf_dir), _tagger(spark, sf_dir))
+    report = requests.segmentation_report(_reported(spark, sf_dir), _lexicon(spark, sf_dir), _tagger(spark, sf_dir))
     return report.select("doc_id", F.md5("cut").alias("cut_md5"), "n_tokens")
 
 
+def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pass that writes the report counts on its way."""
+    report, seen = requests.observed_report(_reported(spark, sf_dir), _lexicon(spark, sf_dir), _tagger(spark, sf_dir))
+    told = requests.write_report(report, seen, _folder(spark))
+    return spark.createDataFrame([(told["texts"], told["characters"], told["tokens"])], "texts long, characters long, tokens long")
+
+
 # Pipelines and streams
 
 

@@ -23,6 +23,7 @@ QUERIES = {
         Q.corpus_to_sentences, Q.lexicon_to_sentences, Q.train_tagger, Q.segmentation_report,
         Q.absorb_feedback, Q.stream_log_filter, Q.stream_discover, Q.stream_feedback, Q.stream_segment,
         Q.evolve_core, Q.stream_words_loop, Q.cut_trained, Q.segment_lines_hybrid, Q.stream_segment_hybrid,
+        Q.report_metrics,
     )
 } | {"evolve": Q.evolve_vocabulary}
 
@@ -337,6 +338,10 @@ SELECT layer || ':' || ord AS sent_id, word AS chars, {_TAG_DIGITS.format(x='wor
     "segmentation_report": f"""{_HYBRID.replace(_BLOCK_SOURCE, _REPORT_SOURCE)}
 SELECT doc_id, md5(replace(rtrim(seg, chr(1)), chr(1), ' / ')) AS cut_md5,
        CAST(length(seg) - length(replace(seg, chr(1), '')) AS BIGINT) AS n_tokens FROM tokens2""",
+    "report_metrics": f"""{_HYBRID.replace(_BLOCK_SOURCE, _REPORT_SOURCE)}
+SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark) AS texts,
+       CAST((SELECT sum(length(text)) FROM documents) + (SELECT sum(length(text)) FROM benchmark) AS BIGINT) AS characters,
+       CAST((SELECT sum(length(seg) - length(replace(seg, chr(1), ''))) FROM tokens2) AS BIGINT) AS tokens""",
     "segment_requests": f"""WITH RECURSIVE {LEXICON},{BLOCKS.replace(_BLOCK_SOURCE, _REQUEST_SOURCE)},{EDGES},{PATHS},{_PIECES},{MODEL},
 {EMISSIONS.replace('FROM todo', 'FROM (SELECT block FROM todo UNION SELECT block FROM gaps)')},{VITERBI},{_SENT},
 {_FOLD.format(id='block', source='sent')},{_JOINED},

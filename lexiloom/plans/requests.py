@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexiloom.operators import lattice
@@ -49,3 +50,24 @@ def segmentation_report(sentences: DataFrame, lexicon: DataFrame, model=None, mo
     """The rows with `cut`, the tokens joined by ` / `, and their number."""
     out = lattice.segment(sentences, text_col, lexicon, model, mode)
     return out.withColumn("cut", F.array_join("tokens", " / ")).withColumn("n_tokens", F.size("tokens").cast("long")).drop("tokens")
+
+
+def observed_report(
+    sentences: DataFrame, lexicon: DataFrame, model=None, mode: str = "hybrid", text_col: str = "text"
+) -> tuple[DataFrame, Observation]:
+    """The report and its metrics (texts, characters, tokens), which the pass that reads the report counts."""
+    seen = Observation("segmentation report")
+    report = segmentation_report(sentences, lexicon, model, mode, text_col)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return report.observe(
+        seen, F.count("*").alias("texts"), total(F.char_length(text_col)).alias("characters"), total("n_tokens").alias("tokens")
+    ), seen
+
+
+def write_report(report: DataFrame, seen: Observation, path: str) -> dict[str, float]:
+    """The report as a table at `path`; its metrics, the seconds it took and characters a second."""
+    began = time.perf_counter()
+    report.write.parquet(path)
+    took = time.perf_counter() - began
+    metrics = dict(seen.get)
+    return metrics | {"seconds": took, "characters_per_second": metrics["characters"] / took}

@@ -36,6 +36,28 @@ def test_discovery_counts_every_occurrence(spark):
     assert words(V.discover_words(docs, 5)) == {w: n for w, n in counts.items() if n >= 5}
 
 
+def test_parts_that_are_rare_save_longer_words_the_count(spark):
+    rng = random.Random(8)
+    texts = ["".join(chr(0x4E00 + int(rng.paretovariate(0.6)) % 3000) for _ in range(300)) for _ in range(60)] * 2 + ["甲乙丙丁戊" * 3] * 4 + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = V.gram_rows(V.block_counts(docs), 2, 4)
+    plain = rows.groupBy("word").agg(V.F.sum("n").alias("freq")).filter("freq >= 5")
+    got = V.discover_words(docs, 5)
+    assert words(got) == words(plain) and "甲乙丙丁" in words(got)
+    pairs = got.filter("char_length(word) = 2")
+    asked = V.gram_rows(V.block_counts(docs), 3, 3, pairs).select("word").distinct()
+    every = V.gram_rows(V.block_counts(docs), 3, 3).select("word").distinct()
+    assert 2 * asked.count() < every.count()
+    assert got.filter("char_length(word) = 3").join(asked, "word", "left_anti").isEmpty()
+
+
+def test_a_full_filter_loses_no_word(spark, monkeypatch):
+    monkeypatch.setattr(V, "MOST_BITS", 1 << 6)
+    docs = spark.createDataFrame([("甲乙丙丁 abcd abce",)] * 6, "text string")
+    assert words(V.discover_words(docs, 5, longest=6)) == words(V.discover_words(docs, 1, longest=6).filter("freq >= 5"))
+    assert words(V.discover_words(docs.limit(0), 5)) == {}
+
+
 def test_prefixes_and_suffixes(spark):
     kept = V.prune_prefixes(table(spark, [("信息", 100), ("信息科", 95), ("信息科技", 10)]), 0.9)
     assert set(words(kept)) == {"信息科", "信息科技"}
@@ -85,6 +107,30 @@ def test_interference(spark):
     assert bounded == {"京大", "京大学", "北京大"}
 
 
+def test_words_across_boundaries_are_searched_as_they_are_joined(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("甲乙丙😀") for _ in range(n))
+    feedback = lines(spark, [" ".join(word(rng.randrange(1, 5)) for _ in range(rng.randrange(6))) for _ in range(60)] + [None, ""])
+    known = spark.createDataFrame([(w,) for w in {word(rng.randrange(1, 6)) for _ in range(150)}], "word string")
+    got = {r["word"] for r in V.straddling_words(feedback, known).collect()}
+    told = {r["word"] for r in V.interference_candidates(feedback).join(known, "word").collect()}
+    assert got == told and got
+    monkeypatch.setattr(V.lattice, "LEXICON_WORDS", 1)
+    assert {r["word"] for r in V.straddling_words(feedback, known).collect()} == told
+
+
+def test_long_feedback_lines(spark):
+    rng = random.Random(6)
+    line = " ".join("".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(rng.randrange(1, 4))) for _ in range(50_000))
+    flat = line.replace(" ", "")
+    known = {flat[k : k + 3] for k in range(0, 3000, 7)}
+    sizes = [len(w) for w in line.split()]
+    bounds = set(V.np.cumsum(sizes)[:-1].tolist())
+    expected = {w for w in known if any(flat.startswith(w, k) and bounds & {k + 1, k + 2} for k in range(len(flat)) if flat[k] == w[0])}
+    user = spark.createDataFrame([(w,) for w in known], "word string")
+    assert {r["word"] for r in V.straddling_words(lines(spark, [line]), user).collect()} == expected
+
+
 def test_absorbed_feedback(spark):
     user = lines(spark, ["老词 3", "老词 4"])
     got = words(V.absorb_feedback(user, lines(spark, ["新词", "老词 5"], first="1")))
