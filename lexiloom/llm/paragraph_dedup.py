@@ -1,10 +1,12 @@
 r"""Substring deduplication: MinHash banding of paragraphs, exact Jaccard, components.
 
-A paragraph is a run of whole sentences of one line. It ends with the line, with a sentence of `LONG`
-words or more, and with every other shorter one, told by a hash of its last two words; sentences of more
-than `RUN` words, such as text without stops, are cut where a hash of two words is the least of `AROUND`
-words on both sides. Where a paragraph ends thus depends on the words there alone, so a passage put into
-another text falls into the same paragraphs in it. Paragraphs of fewer than `LEAST` words are left alone.
+A paragraph is a run of whole sentences of one line, or of lines of fewer than `LEAST` words that follow
+one another (verse, lists). It ends with the line, with a sentence of `LONG` words or more, and with every
+other shorter one, told by a hash of its last two words; between two short lines it ends at every third
+place, told likewise; sentences of more than `RUN` words, such as text without stops, are cut where a hash
+of two words is the least of `AROUND` words on both sides. Where a paragraph ends thus depends on the words
+around alone, so a passage put into another text falls into the same paragraphs in it. Paragraphs that
+still have fewer than `LEAST` words are left alone.
 
 Equal paragraphs are one node, by a hash of their words. Each node shows the least value of `bands`
 x `rows` hash functions over its five-word shingles; `tuned_bands` picks the fewest values that find
@@ -28,7 +30,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexiloom.llm.common import BROADCAST_ROWS, discard, documents, key_filter, small_batches, stage
 from lexiloom.llm.components import connected_components
@@ -36,7 +37,7 @@ from lexiloom.llm.jaccard_join import join_regions, once_each
 from lexiloom.llm.shingles import SHINGLE, mix64, word_hashes, word_places
 
 LONG = 12
-RUN, AROUND = 48, 6
+RUN, AROUND = 32, 6
 LEAST = 10
 RECALL = 0.995
 _SEEN = 200_000
@@ -83,12 +84,18 @@ class Paragraphs:
             return
         lines = np.cumsum(raw == 10)
         last = np.append(lines[start[1:]] != lines[start[:-1]], True)  # the last word of its line
+        ends = np.flatnonzero(last)
+        thin = np.diff(ends, prepend=-1) < LEAST  # lines of few words
+        inner = np.zeros(len(start), dtype=bool)  # the end of a line between two such
+        inner[ends[:-1]] = thin[:-1] & thin[1:]
         stop = _ENDS[raw[end - 1]] | last
         at = np.flatnonzero(stop)
         length = np.diff(at, prepend=-1)  # words of each sentence
         w = word_hashes(text)
         pair = mix64(w + mix64(np.append(np.uint64(0), w[:-1])))
-        close = at[(length >= LONG) | last[at] | (pair[at] % np.uint64(2) == 0)]
+        often = np.where(inner[at], pair[at] % np.uint64(3) == 0, pair[at] % np.uint64(2) == 0)
+        close = at[(length >= LONG) | (last[at] & ~inner[at]) | often]
+        close = np.union1d(close, at[-1:])
         if length.max() > RUN:
             close = np.union1d(close, np.flatnonzero(np.repeat(length > RUN, length) & (pair == _least_around(pair))))
         self.lo = np.append(0, close[:-1] + 1)  # first word of each paragraph
@@ -130,7 +137,7 @@ class Paragraphs:
 
 def band_rows(docs: DataFrame, text_col: str) -> DataFrame:
     """(key, n, bands): the long paragraphs with their bands. Equal ones come once a batch with their number,
-    and with their bands once a task, so that a very common one costs a row of each task."""
+    and with their bands once a task, as far as it remembers `_SEEN` keys."""
     bands, rows = tuned_bands()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +154,7 @@ def band_rows(docs: DataFrame, text_col: str) -> DataFrame:
                 key, first, n = np.unique(key, return_index=True, return_counts=True)
                 yield pd.DataFrame({"key": key, "n": n, "bands": [None if k in seen else b for k, b in zip(key.tolist(), band[first])]})
                 if len(seen) < _SEEN:
-                    seen.update(key[n > 1].tolist())
+                    seen.update(key.tolist())
 
     return docs.select(F.col(text_col).alias("text")).mapInPandas(scan, "key long, n long, bands array<long>")
 
@@ -155,14 +162,25 @@ def band_rows(docs: DataFrame, text_col: str) -> DataFrame:
 def _collisions(shown: DataFrame) -> DataFrame:
     """(pivot, key) of the nodes in a band with another node; the pivot is the least of them.
 
-    Nodes that collide in several bands under one pivot meet in one region.
+    Nodes that collide in several bands under one pivot meet in one region. Bands are counted by partial
+    aggregates, and only nodes of those that two share go on to a join, which splits a band of many nodes.
     """
     rows = shown.filter("bands IS NOT NULL").select("key", F.explode("bands").alias("band"))
-    one = Window.partitionBy("band")
-    return (
-        rows.select("key", F.min("key").over(one).alias("pivot"), F.max("key").over(one).alias("last"))
-        .filter("pivot <> last").select("pivot", "key").distinct()
-    )
+    ends = rows.groupBy("band").agg(F.min("key").alias("pivot"), F.max("key").alias("last"))
+    met = stage(ends.filter("pivot <> last").select("band", "pivot"), "para-met")
+    may_meet = key_filter(met, "band")
+
+    def those(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            size = pdf["bands"].map(len).to_numpy(dtype=np.int64)
+            band = np.concatenate(pdf["bands"].to_numpy()) if len(pdf) else np.zeros(0, dtype=np.int64)
+            keep = may_meet(band)
+            yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(), size)[keep], "band": band[keep]})
+
+    meeting = shown.filter("bands IS NOT NULL").select("key", "bands").mapInPandas(those, "key long, band long")
+    out = stage(meeting.join(met, "band").select("pivot", "key").distinct(), "para-collisions")
+    discard(met)
+    return out
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, near: DataFrame) -> DataFrame:
@@ -212,10 +230,11 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     shown = stage(band_rows(docs, text_col), "para-bands")
     repeated = shown.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
-    collisions = stage(_collisions(shown), "para-collisions")
+    collisions = _collisions(shown)
     near = collisions.select("key").distinct()
     near = stage(near, "para-near")
     wanted = stage(repeated.union(near).distinct(), "para-wanted")
+    discard(shown)
     read = stage(_occurrences(docs, id_col, text_col, wanted, near), "para-read")
     found = read.select("id", F.explode("found").alias("f")).select("id", "f.*")
     sets = found.filter("shingles IS NOT NULL").select(F.col("key").alias("row"), "shingles")
@@ -224,7 +243,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = collisions.select(F.col("pivot").cast("string").alias("region"), F.col("key").alias("row")).join(sizes, "row")
     members = stage(members.withColumn("digest", F.format_string("%016x", "row")), "para-members")
     linked = connected_components(join_regions(members, sets))
-    discard(shown, collisions, members, sets)
+    discard(collisions, members, sets)
     signed = lambda c: F.conv(c, 16, -10).cast("long")
     comps = linked.select(signed("node").alias("key"), signed("component").alias("component"))
     named = found.select("id", "no", "start", "end", "key").join(_few(comps), "key", "left").select(

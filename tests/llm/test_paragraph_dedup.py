@@ -47,6 +47,28 @@ def test_passages_without_stops_and_of_short_sentences(make):
     assert found >= 24  # of 28
 
 
+def test_verse_and_lists_of_short_lines(make):
+    rng = random.Random(4)
+    lines = lambda n: "\n".join(x.rstrip(".") for x in sentences(rng, n, 6))
+    poem, listing = lines(20), lines(200)
+    around = lambda text: f"{sentences(rng, 1)[0]}\n{text}\n\n{sentences(rng, 1)[0]}"
+    rows = [(k, around(poem)) for k in (0, 1)] + [(k, around(listing)) for k in (2, 3)] + [(4, around(lines(20))), (5, "heading\n" + sentences(rng, 1)[0])]
+    got = {r["id"]: r for r in D.paragraph_dedup(make(rows)).collect()}
+    assert all(got[k]["n_repeated"] >= 2 for k in (0, 1)) and all(got[k]["n_repeated"] >= 30 for k in (2, 3))
+    assert got[0]["n_removed"] == got[2]["n_removed"] == 0 and got[1]["n_removed"] == got[1]["n_repeated"]
+    assert got[4]["n_repeated"] == got[5]["n_repeated"] == 0 and got[5]["n_paragraphs"] == 2
+    for r in got[3]["removed"]:
+        assert rows[3][1][r["start"] : r["end"]] in listing
+
+
+def test_a_band_of_very_many_near_paragraphs(make):
+    base = sentences(random.Random(7), 1, 40)[0].split()
+    rows = [(k, " ".join([*base[:39], f"no{k}."])) for k in range(600)]
+    got = {r["id"]: r for r in D.paragraph_dedup(make(rows)).collect()}
+    assert all(r["n_repeated"] >= 1 for r in got.values()) and got[0]["n_removed"] == 0
+    assert sum(r["n_removed"] for r in got.values()) >= 599
+
+
 def test_near_paragraphs_by_brute_force(make):
     rng = random.Random(2)
     rows = []
