@@ -26,6 +26,9 @@ NOISE_RATIO = 5.0
 NEW_WORD_FREQ = 10000
 #: Bits a word in the filter of frequent words, and its bits at most; beyond them it only lets more words pass.
 WORD_BITS, MOST_BITS = 16, 1 << 26
+#: Characters of distinct blocks whose n-grams are counted in one pass; of more, each length takes a pass and
+#: its shuffle carries only words that may be frequent.
+ONE_PASS = 100_000_000
 
 
 def block_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -36,19 +39,19 @@ def block_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def discover_words(docs: DataFrame, threshold: int = CORPUS_THRESHOLD, longest: int = LONGEST, text_col: str = "text") -> DataFrame:
     """(word, freq): substrings of 2 to `longest` characters inside blocks, at least `threshold` times.
 
-    Distinct blocks are counted first, so that the n-gram shuffle carries each block once. Lengths are
-    counted one after another: a word is no more frequent than its parts without the first and without
-    the last character, so only words whose parts are frequent are counted and shuffled (`gram_rows`).
-    Each length is written to the shared folder.
+    Distinct blocks are counted first, so that the n-gram shuffle carries each block once. Where they have
+    more than ONE_PASS characters, lengths are counted one after another: a word is no more frequent than
+    its parts without the first and without the last character, so only words whose parts are frequent are
+    counted and shuffled (`gram_rows`). What a pass finds is written to the shared folder.
     """
     blocks = block_counts(docs, text_col)
     count = lambda rows: rows.groupBy("word").agg(F.sum("n").alias("freq")).filter(F.col("freq") >= threshold)
-    if threshold < 2:  # every word counts
-        return count(gram_rows(blocks, 2, longest))
-    blocks = blocks.filter(F.char_length("block") >= 2).persist(StorageLevel.DISK_ONLY)  # each length reads them
+    blocks = blocks.filter(F.char_length("block") >= 2).persist(StorageLevel.DISK_ONLY)  # each pass reads them
+    chars = blocks.agg(F.sum(F.char_length("block"))).first()[0] or 0
+    passes = [(2, longest)] if chars <= ONE_PASS else [(k, k) for k in range(2, longest + 1)]
     levels, told = [], None
-    for k in range(2, longest + 1):
-        counted, path = count(gram_rows(blocks, k, k, told)), shared_folder(docs.sparkSession)
+    for shortest, most in passes:
+        counted, path = count(gram_rows(blocks, shortest, most, told)), shared_folder(docs.sparkSession)
         counted.write.parquet(path)
         levels.append(docs.sparkSession.read.schema(counted.schema).parquet(path))
         told = levels[-1]

@@ -36,7 +36,8 @@ def test_discovery_counts_every_occurrence(spark):
     assert words(V.discover_words(docs, 5)) == {w: n for w, n in counts.items() if n >= 5}
 
 
-def test_parts_that_are_rare_save_longer_words_the_count(spark):
+def test_parts_that_are_rare_save_longer_words_the_count(spark, monkeypatch):
+    monkeypatch.setattr(V, "ONE_PASS", 0)
     rng = random.Random(8)
     texts = ["".join(chr(0x4E00 + int(rng.paretovariate(0.6)) % 3000) for _ in range(300)) for _ in range(60)] * 2 + ["甲乙丙丁戊" * 3] * 4 + [None, ""]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
@@ -53,6 +54,7 @@ def test_parts_that_are_rare_save_longer_words_the_count(spark):
 
 def test_a_full_filter_loses_no_word(spark, monkeypatch):
     monkeypatch.setattr(V, "MOST_BITS", 1 << 6)
+    monkeypatch.setattr(V, "ONE_PASS", 0)
     docs = spark.createDataFrame([("甲乙丙丁 abcd abce",)] * 6, "text string")
     assert words(V.discover_words(docs, 5, longest=6)) == words(V.discover_words(docs, 1, longest=6).filter("freq >= 5"))
     assert words(V.discover_words(docs.limit(0), 5)) == {}
