@@ -4,7 +4,8 @@ A paragraph is a run of whole sentences of one line, or of lines of fewer than `
 one another (verse, lists). It ends with the line, with a sentence of `LONG` words or more, and with every
 other shorter one, told by a hash of its last two words; between two short lines it ends at every third
 place, told likewise; sentences of more than `RUN` words, such as text without stops, are cut where a hash
-of two words is the least of `AROUND` words on both sides. Where a paragraph ends thus depends on the words
+of two words is the least of `AROUND` words on both sides, and every `STEP` words or a little more where
+the same few words come again and again. Where a paragraph ends thus depends on the words
 around alone, so a passage put into another text falls into the same paragraphs in it. Paragraphs that
 still have fewer than `LEAST` words are left alone.
 
@@ -37,7 +38,7 @@ from lexiloom.llm.jaccard_join import join_regions, once_each
 from lexiloom.llm.shingles import SHINGLE, mix64, word_hashes, word_places
 
 LONG = 12
-RUN, AROUND = 32, 6
+RUN, AROUND, STEP = 32, 6, 12
 LEAST = 10
 RECALL = 0.995
 _SEEN = 200_000
@@ -71,6 +72,16 @@ def _least_around(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _cut_places(values: np.ndarray) -> np.ndarray:
+    """Places whose value is the least around; of equal ones that follow closely (words that repeat), one in `STEP` words."""
+    at = np.flatnonzero(values == _least_around(values))
+    if not len(at):
+        return at
+    opens = np.diff(at, prepend=at[0] - AROUND - 1) > AROUND
+    since = at - at[np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))]
+    return at[opens | (np.diff(since // STEP, prepend=-1) != 0)]
+
+
 class Paragraphs:
     """Paragraphs of one text: places in code points, hashes and shingles."""
 
@@ -97,7 +108,8 @@ class Paragraphs:
         close = at[(length >= LONG) | (last[at] & ~inner[at]) | often]
         close = np.union1d(close, at[-1:])
         if length.max() > RUN:
-            close = np.union1d(close, np.flatnonzero(np.repeat(length > RUN, length) & (pair == _least_around(pair))))
+            places = _cut_places(pair)
+            close = np.union1d(close, places[np.repeat(length > RUN, length)[places]])
         self.lo = np.append(0, close[:-1] + 1)  # first word of each paragraph
         self.hi = close + 1
         self.words = self.hi - self.lo

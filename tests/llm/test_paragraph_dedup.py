@@ -61,6 +61,20 @@ def test_verse_and_lists_of_short_lines(make):
         assert rows[3][1][r["start"] : r["end"]] in listing
 
 
+def test_words_that_come_again_and_again(make):
+    rng = random.Random(5)
+    plain = lambda n: " ".join(x.rstrip(".") for x in sentences(rng, 1, n))
+    for period in (1, 2, 3, 4, 5, 6):
+        phrase = plain(period)
+        rows = [f"{plain(40)} {' '.join([phrase] * (n // period))} {plain(40)}" for n in (60, 75)] + [plain(160)]
+        parts = [Paragraphs(t) for t in rows]
+        keys = [set(p.key[p.long].tolist()) for p in parts]
+        assert keys[0] & keys[1] and not keys[2] & (keys[0] | keys[1])
+    got = {r["id"]: r for r in D.paragraph_dedup(make([(0, "Of " * 300), (1, "x. " + "of " * 80), (2, plain(90)), (3, "of " * 5)])).collect()}
+    assert got[0]["n_repeated"] > 20 and got[1]["n_repeated"] >= 4 and got[1]["n_removed"] == got[1]["n_repeated"]
+    assert got[2]["n_repeated"] == got[3]["n_repeated"] == 0
+
+
 def test_a_band_of_very_many_near_paragraphs(make):
     base = sentences(random.Random(7), 1, 40)[0].split()
     rows = [(k, " ".join([*base[:39], f"no{k}."])) for k in range(600)]
