@@ -26,7 +26,6 @@ occurrences with the same place; no rows in, no rows out; other columns are not
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -122,22 +121,13 @@ class Paragraphs:
         sums = np.append(np.uint64(0), np.cumsum(mix64(w ^ mix64(place.astype(np.uint64) + _BASE)), dtype=np.uint64))
         self.key = mix64(sums[self.hi] - sums[self.lo] + self.words.astype(np.uint64)).view(np.int64)
         self.long = self.words >= LEAST
-        self._hashes = w
-
-    def _shingled(self, lo: int, hi: int) -> np.ndarray:
-        """Hashes of the shingles of the words from `lo` to `hi`, in order."""
-        w = self._hashes[lo:hi]
         h = np.zeros(max(0, len(w) - SHINGLE + 1), dtype=np.uint64)
         for j in range(SHINGLE):
             h = mix64(h * _BASE + w[j : j + len(h)])
-        return h
-
-    @cached_property
-    def shingle(self) -> np.ndarray:
-        return self._shingled(0, len(self._hashes))
+        self.shingle = h
 
     def shingles(self, i: int) -> np.ndarray:
-        return np.unique(self._shingled(self.lo[i], self.hi[i]))
+        return np.unique(self.shingle[self.lo[i] : self.hi[i] - SHINGLE + 1])
 
     def bands(self, bands: int, rows: int) -> np.ndarray:
         """Keys of the bands of the long paragraphs, shape (paragraphs, bands)."""
