@@ -17,7 +17,8 @@ a bucket), links give components, and of each component the first occurrence (le
 least paragraph) stays; all others are removed.
 
 Two scans of the texts: the first shows the bands, the second reads paragraphs that repeat or
-collide, found by a filter of bounded size. Counting is by partial aggregates.
+collide, found by a filter of bounded size. Both read the texts of a batch together, about `TOGETHER`
+characters at once and a longer text alone. Counting is by partial aggregates.
 
 Defined results: null or empty texts have no paragraphs; rows that repeat an id count as
 occurrences with the same place; no rows in, no rows out; other columns are not read.
@@ -28,19 +29,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import BROADCAST_ROWS, discard, documents, key_filter, small_batches, stage
 from lexiloom.llm.components import connected_components
 from lexiloom.llm.jaccard_join import join_regions, once_each
-from lexiloom.llm.shingles import SHINGLE, mix64, word_hashes, word_places
+from lexiloom.llm.shingles import SHINGLE, byte_word_hashes, mix64, word_places
 
 LONG = 12
 RUN, AROUND, STEP = 32, 6, 12
 LEAST = 10
 RECALL = 0.995
+TOGETHER = 1 << 18
 _SEEN = 200_000
 SIMILARITY = 0.75
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -63,59 +66,89 @@ def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: in
 
 
 def _least_around(values: np.ndarray) -> np.ndarray:
-    """For each value the least of it and `AROUND` neighbours on both sides."""
-    rim = np.full(AROUND, np.iinfo(np.uint64).max, dtype=np.uint64)
-    wide = np.concatenate((rim, values, rim))
-    out = values.copy()
-    for d in range(2 * AROUND + 1):
-        np.minimum(out, wide[d : d + len(values)], out=out)
-    return out
-
-
-def _cut_places(values: np.ndarray) -> np.ndarray:
-    """Places whose value is the least around; of equal ones that follow closely (words that repeat), one in `STEP` words."""
-    at = np.flatnonzero(values == _least_around(values))
-    if not len(at):
-        return at
+    """For each value but `AROUND` at both ends the least of it and `AROUND` neighbours on both sides."""
+    width = 1
+    while width <= 2 * AROUND:
+        step = min(width, 2 * AROUND + 1 - width)
+        values = np.minimum(values[:-step], values[step:])
+        width += step
+    return values
+
+
+def _cut_places(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Places whose value is the least around in its text; of equal ones that follow closely (words that repeat),
+    one in `STEP` words. `heads` are the first places of the texts."""
+    rims = np.zeros(len(values), dtype=np.int64)
+    rims[heads] = AROUND
+    place = np.arange(len(values)) + np.cumsum(rims)  # texts apart by a rim of `AROUND`
+    wide = np.full(place[-1] + AROUND + 1, np.iinfo(np.uint64).max, dtype=np.uint64)
+    wide[place] = values
+    found = np.flatnonzero(values == _least_around(wide)[place - AROUND])
+    if not len(found):
+        return found
+    at = place[found]
     opens = np.diff(at, prepend=at[0] - AROUND - 1) > AROUND
     since = at - at[np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))]
-    return at[opens | (np.diff(since // STEP, prepend=-1) != 0)]
+    return found[opens | (np.diff(since // STEP, prepend=-1) != 0)]
+
+
+def together(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts that follow one another, of `TOGETHER` characters at most or one text."""
+    some: list[str | None] = []
+    size = 0
+    for t in texts:
+        n = len(t or "")
+        if some and size + n > TOGETHER:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += n
+    if some:
+        yield some
 
 
 class Paragraphs:
-    """Paragraphs of one text: places in code points, hashes and shingles."""
+    """Paragraphs of one text, or of several one after another: hashes, shingles and places in code points of
+    their text. `first` is each text's first paragraph, `counts` their number."""
 
-    def __init__(self, text: str | None) -> None:
-        self.count = 0
-        if not text:
-            return
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    def __init__(self, *texts: str | None) -> None:
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        raw = np.frombuffer(b"\n".join(parts), dtype=np.uint8)  # no word goes over the end of a line
         start, end = word_places(raw)
+        self.count = 0
+        self.first = self.counts = np.zeros(len(parts), dtype=np.int64)
         if not len(start):
             return
-        lines = np.cumsum(raw == 10)
-        last = np.append(lines[start[1:]] != lines[start[:-1]], True)  # the last word of its line
+        begins = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])  # first byte of each text
+        words = np.searchsorted(start, begins)  # first word of each text, or of the next that has any
+        heads = np.unique(words[words < len(start)])
+        last = np.zeros(len(start), dtype=bool)  # the last word of its line
+        before = np.searchsorted(start, np.flatnonzero(raw == 10)) - 1
+        last[before[before >= 0]] = last[-1] = True
         ends = np.flatnonzero(last)
         thin = np.diff(ends, prepend=-1) < LEAST  # lines of few words
         inner = np.zeros(len(start), dtype=bool)  # the end of a line between two such
         inner[ends[:-1]] = thin[:-1] & thin[1:]
+        inner[heads - 1] = False  # a text ends; of the first text the last word, which is no inner one
         stop = _ENDS[raw[end - 1]] | last
         at = np.flatnonzero(stop)
         length = np.diff(at, prepend=-1)  # words of each sentence
-        w = word_hashes(text)
-        pair = mix64(w + mix64(np.append(np.uint64(0), w[:-1])))
+        w = byte_word_hashes(raw)
+        previous = np.append(np.uint64(0), w[:-1])
+        previous[heads] = 0
+        pair = mix64(w + mix64(previous))
         often = np.where(inner[at], pair[at] % np.uint64(3) == 0, pair[at] % np.uint64(2) == 0)
         close = at[(length >= LONG) | (last[at] & ~inner[at]) | often]
-        close = np.union1d(close, at[-1:])
         if length.max() > RUN:
-            places = _cut_places(pair)
+            places = _cut_places(pair, heads)
             close = np.union1d(close, places[np.repeat(length > RUN, length)[places]])
         self.lo = np.append(0, close[:-1] + 1)  # first word of each paragraph
         self.hi = close + 1
         self.words = self.hi - self.lo
         self.count = len(self.lo)
-        chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
-        self.start, self.end = chars[start[self.lo]], chars[end[self.hi - 1]]
+        self.first = np.searchsorted(self.lo, words)
+        self.counts = np.diff(self.first, append=self.count)
+        self._raw, self._begins, self._start, self._end = raw, begins, start, end
         # Order counts: each word is weighted by its place in its paragraph.
         place = np.arange(len(w)) - np.repeat(self.lo, self.words)
         sums = np.append(np.uint64(0), np.cumsum(mix64(w ^ mix64(place.astype(np.uint64) + _BASE)), dtype=np.uint64))
@@ -126,6 +159,15 @@ class Paragraphs:
             h = mix64(h * _BASE + w[j : j + len(h)])
         self.shingle = h
 
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the paragraphs `at`: number of their text, first code point there and the one past the end."""
+        text = np.searchsorted(self.first, at, side="right") - 1
+        inside = np.flatnonzero((self._raw & 0xC0) == 0x80)  # bytes that begin no character
+        begin, start, end = (
+            b - np.searchsorted(inside, b) for b in (self._begins[text], self._start[self.lo[at]], self._end[self.hi[at] - 1])
+        )
+        return text, start - begin, end - begin
+
     def shingles(self, i: int) -> np.ndarray:
         return np.unique(self.shingle[self.lo[i] : self.hi[i] - SHINGLE + 1])
 
@@ -152,23 +194,26 @@ def band_rows(docs: DataFrame, text_col: str) -> DataFrame:
     and with their bands once a task, as far as it remembers `_SEEN` keys."""
     bands, rows = tuned_bands()
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for pdf in batches:
+        for batch in batches:
             keys, shown = [], []
-            for t in pdf["text"]:
-                p = Paragraphs(t)
+            for texts in together(batch.column(0).to_pylist()):
+                p = Paragraphs(*texts)
                 if p.count and p.long.any():
                     keys.append(p.key[p.long])
                     shown.append(p.bands(bands, rows))
             if keys:
                 key, band = np.concatenate(keys), np.concatenate(shown)
                 key, first, n = np.unique(key, return_index=True, return_counts=True)
-                yield pd.DataFrame({"key": key, "n": n, "bands": [None if k in seen else b for k, b in zip(key.tolist(), band[first])]})
+                fresh = np.array([k not in seen for k in key.tolist()])
+                ends = np.append(0, np.cumsum(fresh * bands)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(band[first[fresh]].ravel()), mask=pa.array(~fresh))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), lists], names=["key", "n", "bands"])
                 if len(seen) < _SEEN:
                     seen.update(key.tolist())
 
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(scan, "key long, n long, bands array<long>")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(scan, "key long, n long, bands array<long>")
 
 
 def _collisions(shown: DataFrame) -> DataFrame:
@@ -182,14 +227,15 @@ def _collisions(shown: DataFrame) -> DataFrame:
     met = stage(ends.filter("pivot <> last").select("band", "pivot"), "para-met")
     may_meet = key_filter(met, "band")
 
-    def those(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            size = pdf["bands"].map(len).to_numpy(dtype=np.int64)
-            band = np.concatenate(pdf["bands"].to_numpy()) if len(pdf) else np.zeros(0, dtype=np.int64)
+    def those(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, bands = batch.column(0).to_numpy(), batch.column(1)
+            band = bands.flatten().to_numpy()
             keep = may_meet(band)
-            yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(), size)[keep], "band": band[keep]})
+            row = np.repeat(key, pc.list_value_length(bands).to_numpy())[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(band[keep])], names=["key", "band"])
 
-    meeting = shown.filter("bands IS NOT NULL").select("key", "bands").mapInPandas(those, "key long, band long")
+    meeting = shown.filter("bands IS NOT NULL").select("key", "bands").mapInArrow(those, "key long, band long")
     out = stage(meeting.join(met, "band").select("pivot", "key").distinct(), "para-collisions")
     discard(met)
     return out
@@ -203,26 +249,33 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame,
     may_hold, may_join = key_filter(wanted, "key"), key_filter(near, "key")
     places = "array<struct<no: long, start: long, `end`: long, words: long, key: long, shingles: binary>>"
 
-    @F.pandas_udf(f"struct<n: long, found: {places}>")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(f"struct<n: long, found: {places}>")
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen: set[int] = set()
-        for texts in batches:
-            out = []
-            for t in texts:
-                p = Paragraphs(t)
-                found = []
-                join = may_join(p.key) if p.count else None
-                if p.count:
-                    for i in np.flatnonzero(p.long & may_hold(p.key)):
-                        k = int(p.key[i])
-                        s = p.shingles(i).tobytes() if join[i] and k not in seen else None
-                        if s is not None and len(seen) < _SEEN:
-                            seen.add(k)
-                        found.append(
-                            {"no": int(i), "start": int(p.start[i]), "end": int(p.end[i]), "words": int(p.words[i]), "key": k, "shingles": s}
-                        )
-                out.append((p.count, found))
-            yield pd.DataFrame(out, columns=["n", "found"])
+        for column in batches:
+            counts, sizes, parts, shingles = [], [], [], []
+            for texts in together(column.to_pylist()):
+                p = Paragraphs(*texts)
+                counts.append(p.counts)
+                at = np.flatnonzero(p.long & may_hold(p.key)) if p.count else np.zeros(0, dtype=np.int64)
+                if not len(at):
+                    sizes.append(np.zeros(len(texts), dtype=np.int64))
+                    continue
+                text, start, end = p.places(at)
+                sizes.append(np.bincount(text, minlength=len(texts)))
+                parts.append(np.stack((at - p.first[text], start, end, p.words[at], p.key[at])))
+                for i, k, join in zip(at.tolist(), p.key[at].tolist(), may_join(p.key[at]).tolist()):
+                    new = join and k not in seen
+                    shingles.append(p.shingles(i).tobytes() if new else None)
+                    if new and len(seen) < _SEEN:
+                        seen.add(k)
+            numbers = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), dtype=np.int64)
+            found = pa.StructArray.from_arrays(
+                [*(pa.array(x) for x in numbers), pa.array(shingles, pa.binary())], names=["no", "start", "end", "words", "key", "shingles"]
+            )
+            ends = np.append(0, np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *sizes]))).astype(np.int32)
+            n = np.concatenate([np.zeros(0, dtype=np.int64), *counts])
+            yield pa.StructArray.from_arrays([pa.array(n), pa.ListArray.from_arrays(pa.array(ends), found)], names=["n", "found"])
 
     return docs.select(F.col(id_col).alias("id"), scan(F.col(text_col)).alias("s")).select("id", "s.n", "s.found")
 

@@ -54,10 +54,12 @@ def word_places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A hash for each word ([^\\x20\\x09-\\x0D]+ after A-Z to a-z), in order."""
-    if not text:
-        return np.zeros(0, dtype=np.uint64)
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    out, lo = [], 0
+    return byte_word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8))
+
+
+def byte_word_hashes(raw: np.ndarray) -> np.ndarray:
+    """`word_hashes` of UTF-8 bytes."""
+    out, lo = [np.zeros(0, dtype=np.uint64)], 0
     while lo < len(raw):
         hi = min(len(raw), lo + _CHUNK)
         while hi < len(raw) and not _WHITE[raw[hi]]:  # a chunk ends between words

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 from collections import defaultdict
 
 from lexiloom.llm import paragraph_dedup as D
@@ -123,3 +124,74 @@ def test_a_very_common_paragraph_and_a_very_long_text(make):
     got = {r["id"]: r for r in D.paragraph_dedup(make(rows)).collect()}
     assert got[0]["n_removed"] == 0 and all(got[k]["n_removed"] == 1 for k in range(1, 400))
     assert got[999]["n_paragraphs"] == 4000 and got[999]["n_removed"] == 0
+
+
+def odd_texts(rng, n):
+    """Texts of many kinds: none, empty, white space alone, verse, runs without stops, words again and again, other scripts."""
+    kinds = [["of"], ["a", "b."], ["é", "中文。", "𝄞x", "b?", "c"], [f"W{i}" for i in range(50)], [f"w{i}" for i in range(50)] + ["s.", "t!"]]
+    gaps = [[" "], [" ", "\n"], [" "] * 8 + ["\n", "\r\n", "\t"], [" ", "  ", "\n\n\n"]]
+    out = [None, "", " ", "\n", "\n\n a", "x", ".", "\x0b\x0c \r\n", "\n".join(["w"] * 9)]
+    for _ in range(n):
+        words, gap = rng.choice(kinds), rng.choice(gaps)
+        out.append("".join(rng.choice(words) + rng.choice(gap) for _ in range(rng.randrange(1, 150))))
+    rng.shuffle(out)
+    return out
+
+
+def test_texts_read_together_fall_into_the_same_paragraphs(monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(D, "TOGETHER", 2000)
+    texts = odd_texts(rng, 300)
+    seen = []
+    for some in D.together(texts):
+        whole, shown = Paragraphs(*some), 0
+        assert len(some) == 1 or sum(len(t or "") for t in some) <= 2000
+        bands = whole.bands(4, 1) if whole.count else None
+        for j, t in enumerate(some):
+            alone, first = Paragraphs(t), int(whole.first[j])
+            assert whole.counts[j] == alone.count
+            for i in range(alone.count):
+                for name in ("key", "words", "long"):
+                    assert getattr(whole, name)[first + i] == getattr(alone, name)[i]
+                assert [int(x[0]) for x in whole.places([first + i])] == [j, *(int(x[0]) for x in alone.places([i])[1:])]
+                if alone.long[i]:
+                    assert (whole.shingles(first + i) == alone.shingles(i)).all()
+            if alone.count and (n := int(alone.long.sum())):
+                assert (bands[shown : shown + n] == alone.bands(4, 1)).all()
+                shown += n
+            if alone.count:  # all words lie in paragraphs, in order
+                _, start, end = alone.places(range(alone.count))
+                assert " ".join(t[a:b] for a, b in zip(start, end)).split() == t.split()
+        seen += some
+    assert seen == texts
+
+
+def test_a_short_text_costs_what_its_characters_cost():
+    rng = random.Random(12)
+    texts = [" ".join(sentences(rng, 2)) for _ in range(1500)]
+    taken = []
+    for groups in ([[t] for t in texts], list(D.together(texts))):
+        least = None
+        for _ in range(3):
+            began = time.process_time()
+            for some in groups:
+                Paragraphs(*some).bands(4, 1)
+            took = time.process_time() - began
+            least = took if least is None else min(least, took)
+        taken.append(least)
+    assert taken[1] * 4 < taken[0]
+
+
+def test_long_and_empty_texts_among_short_ones(make):
+    rng = random.Random(13)
+    passage = " ".join(sentences(rng, 6))
+    long = "\n".join(sentences(rng, D.TOGETHER // 40))
+    assert len(long) > D.TOGETHER
+    rows = [(0, None), (1, ""), (2, f"é 中文。\n{passage}"), (3, f"{long}\n{passage}"), (4, "\n"), (5, f"𝄞 é\n{passage}\n𝄞"), (6, long[:-1] + "x")]
+    got = {r["id"]: r for r in D.paragraph_dedup(make(rows)).collect()}
+    assert all(got[k]["n_repeated"] == got[k]["n_paragraphs"] == 0 for k in (0, 1, 4))
+    assert got[2]["n_removed"] == 0 and got[2]["n_repeated"] == got[5]["n_removed"] >= 5
+    assert got[3]["n_removed"] == got[5]["n_removed"] and got[6]["n_removed"] >= got[6]["n_paragraphs"] - 1
+    for k in (3, 5):
+        text = rows[k][1]
+        assert all(text[r["start"] : r["end"]] in passage for r in got[k]["removed"])
