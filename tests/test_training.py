@@ -133,3 +133,54 @@ def test_tables_of_a_model(spark):
     model.trans[1][2] = 3.0
     again = Tagger.collect(*R.model_tables(spark, model))
     assert again.trans == model.trans and again.feats == model.feats
+
+
+def test_lanes_decode_as_one_step_after_another():
+    import numpy as np
+
+    from lexiloom.operators.tagger import best_tags
+
+    rng = np.random.default_rng(5)
+    for grain, spread, pull in ((1, 1.0, 1.0), (1, 0.0, 3.0), (R.GRAIN, 3.0, 3.0), (1, 0.3, 40.0)):
+        lens = np.array([1, 63, 64, 65, 700, 2, 1291, 13])
+        scores = np.round(rng.normal(0, 1, (lens.sum(), 4)) * spread * grain) / grain
+        trans = np.round(rng.normal(0, 1, (len(lens), 4, 4)) * pull * grain) / grain
+        if pull == 40.0:  # two tags that hold on to themselves: where a lane begins is told far before it
+            trans[:] = np.where(np.eye(4), 40.0, -40.0)
+        padded = np.concatenate([scores, np.zeros((R.LANE, 4))])
+        starts = np.cumsum(lens) - lens
+        got = R.tags_by_lanes(lambda places, own: padded[places].transpose(0, 2, 1).copy(), starts, lens, trans)
+        expected = [best_tags(scores[a : a + n].tolist(), t.tolist()) for a, n, t in zip(starts, lens, trans)]
+        assert got.tolist() == sum(expected, [])
+
+
+def test_long_and_short_sentences_side_by_side_and_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for k in range(70):
+        chars, tags = [], []
+        for _ in range(rng.choice([1, 2, 150, 400])):
+            w = rng.choice(["甲", "乙丙", "丁戊己", "庚辛", "壬", "甲乙", "𠀀丙"])
+            chars += list(w)
+            tags += [3] if len(w) == 1 else [0, *[1] * (len(w) - 2), 2]
+        rows.append((k, chars, tags))
+    df = spark.createDataFrame(rows, "ord long, chars array<string>, tags array<int>")
+    shard_of = {r["ord"]: r["s"] for r in df.select("ord", F.pmod(F.xxhash64("ord"), F.lit(5)).alias("s")).collect()}
+    expected = weights(replay(rows, 5, shard_of, 2))
+    assert weights(R.train_tagger(df, epochs=2, shards=5)) == expected
+    # Two shards at a time at most, and a large one a part after another (in this process: tasks do not see the patch).
+    monkeypatch.setattr(R, "TOGETHER", 2)
+    monkeypatch.setattr(R, "HELD", 1500)
+    import pyarrow as pa
+
+    own = sorted((shard_of[k], k, "".join(c), t) for k, c, t in rows)
+    batches = pa.table({"shard": pa.array([x[0] for x in own], pa.int32()), "text": [x[2] for x in own], "tags": pa.array([x[3] for x in own], pa.list_(pa.int8()))}).to_batches(7)
+    sums = {}
+    for batch in R.one_pass(Tagger(), iter(batches)):
+        for r in batch.to_pylist():
+            key = r["kind"], r["name"], r["tag"]
+            sums[key] = sums.get(key, 0.0) + r["w"]
+    one = weights(replay(rows, 5, shard_of, 1))
+    assert sums["N", "", 0] == 5
+    got = {f: [R.mixed(sums.get(("F", f, t), 0.0), 5) for t in range(4)] for _, f, _ in sums if len(f) > 1}
+    assert {f: w for f, w in got.items() if any(w)} == one[1]
