@@ -165,11 +165,11 @@ def _apart(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, starts, lens
 
 
-def best_paths(blocks: list[str], words: Words) -> list[list[str]]:
-    """The words of each block."""
-    codes, starts, lens = _apart(blocks)
+def _ways(codes: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, log-probability, source) of the words (0) and runs of letters and digits (1), in order."""
     start, size, value = words.found(codes)
     run = _runs(codes)
+    source = np.zeros(len(start), dtype=np.int32)
     if run.any():
         # A run ends like a word of its own where no dictionary word does.
         at = np.flatnonzero(run)
@@ -179,8 +179,16 @@ def best_paths(blocks: list[str], words: Words) -> list[list[str]]:
         at = at[ends[there] != asked] if len(ends) else at
         start, size = np.concatenate((start, at)), np.concatenate((size, run[at] - at))
         value = np.concatenate((value, np.full(len(at), UNKNOWN)))
+        source = np.concatenate((source, np.ones(len(at), dtype=np.int32)))
         order = np.argsort(start, kind="stable")
-        start, size, value = start[order], size[order], value[order]
+        start, size, value, source = start[order], size[order], value[order], source[order]
+    return start, size, value, source
+
+
+def best_paths(blocks: list[str], words: Words) -> list[list[str]]:
+    """The words of each block."""
+    codes, starts, lens = _apart(blocks)
+    start, size, value, _ = _ways(codes, words)
     at = np.searchsorted(start, np.arange(len(codes) + 1)).tolist()
     ends, value = (start + size).tolist(), value.tolist()
     best = [0.0] * (len(codes) + 1)  # 0 at the gaps, so that each block begins anew
@@ -213,6 +221,28 @@ def best_paths(blocks: list[str], words: Words) -> list[list[str]]:
     return out
 
 
+def edges_of(blocks: list[str], words: Words) -> pa.Array:
+    """The candidates of each block as a list of (i, k, logp, source), a character alone (2) where nothing else starts."""
+    codes, starts, lens = _apart(blocks)
+    start, size, value, source = _ways(codes, words)
+    alone = np.ones(len(codes), dtype=bool)
+    alone[start] = alone[starts + lens] = False
+    at = np.flatnonzero(alone)
+    start = np.concatenate((start, at))
+    order = np.argsort(start, kind="stable")
+    start, size = start[order], np.concatenate((size, np.ones(len(at), dtype=np.int64)))[order]
+    value = np.concatenate((value, np.full(len(at), UNKNOWN)))[order]
+    source = np.concatenate((source, np.full(len(at), 2, dtype=np.int32)))[order]
+    owner = np.searchsorted(starts, start, side="right") - 1
+    bounds = np.searchsorted(owner, np.arange(len(blocks) + 1))
+    place = start - starts[owner] if len(start) else start
+    rows = pa.StructArray.from_arrays(
+        [pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(value, pa.float64(), from_pandas=True), pa.array(source, pa.int32())],
+        ["i", "k", "logp", "source"],
+    )
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows)
+
+
 def best_path(block: str, logp: dict[str, float] | Words) -> list[str]:
     """The words of one block."""
     return best_paths([block], Words.of(logp))[0]
@@ -484,9 +514,15 @@ def _candidates(b: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
 def lattice_edges(blocks: DataFrame, lexicon: DataFrame, longest: int, block_col: str = "block") -> DataFrame:
     """(block, i, k, logp, source): candidates of k characters from place i (0 first) of each block.
 
-    Dictionary words (source 0) by a join on the substring, the whole run of letters and digits
-    (source 1) where it is no such word, the single character (source 2) where nothing else starts.
+    Dictionary words (source 0), the whole run of letters and digits (source 1) where it is no such word,
+    the single character (source 2) where nothing else starts. A lexicon of up to LEXICON_WORDS is broadcast and
+    found in the blocks, a larger one joined on the substring.
     """
+    words = collect_lexicon(lexicon)
+    if words is not None:
+        run = _blocks_udf(lexicon.sparkSession, words, "array<struct<i:int,k:int,logp:double,source:int>>", edges_of)
+        found = _distinct(blocks, block_col).select("block", run("block").alias("c")).select("block", F.explode("c").alias("c"))
+        return found.select("block", "c.i", "c.k", "c.logp", "c.source")
     b = _numbered(blocks, block_col)
     edges = _candidates(b, lexicon, longest).select("b", "i", F.explode("found").alias("c"))
     edges = edges.select("b", "i", "c.k", "c.logp", "c.source")
@@ -495,6 +531,33 @@ def lattice_edges(blocks: DataFrame, lexicon: DataFrame, longest: int, block_col
     return short.unionByName(long)
 
 
+def _distinct(blocks: DataFrame, block_col: str) -> DataFrame:
+    return blocks.select(F.col(block_col).alias("block")).filter("block <> ''").distinct()
+
+
+def _blocks_udf(session, words: Words, kind: str, made: Callable[[list[str], Words], pa.Array]) -> Callable[[Column | str], Column]:
+    """A column function of a block with the words broadcast."""
+    shared = session.sparkContext.broadcast(words.levels)
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Words.of_levels(shared.value)
+        for blocks in batches:
+            yield made(blocks.to_pylist(), known)
+
+    return run.asNondeterministic()
+
+
+def cut_blocks(blocks: DataFrame, lexicon: DataFrame, longest: int, block_col: str = "block") -> DataFrame:
+    """(block, tokens) of distinct blocks: with the lexicon broadcast, or beyond LEXICON_WORDS by `cut_joined`."""
+    words = collect_lexicon(lexicon)
+    if words is None:
+        return cut_joined(blocks, lexicon, longest, block_col)
+    run = _blocks_udf(lexicon.sparkSession, words, "array<string>", lambda texts, known: pa.array(best_paths(texts, known), pa.list_(pa.string())))
+    return _distinct(blocks, block_col).select("block", run("block").alias("tokens"))
+
+
 def cut_joined(blocks: DataFrame, lexicon: DataFrame, longest: int, block_col: str = "block") -> DataFrame:
     """(block, tokens) of distinct blocks with the lexicon joined, not broadcast: for lexicons of any size.
 

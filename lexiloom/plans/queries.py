@@ -381,9 +381,9 @@ def cut_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the joined lattice, which takes lexicons of any size."""
+    """Of every distinct block, for lexicons of any size."""
     lexicon = _lexicon(spark, sf_dir)
-    paths = lattice.cut_joined(_todo(spark, sf_dir), lexicon, _longest(spark, lexicon))
+    paths = lattice.cut_blocks(_todo(spark, sf_dir), lexicon, _longest(spark, lexicon))
     return paths.select("block", F.array_join("tokens", "\u0001").alias("path"))
 
 
