@@ -259,7 +259,8 @@ class Cutter:
         self.mode = mode if tagger is not None else "dag"
         self.compat = compat_duplicate
         self.punctuation = punctuation
-        self.memo: dict[str, list[str]] = {}
+        self.memo: dict[str, tuple[str, ...]] = {}
+        self.shared: dict[str, str] = {}
         self.memo_chars = 0
         self.inner: dict[str, tuple[str, ...]] = {}
         self.inner_chars = 0
@@ -299,7 +300,7 @@ class Cutter:
     def cut_many(self, texts: list[str | None]) -> tuple[list[str], list[int]]:
         """The tokens of all texts in one list, and how many each text has."""
         cut = [_BLOCK.findall(t) if t else [] for t in texts]
-        here: dict[str, list[str]] = {}
+        here: dict[str, list[str] | tuple[str, ...]] = {}
         new = []
         for block in dict.fromkeys(chain.from_iterable(cut)):
             known = self.memo.get(block)
@@ -316,9 +317,11 @@ class Cutter:
             here.update(zip(new, cuts))
             self.memo_chars += sum(map(len, new))
             if self.memo_chars > MEMORY:
-                self.memo, self.memo_chars = {}, sum(map(len, new))
+                self.memo, self.shared, self.memo_chars = {}, {}, sum(map(len, new))
             if self.memo_chars <= MEMORY:
-                self.memo.update(zip(new, cuts))
+                # Equal words are one object, which takes far less than a copy for each block.
+                one = self.shared.setdefault
+                self.memo.update((block, tuple(one(w, w) for w in words)) for block, words in zip(new, cuts))
         sizes = list(accumulate(map(len, map(here.__getitem__, chain.from_iterable(cut))), initial=0))
         ends = list(accumulate(map(len, cut), initial=0))
         tokens = list(chain.from_iterable(map(here.__getitem__, chain.from_iterable(cut))))
